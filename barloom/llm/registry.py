@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import bpe, media
+from barloom.llm import bpe, linededup, media
 from barloom.llm.common import table
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe_ogg(media.to_ogg(table(spark, sf_dir, "documents")))
 
@@ -19,8 +25,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_line_dedup": op5_line_dedup,
     "op8_media_ogg": op8_media_ogg,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": f"""
+WITH line AS (
+  SELECT doc_id, pos, parts[pos] AS line,
+         trim(translate(parts[pos], '{_UPPER}', '{_LOWER}'), {_WHITE}) AS k
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+),
+hot AS (
+  SELECT k, max(doc_id) AS last_doc FROM line WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+),
+judged AS (
+  SELECT l.doc_id, l.pos, l.line, h.k IS NOT NULL AND l.doc_id <> h.last_doc AS gone
+  FROM line l LEFT JOIN hot h ON l.k = h.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""",
+}
