@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, linededup, media
+from barloom.llm import bpe, linededup, media, packing
 from barloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe_ogg(media.to_ogg(table(spark, sf_dir, "documents")))
 
@@ -26,6 +30,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_media_ogg": op8_media_ogg,
     "op9_byte_bpe": op9_byte_bpe,
 }
