@@ -14,11 +14,13 @@ the skipped lists are counted from the signatures, which are merged for each
 pair that meets in a posted list. Pairs with enough matches are confirmed on the
 full sets.
 
-Pairs within a component aren't wanted, so a large group doesn't emit them:
-some rounds first compare the members of each list only with a pivot of the
-list, another one each round, and join what is confirmed. Afterwards all pairs
-of a list whose members are still in different components are compared, so no
-link that joins two components is lost.
+Pairs within a component aren't wanted, so a large group doesn't emit them. First
+the members of each list meet only the list's pivot. Pairs that are near by their
+signatures join families, and those confirmed on the sets join components. Then
+the members of a family outside its first member's component are compared with
+all its members, block by block, which returns no more links than join them. At
+last all pairs of a list are compared that are still in different components and
+families, so no link that joins two components is lost.
 
 Defined cases: without words or text a set is empty, and the document is linked
 with nothing and kept; fewer words than a shingle form one shingle; exact copies
@@ -40,7 +42,7 @@ from barloom.llm.common import materialize
 
 COORDINATES = 32
 MIN_MATCHES = 15
-PIVOT_ROUNDS = 3
+BLOCK = 256
 WORDS = 5
 THRESHOLD = 80
 SMALL_IDS = 1_000_000
@@ -127,6 +129,36 @@ def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _block_links(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """For each pair of blocks, links between different components that join them like all their links."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            sets = [np.frombuffer(r["shingles"], np.uint64) for r in x + y]
+            _, column = np.unique(np.concatenate(sets), return_inverse=True)
+            sizes = np.array([len(s) for s in sets])
+            inside = np.zeros((len(sets), int(column.max()) + 1), np.float32)
+            inside[np.repeat(np.arange(len(sets)), sizes), column] = 1
+            both = (inside[: len(x)] @ inside[len(x) :].T).astype(np.int64)
+            linked = 100 * both >= threshold * (sizes[: len(x), None] + sizes[None, len(x) :] - both)
+            parent = {r["component"]: r["component"] for r in x + y}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            found = []
+            for p, q in zip(*np.nonzero(linked)):
+                one, two = root(x[p]["component"]), root(y[q]["component"])
+                if one != two:
+                    parent[one] = two
+                    found.append((x[p]["id"], y[q]["id"]))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _few(ids: DataFrame, limit: int = SMALL_IDS) -> DataFrame:
     """``ids`` marked for broadcast if they are counted to be few; else as they are."""
     return F.broadcast(ids) if ids.count() <= limit else ids
@@ -166,78 +198,121 @@ class _Linker:
 
         self.signed = materialize(self.docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature array<int>"), "signed")
         classes = self.signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        self.classes = materialize(classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+        classes = classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        self.classes = materialize(classes, "classes")
 
     def postings(self) -> DataFrame:
-        """(token, id) of each class's rarest tokens, of those that occur twice or more."""
-        tokens = self.classes.select("id", "set_key", F.posexplode("signature").alias("at", "value"))
-        tokens = tokens.select("id", "set_key", F.xxhash64("at", "value").alias("token"))
+        """(token, band, id, own) of each class's rarest tokens, of those that occur twice or more.
+
+        Bands are steps of the set size by the threshold's ratio, so sets that
+        may be linked lie in one band or in neighbours. Each class is posted in
+        its own band and, as a smaller partner, in the next.
+        """
+        tokens = self.classes.select("id", "n", F.posexplode("signature").alias("at", "value"))
+        tokens = tokens.select("id", F.col("n").cast("int").alias("n"), F.xxhash64("at", "value").alias("token"))
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        kept = tokens.join(shared, "token").groupBy("set_key", "id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        kept = tokens.join(shared, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
         prefix = self.coordinates - self.min_matches + 1
         single = self.coordinates - F.size("tokens")  # tokens of one class come first in the order
         rarest = F.slice("tokens", 1, F.greatest(F.lit(0), F.lit(prefix) - single))
-        return materialize(kept.select("id", F.explode(rarest).alias("t")).select(F.col("t.token").alias("token"), "id"), "postings")
-
-    def sets(self, postings: DataFrame) -> DataFrame:
-        words = self.words
-
-        def hash_sets(batches):
-            return _sets(batches, words)
-
-        ids = materialize(postings.select("id").distinct(), "posted")
-        texts = self.docs.join(_few(ids), self.docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-        return materialize(texts.mapInArrow(hash_sets, "id long, shingles binary"), "sets")
-
-    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures and then sets are close enough."""
+        band = F.floor(F.log("n") / float(np.log(100 / self.threshold)) + 1e-9).cast("int")
+        rows = kept.select("id", band.alias("band"), F.explode(rarest).alias("t"))
+        places = F.explode(F.array(F.struct("band", F.lit(1).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(0).alias("own"))))
+        rows = rows.select("id", F.col("t.token").alias("token"), places.alias("p")).select("token", "p.band", "id", "p.own")
+        lists = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("owned")).filter("size > 1 and owned = 1")
+        return materialize(rows.join(lists.select("token", "band"), ["token", "band"], "left_semi"), "postings")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) whose sizes and signatures are close enough."""
         sig = self.classes.select("id", "n", "signature")
         left = sig.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         right = sig.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
         sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.threshold
-        near = pairs.join(left, "a").join(right, "b").filter(sizes).filter(matches >= self.min_matches)
-        near = materialize(near.select("a", "b").distinct(), "near")
-        need = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
-        own = materialize(sets.join(_few(need), "id", "left_semi"), "own")
+        found = pairs.distinct().join(left, "a").join(right, "b").filter(sizes).filter(matches >= self.min_matches)
+        return materialize(found.select("a", "b"), "near")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id and packed shingles of the documents named by ``ids``."""
+        need, words = materialize(ids.distinct(), "need"), self.words
+
+        def run(batches):
+            return _sets(batches, words)
+
+        texts = self.docs.join(_few(need), self.docs["doc_id"] == need["id"], "left_semi").select("doc_id", "text")
+        return materialize(texts.mapInArrow(run, "id long, shingles binary"), "sets")
+
+    def confirm(self, near: DataFrame) -> DataFrame:
+        """The pairs whose full sets reach the threshold."""
         threshold = self.threshold
 
         def run(batches):
             return _confirmed(batches, threshold)
 
+        own = self.sets(near.select(F.explode(F.array("a", "b")).alias("id")))
         x, y = own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), own.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         return materialize(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "confirmed")
 
+    def compare_families(self, families: DataFrame, groups: DataFrame) -> DataFrame:
+        """Links between different components of one family, few enough to join them.
+
+        A family's members outside its first member's component are dealt to blocks, and
+        so are those within. Blocks of outsiders meet all blocks of the family,
+        and a pair of blocks returns a spanning forest of its links.
+        """
+        placed = families.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        home = placed.filter("id = family").select("family", F.col("component").alias("home"))
+        placed = placed.join(home, "family").withColumn("outside", (F.col("component") != F.col("home")).cast("int"))
+        placed = materialize(placed.select("family", "id", "component", "outside"), "families")
+        sizes = placed.groupBy("family", "outside").agg(F.count(F.lit(1)).alias("n"))
+        open_ones = placed.filter("outside = 1").select("family").distinct()
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        members = placed.join(open_ones, "family", "left_semi").join(sizes, ["family", "outside"])
+        members = members.select("family", "id", "component", "outside", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+        own = self.sets(members.select("id"))
+        packed = members.join(own, "id").groupBy("family", "outside", "block").agg(F.collect_list(F.struct("id", "component", "shingles")).alias("rows"))
+        packed = materialize(packed, "blocks")
+        first = packed.filter("outside = 1").select("family", F.col("block").alias("one"), F.col("rows").alias("x"))
+        pairs = first.join(packed, "family").filter("outside = 0 or block >= one").select("x", F.col("rows").alias("y"))
+        threshold = self.threshold
+
+        def run(batches):
+            return _block_links(batches, threshold)
+
+        return materialize(pairs.mapInArrow(run, "a long, b long"), "family-links")
+
     def components(self) -> DataFrame:
         """id and component of the classes that are linked with others."""
         postings = self.postings()
-        sets = self.sets(postings)
-        links, groups = None, None
-
-        def place(lists: DataFrame) -> DataFrame:
-            if groups is None:
-                return lists.withColumn("component", F.col("id"))
-            return lists.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-        for r in range(PIVOT_ROUNDS + 1):
-            lists = place(postings)
-            if r < PIVOT_ROUNDS:
-                order = F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("turn"), F.col("id"), F.col("component"))
-                pivots = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", F.col("p.id").alias("a"), F.col("p.component").alias("ca"))
-                pairs = lists.join(pivots, "token").filter("component <> ca").select("a", F.col("id").alias("b"))
-            else:
-                open_lists = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-                lists = materialize(lists.join(open_lists, "token", "left_semi"), "open")
-                other = lists.select("token", F.col("id").alias("b"), F.col("component").alias("cb"))
-                pairs = lists.select("token", F.col("id").alias("a"), F.col("component").alias("ca")).join(other, "token").filter("ca < cb").select("a", "b")
-            found = self.confirm(pairs.distinct(), sets)
-            if found.isEmpty():
-                continue
-            links = found if links is None else links.unionByName(found)
+        key = ["token", "band"]
+        pivots = postings.groupBy(*key).agg(F.min("id").alias("a"))
+        near = self.near(postings.join(pivots, key).filter("id <> a").select("a", F.col("id").alias("b")))
+        if near.isEmpty():
+            groups = self.classes.select("id", F.col("id").alias("component")).limit(0)
+            families = self.classes.select("id", F.col("id").alias("family")).limit(0)
+        else:
+            links = self.confirm(near)
             groups = connected(links)
-        if groups is None:
-            return self.classes.select("id", F.col("id").alias("component")).limit(0)
-        return groups
+            families = connected(near, "family").select("id", F.col("component").alias("family"))
+            leaders = families.select("family", F.col("family").alias("id")).distinct()
+            families = materialize(families.unionByName(leaders).distinct(), "family")
+            more = self.compare_families(families, groups)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                groups = connected(links)
+        lists = postings.join(groups, "id", "left").join(families, "id", "left")
+        lists = lists.select(*key, "id", "own", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"))
+        lists = materialize(lists, "lists")
+        other = lists.select(*key, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("own").alias("with"), F.col("family").alias("fb"))
+        once = (F.col("component") < F.col("cb")) | (F.col("with") == 0) & (F.col("component") != F.col("cb"))
+        pairs = lists.filter("own = 1").withColumnRenamed("id", "a").join(other, key).filter(once & (F.col("family") != F.col("fb"))).select("a", "b")
+        rest = self.near(pairs)
+        if rest.isEmpty():
+            return groups
+        found = self.confirm(rest)
+        if found.isEmpty():
+            return groups
+        return connected(found if near.isEmpty() else found.unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, coordinates: int = COORDINATES, min_matches: int = MIN_MATCHES) -> DataFrame:
