@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, langid, linededup, media, neardup, packing, quality, topk, toxicity
-from barloom.llm.common import is_held_out, table
+from barloom.llm import bpe, langid, linededup, media, neardup, packing, pii, quality, topk, toxicity
+from barloom.llm.common import is_held_out, materialize, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = materialize(pii.annotate(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_base", "_wide"), "spans")
+    model = pii.train(found)
+    counts = [pii.count_of(k, F.col("_base")).alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.spans_text(F.array_sort("_base")), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.spans_text(pii.all_spans(model)).alias("spans"))
+
+
 def op8_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.probe_ogg(media.to_ogg(table(spark, sf_dir, "documents")))
 
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii": op7_pii,
     "op8_media_ogg": op8_media_ogg,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
