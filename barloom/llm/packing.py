@@ -9,7 +9,7 @@ one packing into another, bins that hold an injected piece a second time are
 dissolved, and the displaced pieces go to the tightest bins that hold them.
 Between epochs each island's best packing migrates to the next island. Badly
 filled bins of all shards are dissolved and packed again, in ever fewer shards,
-until one shard holds them.
+until one shard holds them or another level no longer halves them.
 
 Defined cases: a null or empty text is one piece of the end id alone; repeated
 rows are packed once each; an empty table gives no rows; texts of special tokens
@@ -263,44 +263,48 @@ def evolve(lengths: list[int], limit: int, population: list[bytes], seed: int, g
     return [p.encode() for p in pop]
 
 
-_STATE = "shard long, island int, lengths binary, population array<binary>"
+_STATE = "shard long, island int, lengths array<int>, population array<binary>"
 
 
-def _founders(pdf):
-    """An island row for each of a shard's islands, still without packings."""
-    import pandas as pd
-
-    lengths = np.sort(pdf["length"].to_numpy(np.int64))[::-1].astype(np.int32).tobytes()
-    return pd.DataFrame([(int(pdf["shard"].iloc[0]), i, lengths, []) for i in range(ISLANDS)], columns=["shard", "island", "lengths", "population"])
-
-
-def _evolved(frames, limit: int, epoch: int):
-    for pdf in frames:
-        pdf["population"] = [
-            evolve(np.frombuffer(ls, np.int32).tolist(), limit, list(pop), hash((int(s), epoch)) * ISLANDS + int(i))
-            for s, i, ls, pop in zip(pdf["shard"], pdf["island"], pdf["lengths"], pdf["population"])
+def _evolved(frames: Iterator[pa.RecordBatch], limit: int, epoch: int) -> Iterator[pa.RecordBatch]:
+    for batch in frames:
+        pops = [
+            evolve(r["lengths"], limit, r["population"], (r["shard"] * EPOCHS + epoch) * ISLANDS + r["island"])
+            for r in batch.to_pylist()
         ]
-        yield pdf
-
-
-def _migrated(pdf):
-    """Each island gets the best packing of the island before it."""
-    pdf = pdf.sort_values("island")
-    best = [list(p)[0] for p in pdf["population"]]
-    pdf["population"] = [[best[n - 1], *list(p)[: max(1, len(p) - 1)]] if n != (n - 1) % len(best) else list(p) for n, p in enumerate(pdf["population"])]
-    return pdf
-
-
-def _placed(key, items, islands, limit: int):
-    """Sequence numbers and offsets for a shard's pieces, from its best packing."""
-    items = items.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-    base = Packing(items["length"].tolist(), limit)
-    best = max((base.decode(raw) for pop in islands["population"] for raw in pop), key=Packing.fitness)
-    seq, offset, fill = (np.zeros(len(items), np.int64) for _ in range(3))
-    for n, b in enumerate(best.bins):
-        ls = np.array([base.lengths[i] for i in b], np.int64)
-        seq[b], offset[b], fill[b] = n, np.cumsum(ls) - ls, ls.sum()
-    return items.assign(local=seq, offset=offset, fill=fill)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pops, pa.list_(pa.binary()))], batch.schema.names)
+
+
+def _best(frames: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """For each shard, (sequence, offset, fill) of its pieces under its best packing."""
+    for batch in frames:
+        out = []
+        for r in batch.to_pylist():
+            base = Packing(r["lengths"], limit)
+            best = max(map(base.decode, r["population"]), key=Packing.fitness)
+            seq, offset, fill = (np.zeros(len(base.lengths), np.int64) for _ in range(3))
+            for n, b in enumerate(best.bins):
+                ls = np.array([base.lengths[i] for i in b], np.int64)
+                seq[b], offset[b], fill[b] = n, np.cumsum(ls) - ls, ls.sum()
+            out.append([{"local": x, "offset": y, "fill": z} for x, y, z in zip(seq.tolist(), offset.tolist(), fill.tolist())])
+        kind = pa.list_(pa.struct([("local", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["shard", "places"])
+
+
+def _pack_shards(shards: DataFrame, count: int, limit: int) -> DataFrame:
+    """shard and its pieces' places; ``shards`` has shard and falling lengths."""
+    tasks = max(1, min(1024, count * ISLANDS // 4))
+    state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("population"))
+    for epoch in range(EPOCHS):
+        if epoch:  # each island's best goes to the next island, in place of its worst
+            best = F.sort_array(F.collect_list(F.struct("island", "lengths", "population")))
+            ring = state.groupBy("shard").agg(best.alias("i")).select("shard", F.col("i"), F.posexplode("i").alias("at", "own"))
+            before = F.element_at("i", F.when(F.col("at") == 0, F.lit(-1)).otherwise(F.col("at")))
+            kept = F.slice("own.population", 1, F.greatest(F.lit(1), F.size("own.population") - 1))
+            state = ring.select("shard", F.col("own.island").alias("island"), F.col("own.lengths").alias("lengths"), F.concat(F.slice(before["population"], 1, 1), kept).alias("population"))
+        state = state.repartition(tasks).mapInArrow(lambda frames, epoch=epoch: _evolved(frames, limit, epoch), _STATE)
+    elites = state.groupBy("shard").agg(F.first("lengths").alias("lengths"), F.collect_list(F.element_at("population", 1)).alias("population"))
+    return elites.coalesce(tasks).mapInArrow(lambda frames: _best(frames, limit), "shard long, places array<struct<local:long,offset:long,fill:long>>")
 
 
 def pack_pieces(found: DataFrame, limit: int = SEQUENCE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -309,36 +313,36 @@ def pack_pieces(found: DataFrame, limit: int = SEQUENCE, shard_pieces: int = SHA
     full = found.filter(F.col("length") == limit).withColumns(
         {"sequence_id": F.monotonically_increasing_id() * 2, "offset": F.lit(0).cast("long")}
     )  # even numbers; those of packed shards are odd
-    done, rest, level = [full], found.filter(F.col("length") < limit), 0
+    done, rest, level, before = [full], found.filter(F.col("length") < limit), 0, None
     while True:
         n = rest.count()
         if not n:
             break
-        shards = -(-n // shard_pieces)
-        dealt = materialize(rest.withColumn("shard", F.monotonically_increasing_id() % shards), "dealt")
-        state = dealt.select("shard", "length").groupBy("shard").applyInPandas(_founders, _STATE)
-        for epoch in range(EPOCHS):
-            if epoch:
-                state = state.groupBy("shard").applyInPandas(_migrated, _STATE)
-            state = state.repartition(min(512, shards * ISLANDS), "shard", "island").mapInPandas(
-                lambda frames, epoch=epoch: _evolved(frames, limit, epoch), _STATE
-            )
-        schema = f"{', '.join(f'{c} {t}' for c, t in dealt.dtypes)}, local long, offset long, fill long"
-        placed = dealt.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(lambda k, a, b: _placed(k, a, b, limit), schema)
-        placed = materialize(placed, "placed").withColumn("sequence_id", ((F.col("shard") * shard_pieces + F.col("local")) * 16 + level) * 2 + 1)
-        tight = F.lit(True) if shards == 1 else F.col("fill") >= limit * DISSOLVE_BELOW
+        count = -(-n // shard_pieces)
+        dealt = rest.withColumn("shard", F.monotonically_increasing_id() % count)
+        item = F.struct((-F.col("length")).alias("by"), *columns)
+        shards = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most about shard_pieces each
+        shards = materialize(shards.withColumn("lengths", F.transform("items", lambda i: i["length"].cast("int"))), "shards")
+        places = _pack_shards(shards.select("shard", "lengths"), count, limit)
+        each = shards.select("shard", "items").join(places, "shard").select("shard", F.explode(F.arrays_zip("items", "places")).alias("z"))
+        placed = materialize(each.select("shard", *(F.col(f"z.items.{c}").alias(c) for c in columns), "z.places.local", "z.places.offset", "z.places.fill"), "placed")
+        placed = placed.withColumn("sequence_id", ((F.col("shard") * shard_pieces + F.col("local")) * 16 + level) * 2 + 1)
+        # lengths that leave bins half empty whatever their company gain nothing from another level
+        last = count == 1 or level == 15 or before is not None and n > before / 2
+        tight = F.lit(True) if last else F.col("fill") >= limit * DISSOLVE_BELOW
         done.append(placed.filter(tight).select(*columns, "sequence_id", "offset"))
-        if shards == 1:
+        if last:
             break
-        rest, level = placed.filter(~tight).select(*columns), level + 1
-        if level == 15:
-            shard_pieces = n  # so few are left that one shard holds them
+        rest, level, before = placed.filter(~tight).select(*columns), level + 1, n
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limit: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """All pieces of all documents with their sequences and offsets."""
-    return pack_pieces(materialize(pieces(docs, path, limit, end_id, keep_ids), "pieces"), limit)
+def pack_documents(docs: DataFrame, path: str | None = None, limit: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+    """All pieces of all documents with their sequences and offsets.
+
+    Ids are left to ``pieces``, whose rows have the same (doc_id, piece).
+    """
+    return pack_pieces(materialize(pieces(docs, path, limit, end_id), "pieces"), limit)
