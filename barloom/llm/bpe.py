@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 MEMO_PAIRS = 400_000
 MEMO_LENGTH = 48
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
@@ -138,18 +138,27 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Ids by match; it starts anew when full, and never keeps long matches."""
+    """Ids by match, in two generations; long matches are never kept.
+
+    When the young generation is full it becomes the old one. A match found
+    there moves back, so frequent matches stay.
+    """
 
     def __init__(self, bpe: Bpe) -> None:
         super().__init__()
         self.bpe = bpe
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = self.bpe._encode(match.encode("utf-8"))
-        if len(match) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[match] = ids
+        ids = self.old.get(match)
+        if ids is None:
+            ids = self.bpe._encode(match.encode("utf-8"))
+            if len(match) > MEMO_LENGTH:
+                return ids
+        if len(self) >= MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[match] = ids
         return ids
 
 
