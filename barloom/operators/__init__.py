@@ -1 +1,30 @@
+"""Indicators over bars, and the registry that serves them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.functions import indicators as windowed
+from barloom.operators import scans
+
+
+def indicator(bars: DataFrame, name: str, **params) -> DataFrame:
+    """symbol, ts and one column for each plot of an indicator, for all symbols at once.
+
+    Window indicators stay in the JVM. Recurrences run in one grouped scan, over
+    one symbol's bars at a time.
+    """
+    if name in windowed.WINDOWED:
+        layers, plots = windowed.build(name, **params)
+        rows = bars.withColumn("rn", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY ts)"))
+        for layer in layers:
+            rows = rows.selectExpr("*", *(f"{e} AS {c}" for c, e in layer.items()))
+        return rows.select("symbol", "ts", *plots)
+    if name in scans.SCANS:
+        return scans.run(bars, {name: params})
+    raise ValueError(f"unknown indicator {name}")
+
+
+def indicator_ids() -> list[str]:
+    return sorted([*windowed.WINDOWED, *scans.SCANS])

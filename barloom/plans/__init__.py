@@ -1 +1 @@
-
+"""Composite query plans and their SQL."""

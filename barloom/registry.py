@@ -5,7 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = "resample_clock"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from barloom import operators, sources
+from barloom.functions import bucket, in_session
+from barloom.functions import indicators as windowed
+from barloom.functions.sqlgen import nested
+from barloom.operators import scans
+from barloom.plans import oracle
+
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "resample_clock_1h"
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLACES = 6
+#: Added before rounding, so that exact halves don't fall either way by an engine's order of sums.
+NUDGE = 3.7e-10
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``, with its SQL if there is any."""
+
+    def keep(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return keep
+
+
+def rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(F.col(c) + NUDGE, PLACES) for c in columns})
+
+
+def _rounded_sql(columns: list[str]) -> str:
+    return ", ".join(f"round({c} + {NUDGE!r}, {PLACES}) AS {c}" for c in columns)
+
+
+#: Parameters under which every indicator is defined on a few hundred bars.
+SHORTER = {"nvi": {"maLength": 30}, "pvi": {"maLength": 30}, "special-k": {"length1": 20, "length2": 20}, "ma-ribbon": {"ma4Length": 120}}
+
+
+def _indicator_query(name: str, params: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = operators.indicator(sources.hour_bars(spark, sf_dir), name, **params)
+        if name in ("nvi", "pvi"):  # they compound; logarithms keep all places comparable
+            found = found.withColumns({c: F.ln(c) for c in found.columns[2:]})
+        return rounded(found, *found.columns[2:])
+
+    return run
+
+
+for _name in windowed.WINDOWED:
+    _layers, _plots = windowed.build(_name, **SHORTER.get(_name, {}))
+    _numbered = [{"rn": "row_number() OVER (PARTITION BY symbol ORDER BY ts)"}, *_layers]
+    query("ind_" + _name.replace("-", "_"), nested(oracle.HOUR_BARS, _numbered, f"SELECT symbol, ts, {_rounded_sql(_plots)} FROM {{last}}"))(_indicator_query(_name, SHORTER.get(_name, {})))
+for _name in scans.SCANS:
+    query("ind_" + _name.replace("-", "_"), oracle.scan_sql(_name, PLACES, NUDGE))(_indicator_query(_name, SHORTER.get(_name, {})))
+
+
+# Bars and scans
+
+
+def _resample(timeframe: str, grid: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = sources.ticks(spark, sf_dir)
+        return sources.ohlcv(rows, "symbol", bucket(F.col("ts"), timeframe, grid).alias("bucket"))
+
+    return run
+
+
+for _grid, _frames in (("clock", ("5m", "15m", "30m", "1h", "1d")), ("session", ("30m", "1h", "1d", "1w"))):
+    for _tf in _frames:
+        query(f"resample_{_grid}_{_tf}", oracle.resample(_tf, _grid))(_resample(_tf, _grid))
+
+
+@query("scan_session_view", "SELECT event_type AS symbol, ts, event_id, value AS price FROM events WHERE hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)) BETWEEN 33300 AND 55800")
+def scan_session_view(spark, sf_dir):
+    return sources.ticks(spark, sf_dir).filter(in_session(F.col("ts"))).select("symbol", "ts", "event_id", "price")
+
+
+@query("list_symbols", "SELECT DISTINCT event_type AS symbol FROM events")
+def list_symbols(spark, sf_dir):
+    return sources.ticks(spark, sf_dir).select("symbol").distinct()
+
+
+@query("date_range", "SELECT event_type AS symbol, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
+def date_range(spark, sf_dir):
+    return sources.ticks(spark, sf_dir).groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

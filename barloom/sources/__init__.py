@@ -1 +1,96 @@
+"""Readers and writers: the partitioned bar lake, small dimensions and the driver's tables as bars."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barloom.functions import in_session, valid_bar
+from barloom.schema import BARS
+
+KEY = ["symbol", "timeframe", "timestamp"]
+
+
+def prepare(rows: DataFrame) -> DataFrame:
+    """Rows in the lake's schema: missing columns null, volume 0 for null, invalid and off-session bars gone."""
+    have = set(rows.columns)
+    typed = [(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in BARS.fields]
+    extra = [c for c in rows.columns if c not in BARS.names and c not in ("year", "month")]
+    out = rows.select(*typed, *extra).withColumn("volume", F.coalesce("volume", F.lit(0).cast("long")))
+    return out.filter(valid_bar() & in_session(F.col("timestamp"), weekdays_only=True))
+
+
+def write_lake(rows: DataFrame, root: str) -> None:
+    """Replace the symbol-months that ``rows`` touch."""
+    dated = rows.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
+    spread = dated.repartition("symbol", "year", "month")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year", "month").parquet(root)
+
+
+def read_lake(spark: SparkSession, root: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, timeframe: str | None = None, session_only: bool = True) -> DataFrame:
+    """Bars between inclusive bounds; partitions are pruned by symbol and month. An empty symbol list gives no rows."""
+    schema = T.StructType([*BARS.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(root)
+    if symbols is not None:
+        rows = rows.filter(F.col("symbol").isin(symbols) if symbols else F.lit(False))
+    for bound, after in ((start, True), (end, False)):
+        if bound is not None:
+            at = F.lit(bound).cast("timestamp_ntz")
+            month = F.year(at) * 100 + F.month(at)
+            own, stamp = F.col("year") * 100 + F.col("month"), F.col("timestamp")
+            rows = rows.filter((own >= month) & (stamp >= at) if after else (own <= month) & (stamp <= at))
+    if timeframe is not None:
+        rows = rows.filter(F.col("timeframe") == timeframe)
+    return rows.filter(in_session(F.col("timestamp"), weekdays_only=True)) if session_only else rows
+
+
+def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``existing`` with the rows of ``incoming`` in place of those of equal key; the last of equal incoming keys wins."""
+    one = Window.partitionBy(*KEY).orderBy(F.desc("_n"))
+    fresh = prepare(incoming).withColumn("_n", F.monotonically_increasing_id()).withColumn("_r", F.row_number().over(one))
+    fresh = fresh.filter("_r = 1").drop("_n", "_r")
+    return existing.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """Constituents of a universe file, of the cash series only."""
+    return spark.read.csv(path, header=True).filter(F.col("Series").isin("EQ", "BE"))
+
+
+def dataset_fingerprint(rows: DataFrame, policy: str = "session") -> DataFrame:
+    """One row with a digest over the files that hold ``rows``."""
+    files = rows.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    line = F.concat_ws("|", "p", F.col("s").cast("string"), F.unix_micros("t").cast("string"))
+    return files.agg(F.sha2(F.concat_ws("\n", F.lit(policy), F.sort_array(F.collect_list(line))), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as ticks: symbol, ts, event_id, price, volume."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    volume: Column = (1 + F.col("event_id") % 97).cast("double")
+    return events.select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"), volume.alias("volume"))
+
+
+def ohlcv(rows: DataFrame, *keys: str | Column, order: tuple[str, ...] = ("ts", "event_id"), price: str = "price", volume: str = "volume") -> DataFrame:
+    """One aggregation to open, high, low, close, volume and n_bars."""
+    by = F.struct(*order)
+    return rows.groupBy(*keys).agg(
+        F.min_by(price, by).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, by).alias("close"),
+        F.sum(volume).alias("volume"), F.count(F.lit(1)).alias("n_bars"),
+    )
+
+
+def hour_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of the events table."""
+    return ohlcv(ticks(spark, sf_dir), "symbol", F.date_trunc("hour", "ts").alias("ts"))
+
+
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of the lineitem table by return flag; a line's unit price is its tick."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = lines.select(
+        F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber",
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"),
+    )
+    return ohlcv(rows, "symbol", F.date_trunc("day", "ts").alias("ts"), order=("l_orderkey", "l_linenumber"))
