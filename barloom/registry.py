@@ -11,8 +11,9 @@ from barloom import operators, sources
 from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
-from barloom.operators import scans
-from barloom.plans import oracle
+from barloom.operators import scans, transforms
+from barloom.plans import guard, oracle, research
+from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "resample_clock_1h"
@@ -94,3 +95,94 @@ def list_symbols(spark, sf_dir):
 @query("date_range", "SELECT event_type AS symbol, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
 def date_range(spark, sf_dir):
     return sources.ticks(spark, sf_dir).groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+# Composite queries: one text for both engines
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _text(body: str | Callable[[str], str], dialect: str) -> str:
+    return body(dialect) if callable(body) else body
+
+
+def _shared(body: str | Callable[[str], str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = _text(body, "spark")
+        for name in TABLES:
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        makers = {"bars": sources.hour_bars, "daily": sources.daily_bars, "ticks": sources.ticks}
+        return spark.sql(text, **{k: make(spark, sf_dir) for k, make in makers.items() if f"{{{k}}}" in text})
+
+    return run
+
+
+for _name, _body in SHARED.items():
+    _sql = _text(_body, "duck")
+    for _key, _from in (("bars", oracle.HOUR_BARS), ("daily", oracle.DAILY_BARS), ("ticks", oracle.TICKS)):
+        _sql = _sql.replace(f"{{{_key}}}", f"({_from})")
+    query(_name, _sql)(_shared(_body))
+
+
+# Ordered scans and research, checked by tests
+
+
+def _transform(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = transforms.run(sources.hour_bars(spark, sf_dir), name)
+        return rounded(made, "open", "high", "low", "close", "volume")
+
+    return run
+
+
+_HA = f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n FROM ({oracle.HOUR_BARS})),
+h AS (SELECT symbol, n, (open + close) / 2 AS o, (open + high + low + close) / 4 AS c FROM b WHERE n = 0
+UNION ALL SELECT b.symbol, b.n, (h.o + h.c) / 2 AS o, (b.open + b.high + b.low + b.close) / 4 AS c FROM h JOIN b ON b.symbol = h.symbol AND b.n = h.n + 1)
+SELECT b.symbol, b.n, CAST(epoch(b.ts) AS BIGINT) AS epoch, {', '.join(f"round({e} + {NUDGE!r}, 6) AS {c}" for c, e in (('open', 'h.o'), ('high', 'greatest(b.high, h.o, h.c)'), ('low', 'least(b.low, h.o, h.c)'), ('close', 'h.c'), ('volume', 'b.volume')))} FROM b JOIN h ON b.symbol = h.symbol AND b.n = h.n"""
+for _name in transforms.TRANSFORMS:
+    query("tf_" + _name.replace("-", "_"), _HA if _name == "heikin-ashi" else None)(_transform(_name))
+
+
+@query("dtw_similar")
+def dtw_similar(spark, sf_dir):
+    return rounded(research.find_similar(sources.daily_bars(spark, sf_dir), "A"), "dist", "fwd_pct")
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sign = F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1)
+    return lines.select(
+        F.col("l_suppkey").cast("string").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"),
+        (F.col("l_quantity") * sign).cast("decimal(20,4)").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(20,4)").alias("price"),
+    )
+
+
+@query("position_ledger")
+def position_ledger(spark, sf_dir):
+    return research.position_ledger(_fills(spark, sf_dir))
+
+
+@query("round_trips_flat")
+def round_trips_flat(spark, sf_dir):
+    return research.flat_to_flat(research.position_ledger(_fills(spark, sf_dir)))
+
+
+@query("monte_carlo")
+def monte_carlo(spark, sf_dir):
+    returns = sources.daily_bars(spark, sf_dir).selectExpr("symbol", "close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS x")
+    return rounded(research.monte_carlo(spark, returns, paths=200, horizon=60), "total")
+
+
+@query("deflated_sharpe")
+def deflated_sharpe(spark, sf_dir):
+    return research.deflated_sharpe(QUERIES["grid_search_sma"](spark, sf_dir))
+
+
+@query("param_stability")
+def param_stability(spark, sf_dir):
+    return research.parameter_stability(QUERIES["grid_search_sma"](spark, sf_dir))
+
+
+@query("guarded_sql", f"SELECT symbol, count(*) AS n FROM ({oracle.HOUR_BARS}) GROUP BY symbol")
+def guarded_sql(spark, sf_dir):
+    return guard.guarded(spark, "WITH x AS (SELECT * FROM ohlcv) SELECT symbol, count(*) AS n FROM x GROUP BY symbol", {"ohlcv": sources.hour_bars(spark, sf_dir)})
