@@ -31,10 +31,10 @@ def deduplicated(ticks: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["symbol", "event_id"])
 
 
-def tumbling_bars(ticks: DataFrame, every: str = "1 hour", lateness: str = "1 minute", start: str = "0 minutes") -> DataFrame:
-    """Bars of a stream or a table. Append mode gives closed bars, update mode forming ones."""
+def tumbling_bars(ticks: DataFrame, every: str = "1 hour", start: str = "0 minutes") -> DataFrame:
+    """Bars of a stream with a watermark, or of a table. Append mode gives closed bars, update mode forming ones."""
     by = F.struct("ts", "event_id")
-    bars = ticks.withWatermark("ts", lateness).groupBy("symbol", F.window("ts", every, every, start).alias("w")).agg(
+    bars = ticks.groupBy("symbol", F.window("ts", every, every, start).alias("w")).agg(
         F.min_by("price", by).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", by).alias("close"),
         F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_bars"),
     )
