@@ -12,7 +12,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import guard, oracle, research
+from barloom.plans import execution, guard, market_profile, oracle, research
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,46 @@ def param_stability(spark, sf_dir):
 @query("guarded_sql", f"SELECT symbol, count(*) AS n FROM ({oracle.HOUR_BARS}) GROUP BY symbol")
 def guarded_sql(spark, sf_dir):
     return guard.guarded(spark, "WITH x AS (SELECT * FROM ohlcv) SELECT symbol, count(*) AS n FROM x GROUP BY symbol", {"ohlcv": sources.hour_bars(spark, sf_dir)})
+
+
+@query("profile_value_area")
+def profile_value_area(spark, sf_dir):
+    found = market_profile.levels(sources.hour_bars(spark, sf_dir), 10, "symbol")
+    return market_profile.value_area(found, 10, "symbol")
+
+
+@query("profile_sessions")
+def profile_sessions(spark, sf_dir):
+    found = market_profile.sessions(sources.hour_bars(spark, sf_dir), 10)
+    return rounded(found, "ib_high", "ib_low", "extension_up", "extension_down")
+
+
+@query(
+    "synthetic_ticks",
+    f"""WITH b AS ({oracle.HOUR_BARS}), p AS (SELECT *, unnest([0, 1, 2, 3]) AS n FROM b)
+SELECT symbol, ts, CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN open WHEN 3 THEN close ELSE CASE WHEN (close >= open) = (n = 1) THEN low ELSE high END END AS price,
+CASE n WHEN 0 THEN volume - 3 * floor(volume / 4) ELSE floor(volume / 4) END AS volume FROM p""",
+)
+def synthetic_ticks(spark, sf_dir):
+    return execution.synthetic_ticks(sources.hour_bars(spark, sf_dir)).withColumn("volume", F.col("volume").cast("double"))
+
+
+@query(
+    "risk_refusals",
+    """WITH v AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS symbol, o_totalprice AS value,
+sum(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM orders)
+SELECT o_orderkey, CASE WHEN value > 300000 THEN 'order value' WHEN spent > 500000 THEN 'cash' WHEN abs(spent) > 400000 THEN 'position value' END AS refused FROM v""",
+)
+def risk_refusals(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    side = F.when(F.col("o_orderkey") % 3 == 0, "SELL").otherwise("BUY")
+    # the order's key breaks ties of its date
+    stamp = F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, o_orderkey / 1000000.0)")
+    rows = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("symbol"), stamp.alias("ts"), side.alias("side"), F.lit(1.0).alias("quantity"), F.col("o_totalprice").alias("price"))
+    return execution.risk_refusals(rows, 500_000, 300_000, 400_000, 1_000_000).select("o_orderkey", "refused")
+
+
+@query("wf_folds")
+def wf_folds(spark, sf_dir):
+    n = sources.daily_bars(spark, sf_dir).filter("symbol = 'A'").count()
+    return execution.folds(spark, n, train=120, test=60)
