@@ -12,7 +12,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import execution, guard, market_profile, oracle, research
+from barloom.plans import execution, guard, market_profile, oracle, research, signals
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,3 +229,45 @@ def risk_refusals(spark, sf_dir):
 def wf_folds(spark, sf_dir):
     n = sources.daily_bars(spark, sf_dir).filter("symbol = 'A'").count()
     return execution.folds(spark, n, train=120, test=60)
+
+
+# Signals of recurrences
+
+
+def _signal_sql(name: str, rule: str) -> str:
+    return f"SELECT symbol, ts, side FROM (SELECT symbol, ts, {rule} AS side FROM ({oracle.scan_sql(name, 12, 0.0)}) x) y WHERE side IS NOT NULL"
+
+
+def _before(x: str) -> str:
+    return f"lag({x}) OVER (PARTITION BY symbol ORDER BY ts)"
+
+
+@query("signals_macd_cross", _signal_sql("macd", f"CASE WHEN {_before('macd')} <= {_before('signal')} AND macd > signal THEN 'BUY' WHEN {_before('macd')} >= {_before('signal')} AND macd < signal THEN 'SELL' END"))
+def signals_macd_cross(spark, sf_dir):
+    return signals.macd_cross(sources.hour_bars(spark, sf_dir))
+
+
+@query("signals_rsi_reversal", _signal_sql("rsi", f"CASE WHEN {_before('value')} <= 30 AND value > 30 THEN 'BUY' WHEN {_before('value')} >= 70 AND value < 70 THEN 'SELL' END"))
+def signals_rsi_reversal(spark, sf_dir):
+    return signals.rsi_reversal(sources.hour_bars(spark, sf_dir))
+
+
+@query("signals_supertrend_flip")
+def signals_supertrend_flip(spark, sf_dir):
+    return signals.supertrend_flip(sources.hour_bars(spark, sf_dir))
+
+
+@query("signals_ema_ribbon_pullback")
+def signals_ema_ribbon_pullback(spark, sf_dir):
+    return signals.ema_ribbon_pullback(sources.hour_bars(spark, sf_dir))
+
+
+@query("signals_supertrend_regime")
+def signals_supertrend_regime(spark, sf_dir):
+    return signals.supertrend_regime(sources.hour_bars(spark, sf_dir))
+
+
+@query("event_log_chain")
+def event_log_chain(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return signals.event_chain(events.select(F.col("event_type").alias("key"), F.col("event_id").alias("n"), F.col("props").alias("payload")))
