@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from barloom.operators import scans
 
-ORDER = Window.partitionBy("symbol").orderBy("ts")
+
+def in_order() -> Window:
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def crosses(a: Column, b: Column) -> Column:
     """BUY where ``a`` rises above ``b``, SELL where it falls below; null elsewhere."""
-    before_a, before_b = F.lag(a).over(ORDER), F.lag(b).over(ORDER)
+    before_a, before_b = F.lag(a).over(in_order()), F.lag(b).over(in_order())
     return F.when((before_a <= before_b) & (a > b), "BUY").when((before_a >= before_b) & (a < b), "SELL")
 
 
@@ -31,12 +33,12 @@ def macd_cross(bars: DataFrame) -> DataFrame:
 
 def rsi_reversal(bars: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
     """BUY on the way up through ``low``, SELL on the way down through ``high``."""
-    now, before = F.col("value"), F.lag("value").over(ORDER)
+    now, before = F.col("value"), F.lag("value").over(in_order())
     return _only(scans.run(bars, {"rsi": {}}), F.when((before <= low) & (now > low), "BUY").when((before >= high) & (now < high), "SELL"))
 
 
 def supertrend_flip(bars: DataFrame) -> DataFrame:
-    now, before = F.col("direction"), F.lag("direction").over(ORDER)
+    now, before = F.col("direction"), F.lag("direction").over(in_order())
     return _only(scans.run(bars, {"supertrend": {}}), F.when((before < 0) & (now > 0), "BUY").when((before > 0) & (now < 0), "SELL"))
 
 
@@ -55,9 +57,9 @@ def ema_ribbon_pullback(bars: DataFrame, lengths: tuple[int, ...] = (9, 21, 50,
 
 def supertrend_regime(bars: DataFrame, cooldown: int = 5, hold: int = 20) -> DataFrame:
     """Supertrend flips that aren't within ``cooldown`` bars of the last one, with the bar of their exit."""
-    rows = scans.run(bars, {"supertrend": {}}).withColumn("n", F.row_number().over(ORDER))
-    flips = rows.withColumn("side", F.when((F.lag("direction").over(ORDER) < 0) & (F.col("direction") > 0), "BUY").when((F.lag("direction").over(ORDER) > 0) & (F.col("direction") < 0), "SELL"))
-    before = F.lag("n").over(ORDER)
+    rows = scans.run(bars, {"supertrend": {}}).withColumn("n", F.row_number().over(in_order()))
+    flips = rows.withColumn("side", F.when((F.lag("direction").over(in_order()) < 0) & (F.col("direction") > 0), "BUY").when((F.lag("direction").over(in_order()) > 0) & (F.col("direction") < 0), "SELL"))
+    before = F.lag("n").over(in_order())
     kept = flips.filter("side is not null").withColumn("gap", F.col("n") - before).filter(F.col("gap").isNull() | (F.col("gap") > cooldown))
     exits = rows.select("symbol", F.col("n").alias("exit_n"), F.col("ts").alias("exit_ts"))
     return kept.join(exits, (kept["symbol"] == exits["symbol"]) & (kept["n"] + hold == exits["exit_n"]), "left").select(kept["symbol"], "ts", "side", "exit_ts")
