@@ -6,16 +6,17 @@ doc_id stands for it. Each class has a MinHash signature, and every
 (coordinate, value) pair of it is a token of an inverted index.
 
 Two sets that reach the threshold agree in at least ``min_matches`` of the
-coordinates, but for a chance of about 1e-5. So of a class's tokens only the
+coordinates, but for a chance of about 2e-5. So of a class's tokens only the
 first ``coordinates - min_matches + 1`` have to be posted, in one order of all
 tokens: the rarest first, by their count over all classes. The frequent tokens
 of a class are skipped by this, and so are tokens that occur once. Collisions in
-the skipped lists are counted from the signatures, which are merged for each
-pair that meets in a posted list. Pairs with enough matches are confirmed on the
+the skipped lists are counted from the signatures: the low bits of all coordinates
+stand beside each posting and bound the count while lists are joined, and whole
+signatures are merged for the pairs that are left. Pairs with enough matches are confirmed on the
 full sets.
 
 Pairs within a component aren't wanted, so a large group doesn't emit them. First
-the members of each list meet only the list's pivot. Pairs that are near by their
+the members of each list meet only a few pivots of the list. Pairs that are near by their
 signatures join families, and those confirmed on the sets join components. Then
 the members of a family outside its first member's component are compared with
 all its members, block by block, which returns no more links than join them. At
@@ -35,19 +36,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import materialize
 
-COORDINATES = 32
-MIN_MATCHES = 15
+COORDINATES = 64
+MIN_MATCHES = 37
 BLOCK = 256
+PIVOTS = 3
 WORDS = 5
 THRESHOLD = 80
 SMALL_IDS = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -96,19 +98,36 @@ def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def sketch(sig: np.ndarray) -> list[int]:
+    """The low four bits of each coordinate, sixteen to a long."""
+    low = (sig.view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(low, axis=1).view(np.int64).tolist()
+
+
+def _agreeing(left: str, right: str, coordinates: int) -> Column:
+    """How many coordinates agree in their low bits: at least as many as match."""
+    differing = F.lit(0)
+    for i in range(coordinates // 16):
+        x = F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))
+        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+        differing = differing + F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(coordinates) - differing
+
+
 def _signed(batches: Iterator[pa.RecordBatch], words: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     factors = multipliers(coordinates)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            sizes, keys, sigs = [], [], []
+            sizes, keys, sigs, sketches = [], [], [], []
             for t in part.column(1).cast(pa.binary()):
                 s = shingle_set(t.as_py() or b"", words)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s, factors) if len(s) else None)
-            cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "signature"])
+                sketches.append(sketch(sigs[-1]) if len(s) else None)
+            cols = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "signature", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -196,9 +215,9 @@ class _Linker:
         def sign(batches):
             return _signed(batches, words, coordinates)
 
-        self.signed = materialize(self.docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature array<int>"), "signed")
+        self.signed = materialize(self.docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature array<int>, sketch array<long>"), "signed")
         classes = self.signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        classes = classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+        classes = classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         self.classes = materialize(classes, "classes")
 
     def postings(self) -> DataFrame:
@@ -208,6 +227,7 @@ class _Linker:
         may be linked lie in one band or in neighbours. Each class is posted in
         its own band and, as a smaller partner, in the next.
         """
+        names = [f"k{i}" for i in range(self.coordinates // 16)]
         tokens = self.classes.select("id", "n", F.posexplode("signature").alias("at", "value"))
         tokens = tokens.select("id", F.col("n").cast("int").alias("n"), F.xxhash64("at", "value").alias("token"))
         shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -219,8 +239,10 @@ class _Linker:
         rows = kept.select("id", band.alias("band"), F.explode(rarest).alias("t"))
         places = F.explode(F.array(F.struct("band", F.lit(1).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(0).alias("own"))))
         rows = rows.select("id", F.col("t.token").alias("token"), places.alias("p")).select("token", "p.band", "id", "p.own")
+        sketches = self.classes.select("id", *(F.col("sketch")[i].alias(k) for i, k in enumerate(names)))
         lists = rows.groupBy("token", "band").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("owned")).filter("size > 1 and owned = 1")
-        return materialize(rows.join(lists.select("token", "band"), ["token", "band"], "left_semi"), "postings")
+        rows = rows.join(lists.select("token", "band"), ["token", "band"], "left_semi")
+        return materialize(rows.join(sketches, "id"), "postings")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The distinct pairs (a, b) whose sizes and signatures are close enough."""
@@ -285,8 +307,14 @@ class _Linker:
         """id and component of the classes that are linked with others."""
         postings = self.postings()
         key = ["token", "band"]
-        pivots = postings.groupBy(*key).agg(F.min("id").alias("a"))
-        near = self.near(postings.join(pivots, key).filter("id <> a").select("a", F.col("id").alias("b")))
+        names = [f"k{i}" for i in range(self.coordinates // 16)]
+        alike = _agreeing("k", "m", self.coordinates) >= self.min_matches
+        me = F.struct("id", *names)
+        turns = [F.min_by(me, F.xxhash64("id", F.lit(r))) for r in range(1, PIVOTS)]
+        pivots = postings.groupBy(*key).agg(F.array_distinct(F.array(F.min(me), *turns)).alias("pivots")).select(*key, F.explode("pivots").alias("p"))
+        pivots = pivots.select(*key, F.col("p.id").alias("pivot"), *(F.col(f"p.{k}").alias(k.replace("k", "m")) for k in names))
+        pairs = postings.join(pivots, (postings["token"] == pivots["token"]) & (postings["band"] == pivots["band"]) & (F.col("id") != F.col("pivot")) & alike)
+        near = self.near(pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
         if near.isEmpty():
             groups = self.classes.select("id", F.col("id").alias("component")).limit(0)
             families = self.classes.select("id", F.col("id").alias("family")).limit(0)
@@ -301,11 +329,15 @@ class _Linker:
                 links = links.unionByName(more)
                 groups = connected(links)
         lists = postings.join(groups, "id", "left").join(families, "id", "left")
-        lists = lists.select(*key, "id", "own", F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"))
+        lists = lists.select(*key, "id", "own", *names, F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"))
         lists = materialize(lists, "lists")
-        other = lists.select(*key, F.col("id").alias("b"), F.col("component").alias("cb"), F.col("own").alias("with"), F.col("family").alias("fb"))
-        once = (F.col("component") < F.col("cb")) | (F.col("with") == 0) & (F.col("component") != F.col("cb"))
-        pairs = lists.filter("own = 1").withColumnRenamed("id", "a").join(other, key).filter(once & (F.col("family") != F.col("fb"))).select("a", "b")
+        other = lists.select(
+            F.col("token").alias("token_b"), F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("own").alias("own_b"),
+            F.col("family").alias("fb"), *(F.col(k).alias(k.replace("k", "m")) for k in names),
+        )
+        once = (F.col("component") < F.col("cb")) | (F.col("own_b") == 0) & (F.col("component") != F.col("cb"))
+        same = (F.col("token") == F.col("token_b")) & (F.col("band") == F.col("band_b"))
+        pairs = lists.filter("own = 1").withColumnRenamed("id", "a").join(other, same & once & (F.col("family") != F.col("fb")) & alike).select("a", "b")
         rest = self.near(pairs)
         if rest.isEmpty():
             return groups
