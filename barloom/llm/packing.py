@@ -63,11 +63,14 @@ class _Tokens:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_rank = self._ranked()
         if self.by_rank is not None and not np.array_equal(self._one(PROBE), self._file(PROBE)):
             self.by_rank = None
+        if self.by_rank is not None:
+            self.tokenizer = None  # read again for the odd text that needs it
 
     def _ranked(self):
         import tiktoken
@@ -90,6 +93,11 @@ class _Tokens:
         return np.array(self.by_rank.encode_ordinary(text), "<u4")
 
     def _file(self, text: str) -> np.ndarray:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
