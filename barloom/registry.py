@@ -271,3 +271,34 @@ def signals_supertrend_regime(spark, sf_dir):
 def event_log_chain(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return signals.event_chain(events.select(F.col("event_type").alias("key"), F.col("event_id").alias("n"), F.col("props").alias("payload")))
+
+
+# Stores and selections
+
+
+@query("dataset_fingerprint")
+def dataset_fingerprint(spark, sf_dir):
+    return sources.dataset_fingerprint(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query("schema_of", "SELECT column_name AS name, 1 AS present FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props')) t(column_name)")
+def schema_of(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").columns
+    return spark.createDataFrame([(n,) for n in names], "name string").withColumn("present", F.lit(1))
+
+
+@query("active_symbols", "SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 490)")
+def active_symbols(spark, sf_dir):
+    rows = sources.ticks(spark, sf_dir)
+    return sources.active(rows.select("symbol").distinct(), rows.filter("price > 490").select("symbol").distinct())
+
+
+@query(
+    "otm_strikes",
+    "SELECT underlying, strike, CAST(place AS INTEGER) AS place FROM (SELECT p_brand AS underlying, p_retailprice AS strike, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS place "
+    "FROM (SELECT DISTINCT p_brand, p_retailprice FROM part WHERE p_retailprice > 500) d) x WHERE place <= 3",
+)
+def otm_strikes(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    chain = part.select(F.col("p_brand").alias("underlying"), F.col("p_retailprice").alias("strike"), F.lit("CALL").alias("right")).distinct()
+    return sources.strikes(chain, F.lit(500.0), "CALL", 3).select("underlying", "strike", "place")

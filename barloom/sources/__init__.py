@@ -94,3 +94,41 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"),
     )
     return ohlcv(rows, "symbol", F.date_trunc("day", "ts").alias("ts"), order=("l_orderkey", "l_linenumber"))
+
+
+# Small stores
+
+
+def write_json_bars(rows: DataFrame, path: str) -> None:
+    """Append bars to a store of JSON lines by symbol."""
+    rows.write.mode("append").partitionBy("symbol").json(path)
+
+
+def read_json_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars of a JSON store between inclusive bounds; of equal stamps the largest volume stays."""
+    rows = spark.read.schema(BARS).json(path)
+    for bound, keep in ((start, ">="), (end, "<=")):
+        if bound is not None:
+            rows = rows.filter(f"timestamp {keep} TIMESTAMP_NTZ '{bound}'")
+    one = Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("volume"))
+    return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r")
+
+
+def active(symbols: DataFrame, delisted: DataFrame) -> DataFrame:
+    """``symbols`` without those that the delisting ledger holds."""
+    return symbols.join(delisted.select("symbol"), "symbol", "left_anti")
+
+
+def strikes(chain: DataFrame, reference: Column, right: str, k: int, side: str = "otm") -> DataFrame:
+    """The first k strikes of a chain (underlying, strike, right) out of or in the money, from the reference outward."""
+    above = (right == "CALL") == (side == "otm")
+    rows = chain.filter((F.col("right") == right) & (F.col("strike") > reference if above else F.col("strike") < reference))
+    order = Window.partitionBy("underlying").orderBy(F.col("strike") if above else F.desc("strike"))
+    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the lake's files whose footers aren't Parquet's; they are reported, not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
+    tail = F.substring("content", -4, 4)
+    return files.filter((F.col("length") < 12) | (tail != F.lit("PAR1").cast("binary"))).select("path", "length")

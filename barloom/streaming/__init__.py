@@ -89,3 +89,25 @@ def revised_bars(ticks: DataFrame, seconds: int = 3600, revisable_s: int = 60) -
 def latest_marks(ticks: DataFrame) -> DataFrame:
     """The latest price of each symbol; stale ticks don't overwrite it."""
     return ticks.groupBy("symbol").agg(F.max_by("price", F.struct("ts", "event_id")).alias("mark"), F.max("ts").alias("ts"))
+
+
+QUIET = "symbol string, quiet_from timestamp"
+
+
+def quiet_symbols(ticks: DataFrame, seconds: int = 180, lateness: str = "1 minute") -> DataFrame:
+    """A row for each symbol that has had no tick for ``seconds`` of event time."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"symbol": [key[0]], "quiet_from": [pd.Timestamp(last, unit="ms")]})
+            return
+        last = max((int(x.timestamp() * 1000) for pdf in frames for x in pdf["ts"]), default=0)
+        if state.exists:
+            last = max(last, state.get[0])
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+
+    watched = ticks.withWatermark("ts", lateness).groupBy("symbol")
+    return watched.applyInPandasWithState(run, QUIET, "last long", "append", GroupStateTimeout.EventTimeTimeout)
