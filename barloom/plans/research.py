@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
@@ -102,17 +102,20 @@ def flat_to_flat(ledger: DataFrame) -> DataFrame:
     return trips.withColumn("pnl", F.col("upto") - before).filter("left = 0").select("symbol", "trip", "first_n", "last_n", "pnl")
 
 
-def monte_carlo(spark: SparkSession, returns: DataFrame, paths: int = 1000, horizon: int = 252, seed: int = 7) -> DataFrame:
-    """Compounded results of bootstrapped paths of returns (columns symbol, x)."""
+def monte_carlo(returns: DataFrame, paths: int = 1000, horizon: int = 252, seed: int = 7) -> DataFrame:
+    """Compounded results of bootstrapped paths of returns (columns symbol, x).
+
+    A path is one row, whose draws a fold makes from its hash; nothing is joined.
+    """
     lists = returns.filter("x is not null").groupBy("symbol").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    draws = spark.range(paths).withColumnRenamed("id", "path").select("path", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    each = lists.select("symbol", "xs", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
 
-    def pick(xs: Column) -> Column:
-        at = F.pmod(F.xxhash64("symbol", "path", "step", F.lit(seed)), F.size(xs).cast("long"))
-        return F.element_at(xs, (at + 1).cast("int"))
+    def grown(total: Column, step: Column) -> Column:
+        at = F.pmod(F.xxhash64("symbol", "path", step, F.lit(seed)), F.size("xs").cast("long"))
+        return total + F.ln(1 + F.greatest(F.element_at("xs", (at + 1).cast("int")), F.lit(-0.999999)))
 
-    each = draws.join(F.broadcast(lists)).select("symbol", "path", F.ln(1 + F.greatest(pick(F.col("xs")), F.lit(-0.999999))).alias("g"))
-    return each.groupBy("symbol", "path").agg((F.exp(F.sum("g")) - 1).alias("total"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.lit(0.0), grown)
+    return each.select("symbol", F.col("path").cast("long").alias("path"), (F.exp(walk) - 1).alias("total"))
 
 
 def expected_best_sharpe(trials: int, variance: float) -> float | None:
