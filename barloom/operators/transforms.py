@@ -147,10 +147,9 @@ def run(bars: DataFrame, name: str, **params) -> DataFrame:
         seconds = pdf["ts"].astype("datetime64[s]").astype("int64").to_numpy()
         made = fn(seconds, *(pdf[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")), *values)
         out = pd.DataFrame(made, columns=["epoch", "open", "high", "low", "close", "volume"])
-        last = None
-        for i, t in enumerate(out["epoch"]):
-            last = t if last is None or t > last else last + 1
-            out.loc[i, "epoch"] = last
+        at = np.arange(len(out))
+        epoch = np.maximum.accumulate(out["epoch"].to_numpy(np.int64) - at) + at  # strictly rising, by a second where it must
+        out["epoch"] = epoch
         return out.assign(symbol=pdf["symbol"].iloc[0], n=range(len(out)))[["symbol", "n", "epoch", "open", "high", "low", "close", "volume"]]
 
     schema = "symbol string, n long, epoch long, open double, high double, low double, close double, volume double"
