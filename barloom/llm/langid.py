@@ -115,7 +115,7 @@ def fit_model(x: np.ndarray, y: list[str]) -> LanguageModel:
     def machine(take: np.ndarray, positive: np.ndarray) -> np.ndarray:
         sign = np.where(positive[take], 1.0, -1.0)
         weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-        return fit_linear_svm(x[take], sign, c=200.0, steps=100, weight=weight).astype(np.float32)
+        return fit_linear_svm(x if take.all() else x[take], sign, c=200.0, steps=100, weight=weight).astype(np.float32)
 
     family_w = np.stack([machine(np.ones(len(x), bool), r) for r in rows]) if len(families) > 1 else np.zeros((1, x.shape[1] + 1), np.float32)
     pairs = {}
@@ -150,8 +150,11 @@ def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     rows = sorted((r["lang"], bytes(r["grams"])) for r in training_sample(docs, train_docs).collect())
-    x = np.stack([np.frombuffer(g, "<f2") for _, g in rows]).astype(np.float32) if rows else np.zeros((0, WIDTH), np.float32)
-    return fit_model(x, [lang for lang, _ in rows])
+    langs, x = [lang for lang, _ in rows], np.empty((len(rows), WIDTH), np.float32)
+    while rows:  # each row goes as it is unpacked
+        at = len(rows) - 1
+        x[at] = np.frombuffer(rows.pop()[1], "<f2")
+    return fit_model(x, langs)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
