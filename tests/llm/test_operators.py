@@ -289,6 +289,16 @@ def test_bpe_equals_the_library(spark):
     assert all(digests[i].ids_sha256 == hashlib.sha256(",".join(map(str, rows[i].ids)).encode()).hexdigest() for i in range(len(texts)))
 
 
+def test_both_forms_of_the_pattern_agree():
+    import regex
+
+    split, general = bpe.splitter(bpe.default_pattern()), regex.compile(bpe.default_pattern()).findall
+    rng = random.Random(2)
+    for n in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(32, 127), 32, 10, 39])) for _ in range(rng.randint(0, 40)))
+        assert split(text) == general(text), repr(text)
+
+
 # 1, 2, 10: models
 
 
