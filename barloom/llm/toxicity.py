@@ -50,7 +50,8 @@ OTHERS = 16
 SENTENCES = 6000
 MEMO_WORDS = 250_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_END = 1024.0
+_END, _ONE = 1024.0, 4096.0
+_PUNCTUATION = ".,;:!?'\"()-"
 _RUNS = re.compile(r"(.)\1+")
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 
@@ -136,10 +137,12 @@ def core(token: str) -> str:
     if token.isalpha():
         letters = token
     else:
-        token = _EDGES.sub("", token)
-        if any(map(str.isalpha, token)):
-            token = token.translate(_LOOKALIKE)
-        letters = "".join(filter(str.isalpha, token))
+        letters = token.strip(_PUNCTUATION)
+        if not letters.isalpha():
+            letters = _EDGES.sub("", letters)
+            if any(map(str.isalpha, letters)):
+                letters = letters.translate(_LOOKALIKE)
+            letters = "".join(filter(str.isalpha, letters))
     return _RUNS.sub(r"\1", letters)
 
 
@@ -150,10 +153,8 @@ def windows(word: str) -> list[str]:
     return [word[at : at + LONGEST] for at in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def spaced_words(tokens: list[str]) -> list[tuple[int, str]]:
-    """Runs of three or more single letters, joined, with the place of their first token."""
-    lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-    one = np.flatnonzero(lengths == 1)
+def spaced_words(tokens: list[str], one: np.ndarray) -> list[tuple[int, str]]:
+    """Runs of three or more single letters, joined, with the place of their first token; ``one`` are the places of single letters."""
     if len(one) < 3:
         return []
     cuts = np.flatnonzero(np.diff(one) > 1) + 1
@@ -183,10 +184,12 @@ class ToxicityModel:
     constant: float | None = None
 
     def __post_init__(self) -> None:
+        # two generations: a full young one becomes the old one, and what is found there moves back
         self.memo: dict[str, float] = {}
+        self.old: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "memo": {}, "old": {}}
 
     def values(self, words: list[str]) -> np.ndarray:
         """The decision value that each word adds to its sentence."""
@@ -198,40 +201,52 @@ class ToxicityModel:
         np.maximum.at(out, [i for i, _ in parts], own)
         return out
 
-    def learn_tokens(self, tokens: set[str]) -> None:
-        """Put the values of ``tokens`` into the memo; the end of a sentence is marked by an offset."""
+    def token_values(self, tokens: set[str]) -> dict[str, float]:
+        """Values of tokens; offsets mark single letters and the ends of sentences."""
         listed = list(tokens)
         cores = [core(t) for t in listed]
         distinct = list(dict.fromkeys(c for c in cores if len(c) > 2))
         value = dict(zip(distinct, self.values(distinct).tolist()))
+        out = {}
         for t, c in zip(listed, cores):
-            self.memo[t] = min(400.0, max(-400.0, value.get(c, 0.0))) + (_END if t[-1] in ".!?" else 0.0)
+            out[t] = min(400.0, max(-400.0, value.get(c, 0.0))) + (_END if t[-1] in ".!?" else 0.0) + (_ONE if len(t) == 1 else 0.0)
+        return out
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """The highest sentence value of each text."""
-        split = [t.lower().split() for t in texts]
-        memo = self.memo
-        new = {t for tokens in split for t in tokens if t not in memo}
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = {t for tokens in split for t in tokens}
-        self.learn_tokens(new)
         out = np.full(len(texts), self.bias)
-        for i, tokens in enumerate(split):
-            if tokens:
-                v = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
-                ends = v > _END / 2
-                v -= _END * ends
-                v[1:][list(map(operator.eq, tokens[1:], tokens))] = 0.0  # a word said again at once counts once
-                joined = spaced_words(tokens)
-                if joined:
-                    for (at, _), extra in zip(joined, self.values([w for _, w in joined])):
-                        v[at] += extra
-                out[i] += np.add.reduceat(v, sentence_starts(ends)).max()
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
+        split = [t.lower().split() for t in texts]
+        found = [list(map(self.memo.get, tokens)) for tokens in split]
+        missing = {t for tokens, values in zip(split, found) if None in values for t, v in zip(tokens, values) if v is None}
+        if missing:  # all texts' new words at once
+            new = self.renewed(missing)
+            found = [[new[t] if v is None else v for t, v in zip(tokens, values)] if None in values else values for tokens, values in zip(split, found)]
+        for i, (tokens, values) in enumerate(zip(split, found)):
+            if not tokens:
+                continue
+            v = np.array(values)
+            one = v > _ONE / 2
+            v -= _ONE * one
+            ends = v > _END / 2
+            v -= _END * ends
+            joined = spaced_words(tokens, np.flatnonzero(one))
+            v[1:][v[1:] == v[:-1]] = 0.0  # a word said again at once counts once
+            if joined:
+                for (at, _), extra in zip(joined, self.values([core(w) for _, w in joined])):
+                    v[at] += extra
+            out[i] += np.add.reduceat(v, sentence_starts(ends)).max()
         return out
 
+    def renewed(self, missing: set[str]) -> dict[str, float]:
+        """The values of tokens that the memo lacks, from the old generation or anew."""
+        known = {t: self.old[t] for t in missing if t in self.old}
+        values = known | self.token_values(missing - known.keys())
+        if len(self.memo) + len(values) > MEMO_WORDS:
+            self.old, self.memo = self.memo, {}
+        if len(values) <= MEMO_WORDS:
+            self.memo.update(values)
+        return values
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
