@@ -12,8 +12,8 @@ filled bins of all shards are dissolved and packed again, in ever fewer shards,
 until one shard holds them or another level no longer halves them.
 
 Defined cases: a null or empty text is one piece of the end id alone; repeated
-rows are packed once each; an empty table gives no rows; texts of special tokens
-are ordinary text.
+rows are packed once each; an empty table gives no rows; an added token of the
+tokenizer's file that a text quotes has its own id, as the file defines it.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 DISSOLVE_BELOW = 0.98
-PROBE = "It's 3 o'clock,  naïve \u4e2d\u6587 \U0001f600\n\n\tx_y--z  <|endoftext|> "
+PROBE = "It's 3 o'clock,  naïve \u4e2d\u6587 \U0001f600\n\n\tx_y--z  <|end|> "
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -57,7 +57,8 @@ class _Tokens:
     The file is read by ``tokenizers``. Where its vocabulary is byte-level BPE
     whose ids follow its merges, as ranks do, the merges run in ``tiktoken``,
     which gives the same ids in a quarter of the time; a probe text is compared
-    when the file is loaded. Any other file is encoded by ``tokenizers`` itself.
+    when the file is loaded. Any other file, and any text that quotes one of the
+    file's added tokens, is encoded by ``tokenizers`` itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,7 +66,7 @@ class _Tokens:
 
         self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.by_rank = self._ranked()
         if self.by_rank is not None and not np.array_equal(self._one(PROBE), self._file(PROBE)):
             self.by_rank = None
@@ -97,12 +98,15 @@ class _Tokens:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return [self._one(t).tobytes() if self.by_rank is not None and not _long_run(t) else self._file(t).tobytes() for t in texts]
+        return [self._one(t).tobytes() if self._plain(t) else self._file(t).tobytes() for t in texts]
+
+    def _plain(self, text: str) -> bool:
+        """Whether ``tiktoken`` gives the ids of the file."""
+        return self.by_rank is not None and not any(a in text for a in self.added) and not _long_run(text)
 
 
 def _long_run(text: str) -> bool:

@@ -183,6 +183,20 @@ def test_packing_is_exact_and_tight(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+def test_ids_are_those_of_the_unmodified_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| >", "plain words", "word <|endoftext|> " * 900]
+    assert packing.load(packing.default_tokenizer()).by_rank is not None
+    rows = packing.pieces(documents(spark, texts), keep_ids=True).toPandas()
+    for i, t in enumerate(texts):
+        own = rows[rows.doc_id == i].sort_values("piece")
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert [int(x) for part in own.ids for x in part] == ids
+        assert [zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in own.itertuples()] == own.ids_crc32.tolist()
+
+
 def test_pieces_that_never_fit_together_end(spark):
     found = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
     assert packing.pack_pieces(found, shard_pieces=40).select("sequence_id").distinct().count() == 300
