@@ -338,7 +338,8 @@ def pack_pieces(found: DataFrame, limit: int = SEQUENCE, shard_pieces: int = SHA
         places = _pack_shards(shards.select("shard", "lengths"), count, limit)
         each = shards.select("shard", "items").join(places, "shard").select("shard", F.explode(F.arrays_zip("items", "places")).alias("z"))
         placed = materialize(each.select("shard", *(F.col(f"z.items.{c}").alias(c) for c in columns), "z.places.local", "z.places.offset", "z.places.fill"), "placed")
-        placed = placed.withColumn("sequence_id", ((F.col("shard") * shard_pieces + F.col("local")) * 16 + level) * 2 + 1)
+        number = F.shiftleft("shard", 32) + F.col("local")  # a shard may hold more than ``shard_pieces``
+        placed = placed.withColumn("sequence_id", (number * 16 + level) * 2 + 1)
         # lengths that leave bins half empty whatever their company gain nothing from another level
         last = count == 1 or level == 15 or before is not None and n > before / 2
         tight = F.lit(True) if last else F.col("fill") >= limit * DISSOLVE_BELOW

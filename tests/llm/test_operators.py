@@ -202,6 +202,15 @@ def test_pieces_that_never_fit_together_end(spark):
     assert packing.pack_pieces(found, shard_pieces=40).select("sequence_id").distinct().count() == 300
 
 
+def test_shards_above_their_size_keep_sequences_apart(spark):
+    cuts = [0, 19, 40, 59, 80]  # four partitions of odd sizes: shard 0 of 2 gets 42 pieces
+    rdd = spark.sparkContext.parallelize(list(zip(cuts, cuts[1:])), 4).flatMap(lambda r: [(i,) for i in range(*r)])
+    ids = spark.createDataFrame(rdd, "id long")
+    found = ids.select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1010).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    rows = packing.pack_pieces(found, shard_pieces=40).toPandas()
+    assert len(rows) == 80 and rows.groupby("sequence_id").length.sum().max() <= 1024
+
+
 def test_crossover_keeps_each_piece_once():
     rng = random.Random(5)
     lengths = sorted((rng.randint(1, 1023) for _ in range(200)), reverse=True)
