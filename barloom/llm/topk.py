@@ -9,13 +9,18 @@ components that a unit vector must have on the query's largest coordinates, and
 keeps the rows within these bounds; where it is low, length pruning keeps the rows
 that are long enough. Integer products verify what is left.
 
+Those products are exact in doubles up to 53 bits. A vector with components so
+large that they might not be is compared with all others on a path of its own:
+doubles with a bound on their error find who may be among the best, and Python's
+integers score them.
+
 Queries come in waves of bounded size, each of which is broadcast and scans the
 table once; every task returns its own best k for each query. The first
 thresholds come from the k-th best score over a bounded sample of rows, which
 no true result falls below.
 
-Defined cases: vectors that are null, or hold null or non-finite components, or
-components whose products might leave 53 bits, take no part; vectors of another
+Defined cases: vectors that are null, or hold null or non-finite components, take
+no part; a result whose score doesn't fit 64 bits is an error; vectors of another
 number of components than the query aren't compared with it; rows that repeat a
 vec_id are one candidate with its best score, and as a query their union; rows of
 a null vec_id take no part; a query with fewer candidates gets all of them.
@@ -23,7 +28,9 @@ a null vec_id take no part; a query with fewer candidates gets all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +44,36 @@ BUCKET = 1024
 SAMPLE = 4096
 COORDINATE_FROM = 0.7
 FOCUS = 3
+WIDE_QUERIES = 512
+MAX_SCORE = (1 << 63) - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
 def usable(column: str = "embedding"):
     """Condition for vectors that take part."""
-    # a double's inner products stay exact up to 2**53
-    limit = F.sqrt(F.lit(float(1 << 53)) / F.greatest(F.lit(1), F.size(column))) / SCALE - 1
-    return F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
+    return F.col("vec_id").isNotNull() & F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def integers(rows: DataFrame) -> DataFrame:
-    """vec_id and integer components of the vectors that take part."""
+def usable_vectors(rows: DataFrame) -> DataFrame:
+    """vec_id and components of the vectors that take part."""
     vectors = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return vectors.filter(usable()).select("vec_id", F.transform("embedding", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
+    return vectors.filter(usable()).select("vec_id", F.col("embedding").alias("v"))
+
+
+def _integers(rows: np.ndarray) -> np.ndarray:
+    """Components as integers, infinite where a double can't hold them."""
+    with np.errstate(over="ignore"):
+        return np.floor(rows * SCALE)
+
+
+def _exact(row: np.ndarray) -> list[int]:
+    return [math.floor(x * SCALE) if abs(x) < 1 << 53 else int(x) * SCALE for x in row.tolist()]
+
+
+def _is_wide(rows: np.ndarray) -> np.ndarray:
+    """Which vectors have products with their like that may leave 53 bits, up to which doubles are exact."""
+    limit = math.sqrt((1 << 53) / max(1, rows.shape[1]))
+    return np.abs(_integers(rows)).max(axis=1, initial=0) >= limit
 
 
 def _matrices(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,7 +82,7 @@ def _matrices(ids: np.ndarray, vectors: pa.Array) -> Iterator[tuple[np.ndarray,
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
         flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-        yield ids[rows], flat.reshape(len(rows), d).astype(np.float64)
+        yield ids[rows], flat.reshape(len(rows), d)
 
 
 class Best:
@@ -139,16 +162,73 @@ def _verify(q: int, query_id: int, query: np.ndarray, ids: np.ndarray, block: np
     best.offer(q, ids[other], block[other] @ query)
 
 
+class Wide:
+    """The k best distinct candidates of each query by integers of any size."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> None:
+        self.query_ids, self.queries, self.k, self.floor = query_ids, queries, k, floor.copy()
+        self.best: list[dict[int, int]] = [{} for _ in query_ids]
+
+    def search(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Offer the rows to the queries of these numbers."""
+        for at in range(0, len(rows), BUCKET):
+            for of in range(0, len(numbers), WIDE_QUERIES):
+                self._block(numbers[of : of + WIDE_QUERIES], ids[at : at + BUCKET], rows[at : at + BUCKET])
+
+    def _block(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            q, r = _integers(self.queries[numbers]), _integers(rows)
+            products = q @ r.T
+            error = (rows.shape[1] + 8) * 2.0**-52 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
+            other = self.query_ids[numbers][:, None] != ids[None, :]
+            low = np.where(other & np.isfinite(products) & np.isfinite(error), products - error, -np.inf)
+            _, first = np.unique(ids, return_index=True)
+            if len(first) >= self.k:  # the k-th best of these rows, or better
+                least = np.partition(low[:, first], len(first) - self.k, axis=1)[:, len(first) - self.k]
+                self.floor[numbers] = np.maximum(self.floor[numbers], least)
+            near = other & ~(products + error < self.floor[numbers][:, None])
+        exact: dict[int, list[int]] = {}
+        for i in np.flatnonzero(near.any(axis=1)):
+            n = int(numbers[i])
+            query, best = _exact(self.queries[n]), self.best[n]
+            for j in np.flatnonzero(near[i]).tolist():
+                row = exact.get(j) or exact.setdefault(j, _exact(rows[j]))
+                score, vec_id = sum(map(mul, query, row)), int(ids[j])
+                best[vec_id] = max(score, best.get(vec_id, score))
+            kept = sorted(best.items(), key=lambda x: (-x[1], x[0]))[: self.k]
+            self.best[n] = dict(kept)
+            if len(kept) == self.k and abs(kept[-1][1]) <= MAX_SCORE:
+                # a double just below: ties must still pass
+                self.floor[n] = max(self.floor[n], np.nextafter(float(kept[-1][1]), -np.inf))
+
+    def results(self) -> list[tuple[int, int, int]]:
+        """query_id, vec_id and score, which is held to 64 bits."""
+        return [(q, i, max(-MAX_SCORE, min(MAX_SCORE, s))) for q, best in zip(self.query_ids.tolist(), self.best) for i, s in best.items()]
+
+
 def _partition(batches: Iterator[pa.RecordBatch], wave: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
-    state = {d: Best(len(ids), k, floor) for d, (ids, _, floor) in wave.items()}
+    wide_query = {d: _is_wide(queries) for d, (_, queries, _) in wave.items()}
+    small = {d: (ids[~wide_query[d]], _integers(queries[~wide_query[d]]), floor[~wide_query[d]]) for d, (ids, queries, floor) in wave.items()}
+    state = {d: Best(len(ids), k, floor) for d, (ids, _, floor) in small.items()}
+    wide = {d: Wide(ids, queries, k, floor) for d, (ids, queries, floor) in wave.items()}
     for batch in batches:
         for ids, rows in _matrices(batch.column(0).to_numpy(), batch.column(1)):
-            if rows.shape[1] in wave:
-                q_ids, queries, _ = wave[rows.shape[1]]
-                search(q_ids, queries, ids, rows, state[rows.shape[1]])
+            d = rows.shape[1]
+            if d in wave:
+                big = _is_wide(rows)
+                if big.any():
+                    wide[d].search(np.arange(len(wide[d].query_ids)), ids[big], rows[big])
+                    ids, rows = ids[~big], rows[~big]
+                if wide_query[d].any():
+                    wide[d].search(np.flatnonzero(wide_query[d]), ids, rows)
+                search(*small[d][:2], ids, _integers(rows), state[d])
     for d, best in state.items():
         q, j = np.nonzero(~np.isneginf(best.scores))
-        cols = [pa.array(wave[d][0][q]), pa.array(best.ids[q, j]), pa.array(best.scores[q, j].astype(np.int64))]
+        more = wide[d].results()
+        cols = [
+            pa.array([*values.tolist(), *(m[c] for m in more)], pa.int64())
+            for c, values in enumerate((small[d][0][q], best.ids[q, j], best.scores[q, j].astype(np.int64)))
+        ]
         yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score"])
 
 
@@ -165,18 +245,23 @@ def _floors(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.nd
 def top_k(rows: DataFrame, k: int = K, every: int = 100, wave_size: int = WAVE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score for every row whose vec_id is divisible by ``every``."""
     spark = rows.sparkSession
-    vectors = integers(rows)
+    vectors = usable_vectors(rows)
     is_query = F.col("vec_id") % every == 0
     n_queries = vectors.filter(is_query).count()
     waves = max(1, -(-n_queries // wave_size))
-    seen = {d: (i, r) for i, r, d in ((i, r, r.shape[1]) for i, r in _matrices(*_local(vectors.limit(sample))))}
+    seen = {}
+    for ids, found_rows in _matrices(*_local(vectors.limit(sample))):
+        narrow = ~_is_wide(found_rows)
+        seen[found_rows.shape[1]] = ids[narrow], _integers(found_rows[narrow])
     found = None
     for w in range(waves):
         mine = vectors.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w))
         wave = {}
         for q_ids, queries in _matrices(*_local(mine)):
             d = queries.shape[1]
-            floor = _floors(q_ids, queries, *seen[d], k) if d in seen else np.full(len(queries), -np.inf)
+            floor, narrow = np.full(len(queries), -np.inf), ~_is_wide(queries)
+            if d in seen and narrow.any():
+                floor[narrow] = _floors(q_ids[narrow], _integers(queries[narrow]), *seen[d], k)
             wave[d] = (q_ids, queries, floor)
         held = spark.sparkContext.broadcast(wave)
 
@@ -186,10 +271,12 @@ def top_k(rows: DataFrame, k: int = K, every: int = 100, wave_size: int = WAVE,
         part = vectors.mapInArrow(run, RESULT)
         found = part if found is None else found.unionByName(part)
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id")))
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # scores beyond 64 bits are held to them; none may be a result
     lists = once.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
     ranked = lists.select("query_id", F.posexplode("best").alias("at", "r"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.down")).alias("score"))
+    too_large = F.raise_error(F.lit("a score doesn't fit 64 bits")).cast("long")
+    score = F.when(F.abs(F.col("r.down")) < MAX_SCORE, -F.col("r.down")).otherwise(too_large)
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), score.alias("score"))
 
 
 def _local(vectors: DataFrame) -> tuple[np.ndarray, pa.Array]:

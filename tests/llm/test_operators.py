@@ -118,6 +118,37 @@ def test_top_k_matches_brute_force(spark, case):
     assert len(got) == len(set(got)) and set(got) == brute_top_k([(r.vec_id, r.embedding) for r in df.collect()])
 
 
+@pytest.mark.parametrize("case", ["mixed", "all", "ties", "repeats"])
+def test_top_k_of_large_components(spark, case):
+    rng = np.random.default_rng(1)
+    size = {"mixed": lambda i: 30_000.0 if i % 3 == 0 or i == 200 else 1.0, "all": lambda i: 20_000.0, "repeats": lambda i: 9_000.0 if i % 2 else 20_000.0, "ties": lambda i: 1.0}[case]
+    rows = [(i, [float(x) for x in rng.normal(size=64) * size(i)]) for i in range(230)]
+    if case == "ties":  # integers that doubles can't tell apart
+        rows = [(i, [3.0e5, 2.0**20 + (i % 5) / 1024, 1.0]) for i in range(230)]
+    if case == "repeats":
+        rows += [(i, [x * 2 for x in v]) for i, v in rows[:120]] + [(None, [5e6] * 64), (3, [float("inf")] * 64)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    kept = [(i, [int(np.floor(x * 1024)) for x in v]) for i, v in rows if i is not None and np.isfinite(v).all()]
+    expected = set()
+    for q in (0, 100, 200):
+        best = {}
+        for a in (v for i, v in kept if i == q):
+            for j, b in kept:
+                if j != q:
+                    best[j] = max(best.get(j, -(1 << 200)), sum(x * y for x, y in zip(a, b)))
+        expected |= {(q, n + 1, j, s) for n, (j, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10])}
+    got = [tuple(r) for r in topk.top_k(df, sample=50).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_top_k_scores_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df).collect()
+    alone = spark.createDataFrame([(0, [1e300, 0.0]), (1, [0.0, 1.0]), (2, [-0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(alone).collect()} == {(0, 1, 1, 0), (0, 2, 2, 0)}
+
+
 # 5: lines
 
 
