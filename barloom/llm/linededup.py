@@ -5,8 +5,8 @@ Keys of at least ``min_chars`` code points that occur in at least ``min_docs``
 documents lose all their lines except those of the largest doc_id that holds
 them.
 
-Keys are hashed to 128 bits. One aggregation over all lines counts the documents
-of every hash and keeps those that occur often enough. Each shard of these
+Keys are hashed to 128 bits. One aggregation over all lines counts the distinct
+doc_ids of every hash, by hash and doc_id first and then by hash, and keeps those that occur often enough. Each shard of these
 hashes becomes a minimal perfect hash with arrays of fingerprints, counts and
 last documents, about 21 bytes a key. Documents probe the arrays: there is no
 join of lines, and lines are never shuffled as text. If the arrays exceed
@@ -14,9 +14,9 @@ join of lines, and lines are never shuffled as text. If the arrays exceed
 within that bound; dropping lines of one wave doesn't touch keys of another.
 
 Defined cases: a null or empty text is one empty line; a key that occurs several
-times in one row counts once for that row; rows that repeat a doc_id count as
-documents of their own but share its fate as the largest holder; rows of a null
-doc_id keep only lines that are kept everywhere.
+times in one row counts once for that row; rows that repeat a doc_id are one
+document; rows of a null doc_id aren't counted as documents and keep only lines
+that are kept everywhere.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from barloom.llm.common import materialize
 SPACES = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 50_000
 INDEX_BYTES = 64 << 20
-NO_DOC = -(1 << 63)
 _LINES = "h1 long, h2 long, doc_id long"
 _HASH = np.dtype([("h1", "<i8"), ("h2", "<i8")])
 
@@ -60,7 +59,7 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
             for doc, text in zip(ids, part.column(1).cast(pa.binary())):
                 keys = {digest(k) for line in (text.as_py() or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
                 found += keys
-                owners += [NO_DOC if doc is None else doc] * len(keys)
+                owners += [doc] * len(keys)
             both = np.frombuffer(b"".join(found), _HASH)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(both["h1"]), pa.array(both["h2"]), pa.array(owners, pa.int64())], ["h1", "h2", "doc_id"]
@@ -214,7 +213,8 @@ def line_counts(docs: DataFrame, min_chars: int = 40) -> DataFrame:
         return _hashes(batches, min_chars)
 
     lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _LINES)
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    once = lines.filter(F.col("doc_id").isNotNull()).distinct()
+    return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = SHARD_KEYS, index_bytes: int = INDEX_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:

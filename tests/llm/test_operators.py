@@ -179,6 +179,13 @@ def test_lines_match_brute_force(spark, index_bytes):
     assert {r.lang for r in got} == {"en"}
 
 
+def test_rows_of_one_document_count_once(spark):
+    line, other = "A line of text that is long enough to count once.", "Another line of text that is long enough to count."
+    texts = [line] * 5 + [other] * 6
+    got = linededup.dedup_lines(documents(spark, texts, [1, 1, 1, 1, 2, 1, 1, 3, 4, 5, 6]), shard_keys=4).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == [(1, 0)] * 4 + [(1, 1)] * 2 + [(2, 0), (3, 1), (4, 1), (5, 1), (6, 0)]
+
+
 def test_lines_of_an_empty_table(spark):
     assert linededup.dedup_lines(documents(spark, [])).count() == 0
 
