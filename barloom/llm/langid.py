@@ -7,6 +7,8 @@ it, one-versus-one machines vote for the language.
 
 The machines learn from a bounded sample: about ``train_docs`` labelled
 documents, shared evenly among the languages and chosen by a hash of doc_id.
+Every label is learned: where there are so many that a share would fall below
+``LEAST_SHARE`` documents, the sample grows, and each has one document at least.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text where nothing could be learned; with one learned language every
@@ -16,6 +18,8 @@ repeated rows stay repeated.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -30,7 +34,7 @@ from barloom.llm.svm import fit_linear_svm, sigmoid
 
 WIDTH = 4096
 TRAIN_DOCS = 4000
-MAX_LANGUAGES = 256
+LEAST_SHARE = 8
 UNKNOWN = "und"
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
 
@@ -94,23 +98,30 @@ class LanguageModel:
 
 def group_families(names: list[str], centroids: np.ndarray) -> list[list[str]]:
     """Average-linkage clusters of languages, about the square root of their number."""
-    near = centroids @ centroids.T
-    groups = [[i] for i in range(len(names))]
+    groups, size = [[i] for i in range(len(names))], np.ones(len(names))
+    near = (centroids @ centroids.T).astype(np.float64)  # sums over pairs of members
     while len(groups) > max(1, round(len(names) ** 0.5)):
-        _, a, b = max((np.mean([near[i, j] for i in groups[a] for j in groups[b]]), -a, -b) for a, b in combinations(range(len(groups)), 2))
-        groups[-a] += groups.pop(-b)
+        mean = near / size[:, None] / size[None, :]
+        mean[np.tril_indices(len(groups))] = -np.inf
+        a, b = divmod(int(mean.argmax()), len(groups))
+        groups[a] += groups.pop(b)
+        size[a] += size[b]
+        near[a] += near[b]
+        near[:, a] += near[:, b]
+        size, near = np.delete(size, b), np.delete(np.delete(near, b, 0), b, 1)
     return [[names[i] for i in g] for g in groups]
 
 
 def fit_model(x: np.ndarray, y: list[str]) -> LanguageModel:
     """Families and machines from gram vectors and their languages."""
     names = sorted(set(y))
-    of = np.array([names.index(v) for v in y])
+    number = {v: i for i, v in enumerate(names)}
+    of = np.array([number[v] for v in y])
     if not names:
         return LanguageModel([], np.zeros((0, WIDTH + 1)), {})
     centroids = np.stack([x[of == i].mean(axis=0) for i in range(len(names))])
     families = group_families(names, centroids / np.linalg.norm(centroids, axis=1, keepdims=True))
-    rows = [np.isin(of, [names.index(m) for m in f]) for f in families]
+    rows = [np.isin(of, [number[m] for m in f]) for f in families]
 
     def machine(take: np.ndarray, positive: np.ndarray) -> np.ndarray:
         sign = np.where(positive[take], 1.0, -1.0)
@@ -121,8 +132,8 @@ def fit_model(x: np.ndarray, y: list[str]) -> LanguageModel:
     pairs = {}
     for f in families:
         for a, b in combinations(f, 2):
-            left = of == names.index(a)
-            pairs[a, b] = machine(left | (of == names.index(b)), left)
+            left = of == number[a]
+            pairs[a, b] = machine(left | (of == number[b]), left)
     return LanguageModel(families, family_w, pairs)
 
 
@@ -135,17 +146,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """lang and gram vector of about ``train_docs`` labelled texts outside the held-out fold."""
+    """lang and gram vector of about ``train_docs`` labelled texts outside the held-out fold, or more where there are very many labels."""
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     known = docs.filter(lang.isNotNull() & text.isNotNull() & (F.trim(text) != "") & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", 5, 0))
-    counts = known.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) / (1 << 30)
+    counts = known.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(uniform).alias("least")).collect()
     if not counts:
         return known.select(lang.alias("lang"), F.lit(None).cast("binary").alias("grams")).limit(0)
-    share = train_docs / len(counts)
-    part_of = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], share / r["count"])))
-    uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) / (1 << 30)
+    share = max(train_docs / len(counts), LEAST_SHARE)
+    below = {r["lang"]: max(share / r["n"], r["least"] + 2.0**-31) for r in counts}  # the least one is taken whatever the share
+    part_of = F.from_json(F.lit(json.dumps(below)), "map<string,double>")
     sample = known.filter(uniform < F.coalesce(F.try_element_at(part_of, lang), F.lit(0.0)))
-    return sample.select(lang.alias("lang"), text.alias("text")).mapInArrow(_vectors, "lang string, grams binary").limit(2 * train_docs)
+    return sample.select(lang.alias("lang"), text.alias("text")).mapInArrow(_vectors, "lang string, grams binary").limit(2 * math.ceil(share * len(counts)))
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:

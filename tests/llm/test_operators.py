@@ -378,6 +378,32 @@ def test_language_of_held_out_texts(spark):
     assert {r.lang_pred for r in langid.predict_languages(single, langid.train(single), ["doc_id"]).collect()} == {"de"}
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(9)
+    known = [f"x{k:03d}" for k in range(300)]
+    letters = {lang: [chr(0x4E00 + 40 * k + j) for j in range(12)] for k, lang in enumerate(known)}
+    text = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(60))
+    rows = [(i, text(lang), lang, None, None) for i, lang in enumerate([known[0]] * 60 + known * 8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs, train_docs=300)
+    learned = {m for f in model.families for m in f}
+    assert learned == {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(docs, model, ["doc_id"]).collect()}
+    assert sum(got[r[0]] == r[2] for r in rows) > 0.95 * len(rows)
+
+
+def test_families_are_those_of_average_linkage():
+    from itertools import combinations
+
+    x = np.random.default_rng(3).random((23, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(23)]
+    while len(groups) > 5:
+        _, a, b = max((np.mean([x[i] @ x[j] for i in groups[a] for j in groups[b]]), -a, -b) for a, b in combinations(range(len(groups)), 2))
+        groups[-a] += groups.pop(-b)
+    assert langid.group_families(list(map(str, range(23))), x) == [list(map(str, g)) for g in groups]
+
+
 def test_quality_of_held_out_texts(spark):
     rng, vocab = random.Random(6), vocabulary()
     good = lambda: " ".join(rng.choice(vocab) for _ in range(60)) + "."
