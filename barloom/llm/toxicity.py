@@ -13,7 +13,8 @@ Training takes labelled documents of a bounded sample (``train_docs`` of each
 label, chosen by a hash of doc_id, texts of at most ``train_chars``). Words that
 are far more frequent in toxic documents are witnesses; sentences with a witness
 in toxic documents are positive, sentences of clean ones negative. Landmarks are
-witnesses spread out in the kernel's space, and some other words. A document's
+witnesses spread out in the kernel's space, and some other words. Words of more
+than ``LONGEST`` letters count by their best window, as they do when scored. A document's
 score is the logistic of its highest sentence.
 
 Letters written apart ("i d i o t") are joined before scoring. Defined cases: null
@@ -330,16 +331,26 @@ def fit_model(texts: list[str], labels: list[int]) -> ToxicityModel:
     root = ((vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T).astype(np.float32)
     words = sorted({w for s in positives + changed + negatives for w in s})
     number = {w: i for i, w in enumerate(words)}
-    mapped = np.concatenate([kernel_to([w[:LONGEST] for w in words[at : at + 2000]], table) for at in range(0, len(words), 2000)]) @ root
+    parts = [(i, p) for i, w in enumerate(words) for p in windows(w)]
+    by_part = np.concatenate([kernel_to([p for _, p in parts[at : at + 2000]], table) for at in range(0, len(parts), 2000)]) @ root
+    cuts = np.searchsorted([i for i, _ in parts], np.arange(len(words) + 1))
+    long = np.flatnonzero(np.diff(cuts) > 1)
+    mapped = by_part[cuts[:-1]]  # a long word is the mean of its windows at first, then that of the highest value
+    for i in long:
+        mapped[i] = by_part[cuts[i] : cuts[i + 1]].mean(axis=0)
 
     def features(sentences: list[list[str]]) -> np.ndarray:
         return np.stack([mapped[[number[w] for w in s]].sum(axis=0) if s else np.zeros(len(landmarks), np.float32) for s in sentences])
 
     up, chosen = features(positives + changed), rng.permutation(len(negatives))[:SENTENCES]
-    for _ in range(4):  # the clean sentences that look worst are added, and the machine fitted again
+    for turn in range(4):  # the clean sentences that look worst are added, and the machine fitted again
+        if turn and len(long):
+            up = features(positives + changed)
         x = np.concatenate([up, features([negatives[i] for i in chosen])])
         y = np.array([1.0] * len(up) + [-1.0] * len(chosen))
         w = fit_linear_svm(x, y, c=1000.0, steps=400, weight=np.where(y > 0, 0.5 / len(up), 0.5 / max(1, len(chosen))))
+        for i in long:
+            mapped[i] = by_part[cuts[i] + (by_part[cuts[i] : cuts[i + 1]] @ w[:-1]).argmax()]
         by_word = mapped @ w[:-1]
         margin = np.array([by_word[[number[t] for t in s]].sum() for s in negatives])
         chosen = np.union1d(chosen, np.argsort(-margin, kind="stable")[: SENTENCES // 3])

@@ -417,6 +417,20 @@ def test_quality_of_held_out_texts(spark):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_the_ends_of_long_words():
+    rng, vocab, insult = random.Random(12), vocabulary(), "wombatfacesludgeheadnitpick"
+    letters = lambda n: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(n // 2))
+    words = [(letters(32), letters(27)) for _ in range(10)]
+    rows = []
+    for i in range(400):
+        start, end = rng.choice(words)
+        text = [rng.choice(vocab) for _ in range(10)]
+        text.insert(rng.randrange(10), start + (insult if i % 4 == 0 else end))
+        rows.append((" ".join(text) + ".", int(i % 4 == 0)))
+    model = toxicity.fit_model([t for t, _ in rows[:300]], [y for _, y in rows[:300]])
+    assert np.mean((model.score([t for t, _ in rows[300:]]) >= 0.5) == [y == 1 for _, y in rows[300:]]) > 0.98
+
+
 def test_toxicity_tolerates_disguises(spark):
     rng, vocab = random.Random(8), vocabulary()
     line = lambda: " ".join(rng.choice(vocab) for _ in range(12)) + "."
