@@ -170,7 +170,7 @@ def round_trips_flat(spark, sf_dir):
 @query("monte_carlo")
 def monte_carlo(spark, sf_dir):
     returns = sources.daily_bars(spark, sf_dir).selectExpr("symbol", "close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS x")
-    return rounded(research.monte_carlo(returns, paths=200, horizon=60), "total")
+    return rounded(research.monte_carlo(returns), "total")
 
 
 @query("deflated_sharpe")

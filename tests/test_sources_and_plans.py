@@ -108,6 +108,13 @@ def test_late_ticks_revise_then_expire(spark, tmp_path):
     assert got == [(0, 2.0, ""), (0, 6.0, "window_expired"), (1, 4.0, "")]
 
 
+def test_monte_carlo_has_all_its_paths(spark):
+    from barloom import registry
+
+    rows = registry.QUERIES["monte_carlo"](spark, SF).groupBy("symbol").count().collect()
+    assert rows and {r["count"] for r in rows} == {1000}
+
+
 def test_entry_and_every_core_query_runs(spark):
     from barloom import registry
 
