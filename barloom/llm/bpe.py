@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import in_arrow
+
 MEMO_WORDS = 200_000
 MEMO_PAIRS = 400_000
 MEMO_LENGTH = 48
@@ -229,7 +231,7 @@ def _worker(path: str, pattern: str, digests: bool):
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids and the bytes that those ids decode to, for whole texts."""
     plan = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plan.mapInArrow(_worker(path or default_ranks(), pattern or default_pattern(), False), SCHEMA)
+    return in_arrow(plan, _worker(path or default_ranks(), pattern or default_pattern(), False), SCHEMA)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -239,7 +241,8 @@ def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     the same pass keeps them out of the exchange with the JVM.
     """
     plan = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plan.mapInArrow(
+    return in_arrow(
+        plan,
         _worker(path or default_ranks(), pattern or default_pattern(), True),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import is_held_out
+from barloom.llm.common import in_arrow, is_held_out
 from barloom.llm.svm import fit_linear_svm, sigmoid
 
 WIDTH = 4096
@@ -157,7 +157,7 @@ def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     below = {r["lang"]: max(share / r["n"], r["least"] + 2.0**-31) for r in counts}  # the least one is taken whatever the share
     part_of = F.from_json(F.lit(json.dumps(below)), "map<string,double>")
     sample = known.filter(uniform < F.coalesce(F.try_element_at(part_of, lang), F.lit(0.0)))
-    return sample.select(lang.alias("lang"), text.alias("text")).mapInArrow(_vectors, "lang string, grams binary").limit(2 * math.ceil(share * len(counts)))
+    return in_arrow(sample.select(lang.alias("lang"), text.alias("text")), _vectors, "lang string, grams binary").limit(2 * math.ceil(share * len(counts)))
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
@@ -169,7 +169,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     return fit_model(x, langs)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, with_text: bool) -> Iterator[pa.RecordBatch]:
+    first = 0 if with_text else 1
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -179,16 +180,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterato
             if usable:
                 for i, lang, score in zip(usable, *model.predict(np.stack([gram_vector(texts[i]) for i in usable]))):
                     langs[i], scores[i] = lang, min(1.0, max(0.0, score))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[first:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[first:], "lang_pred", "score"])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` with lang_pred and score."""
-    plan = docs.select(F.col("text").cast("string").alias("_text"), *keep)
+    """The columns in ``keep`` with lang_pred and score; a text that is kept crosses to Python and back once, and comes first."""
+    with_text, others = "text" in keep, [c for c in keep if c != "text"]
+    plan = docs.select(F.col("text").cast("string").alias("text" if with_text else "_text"), *others)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = plan.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):
-        return _predict(batches, held.value)
+        return _predict(batches, held.value, with_text)
 
-    return plan.mapInArrow(run, schema)
+    return in_arrow(plan, run, schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
+from barloom.llm.common import in_arrow, materialize
 
 SPACES = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 50_000
@@ -212,7 +212,7 @@ def line_counts(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     def run(batches):
         return _hashes(batches, min_chars)
 
-    lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _LINES)
+    lines = in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _LINES)
     once = lines.filter(F.col("doc_id").isNotNull()).distinct()
     return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
@@ -249,5 +249,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_k
 
         if wave:
             out = materialize(out, "line-wave")
-        out = out.mapInArrow(run, out.schema)
+        out = in_arrow(out, run, out.schema)
     return out

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import in_arrow
+
 BLOCK = 192
 RATE = 8000
 PACKET = 20 * BLOCK
@@ -207,12 +209,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 def to_ogg(docs: DataFrame) -> DataFrame:
     """doc_id and the Ogg bytes of each text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_to_ogg, "doc_id long, media binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _to_ogg, "doc_id long, media binary")
 
 
 def probe_ogg(media: DataFrame) -> DataFrame:
     """Digests and features read back from a column of Ogg streams."""
-    return media.select("doc_id", "media").mapInArrow(
+    return in_arrow(
+        media.select("doc_id", "media"),
         _probe,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize
+from barloom.llm.common import in_arrow, materialize
 
 COORDINATES = 64
 MIN_MATCHES = 37
@@ -215,7 +215,7 @@ class _Linker:
         def sign(batches):
             return _signed(batches, words, coordinates)
 
-        self.signed = materialize(self.docs.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature array<int>, sketch array<long>"), "signed")
+        self.signed = materialize(in_arrow(self.docs, sign, "doc_id long, n_shingles long, set_key binary, signature array<int>, sketch array<long>"), "signed")
         classes = self.signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key")
         classes = classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
         self.classes = materialize(classes, "classes")
@@ -262,7 +262,7 @@ class _Linker:
             return _sets(batches, words)
 
         texts = self.docs.join(_few(need), self.docs["doc_id"] == need["id"], "left_semi").select("doc_id", "text")
-        return materialize(texts.mapInArrow(run, "id long, shingles binary"), "sets")
+        return materialize(in_arrow(texts, run, "id long, shingles binary"), "sets")
 
     def confirm(self, near: DataFrame) -> DataFrame:
         """The pairs whose full sets reach the threshold."""
@@ -273,7 +273,7 @@ class _Linker:
 
         own = self.sets(near.select(F.explode(F.array("a", "b")).alias("id")))
         x, y = own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), own.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        return materialize(near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "confirmed")
+        return materialize(in_arrow(near.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long"), "confirmed")
 
     def compare_families(self, families: DataFrame, groups: DataFrame) -> DataFrame:
         """Links between different components of one family, few enough to join them.
@@ -301,7 +301,7 @@ class _Linker:
         def run(batches):
             return _block_links(batches, threshold)
 
-        return materialize(pairs.mapInArrow(run, "a long, b long"), "family-links")
+        return materialize(in_arrow(pairs, run, "a long, b long"), "family-links")
 
     def components(self) -> DataFrame:
         """id and component of the classes that are linked with others."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.bpe import default_pattern
-from barloom.llm.common import materialize
+from barloom.llm.common import in_arrow, materialize
 
 SEQUENCE = 1024
 END_ID = 2
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, path: str | None = None, limit: int = SEQUENCE, end_
     def run(batches):
         return _pieces(batches, path, limit, end_id, keep_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + ", ids array<int>" * keep_ids)
 
 
 class Packing:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import is_held_out, materialize
+from barloom.llm.common import in_arrow, is_held_out, materialize
 
 NAMES = (
     "chars", "words", "word_length", "upper", "digits", "stops", "symbols", "spaces", "distinct_words", "top_word", "repeats",
@@ -75,7 +75,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and packed statistics of every whole text."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_statistics, "doc_id long, stats binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _statistics, "doc_id long, stats binary")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +128,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discri
     value = F.col(label).cast("int")
     known = labels.filter(value.isin(0, 1) & ~is_held_out("doc_id", 3, 1)).select(F.col("doc_id").cast("long").alias("_id"), value.alias("_label"))
     rows = stats.join(known, stats["doc_id"] == known["_id"]).select("_label", "stats")
-    sums = rows.mapInArrow(_moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
+    sums = in_arrow(rows, _moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value")).collect()
     moments = np.zeros((2, 1 + K + K * K))
     for r in sums:
         moments[r["label"], r["at"]] = r["value"]
@@ -149,5 +149,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         return _score(batches, model)
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = in_arrow(stats, run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import is_held_out
+from barloom.llm.common import in_arrow, is_held_out
 from barloom.llm.svm import fit_linear_svm, sigmoid
 
 GAP = 3
@@ -396,5 +396,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 part = batch.slice(at, 128)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score([t or "" for t in part.column(1).to_pylist()]))], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    scored = in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -207,7 +207,6 @@ def test_packing_is_exact_and_tight(spark):
     texts = TEXTS + [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 900))) for _ in range(120)] + ["<|endoftext|>", " " * 20_000 + "x"]
     rows = packing.pack_pieces(packing.pieces(documents(spark, texts)), shard_pieces=50).toPandas()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         own = rows[rows.doc_id == i].sort_values("piece")
