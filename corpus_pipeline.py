@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import langid, linededup, neardup, packing, pii
-from barloom.llm.common import materialize, table
+from barloom.llm.common import discard, materialize, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by the names of its kinds; no document goes."""
-    found = pii.annotate(_boxed(docs, "text"))
+    found = materialize(pii.annotate(_boxed(docs, "text")), "spans")  # read twice: by the models and for the result
     clean = found.withColumn("text", pii.redact(F.col("text"), pii.all_spans(pii.train(found))))
     return _unboxed(clean, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
@@ -80,7 +80,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, name)
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch() as kept:  # what a stage writes for itself goes with it
+            kept.append(after := materialize(stage(spark, docs, sf_dir), name))
+        discard(docs)
+        docs = after
     return docs
