@@ -8,9 +8,10 @@ one-based number of the bar in its series and is always there.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
-from barloom.functions.sqlgen import TRUE_RANGE, Layer, div, highest, lag, lowest, over, regression, rolling_sum, sma, source, stdev, strict, weighted, wma
+from barloom.functions.sqlgen import TRUE_RANGE, Layer, div, highest, lag, lowest, over, regression, rolling_sum, sma, source, stdev, weighted, wma
 
 Built = tuple[list[Layer], list[str]]
 WINDOWED: dict[str, tuple[Callable[..., Built], dict]] = {}
@@ -28,6 +29,38 @@ def one(name: str, expression: str) -> Built:
     return [{name: expression}], [name]
 
 
+class Recurrent(ValueError):
+    """These parameters ask for a recurrence, which the indicator's scan computes."""
+
+
+NOTHING = "CAST(NULL AS DOUBLE)"
+
+
+def moving(kind: str, x: str, n: int) -> str:
+    """A moving average by its name; an unknown name is the simple one."""
+    kind, n = kind.upper(), max(1, int(n))
+    if kind in ("EMA", "EXPONENTIAL", "SMMA (RMA)"):
+        raise Recurrent(kind)
+    if kind in ("WMA", "WEIGHTED"):
+        return wma(x, n)
+    if kind == "VWMA":
+        return div(rolling_sum(f"{x} * volume", n), rolling_sum("volume", n))
+    return sma(x, n)
+
+
+def smoothed(x: str, kind: str, n: int, mult: float, names: tuple[str, str, str] = ("ma", "bbUpper", "bbLower")) -> Built:
+    """An average over the line ``x``, and bands around it where ``kind`` asks for them."""
+    ma, upper, lower = names
+    first = {ma: NOTHING if kind == "None" else moving(kind, x, n)}
+    band = f"{mult} * ({stdev(x, max(1, int(n)))})" if kind == "SMA + Bollinger Bands" else NOTHING
+    return [first, {upper: f"{ma} + {band}", lower: f"{ma} - {band}"}], list(names)
+
+
+def moved(x: str, n: float) -> str:
+    """A column drawn ``n`` bars later."""
+    return lag(x, round(n)) if round(n) else x
+
+
 @indicator("sma", length=20, source="close")
 def _sma(length, source_name):
     return one("value", sma(source(source_name), length))
@@ -63,10 +96,18 @@ def _slope(periods):
     return one("slope", regression("slope", "close", periods))
 
 
-@indicator("hull-suite", length=55)
-def _hull(length):
-    layers = [{"x0": f"2 * {_fractional_wma('close', length / 2)} - {wma('close', length)}"}, {"mhull": wma("x0", math.isqrt(length))}, {"shull": lag("mhull", 2)}]
-    return layers, ["mhull", "shull"]
+@indicator("hull-suite", source="close", mode="Hma", length=55, lengthMult=1.0, visualSwitch=True, switchColor=True, candleCol=False)
+def _hull(source_name, mode, length, mult, band, *_colours):
+    x, n = source(source_name), max(1, math.floor(round(length) * mult))
+    if mode == "Ehma":
+        raise Recurrent(mode)
+    part = lambda d, of=n: wma(x, max(1, of // d))
+    if mode == "Thma":
+        n = max(1, n // 2)
+        first, last = f"3 * ({part(3, n)}) - ({part(2, n)}) - ({part(1, n)})", n
+    else:
+        first, last = f"2 * ({part(2)}) - ({part(1)})", max(1, round(math.sqrt(n)))
+    return [{"x0": first}, {"mhull": wma("x0", last)}, {"shull": lag("mhull", 2) if band else NOTHING}], ["mhull", "shull"]
 
 
 @indicator("roc", length=10)
@@ -74,9 +115,9 @@ def _roc(length):
     return one("value", f"CASE WHEN {lag('close', length)} = 0 THEN 0.0 ELSE 100 * (close - {lag('close', length)}) / nullif({lag('close', length)}, 0) END")
 
 
-@indicator("bollinger", length=20, stdDev=2.0)
-def _bollinger(length, mult):
-    m, s = sma("close", length), stdev("close", length)
+@indicator("bollinger", length=20, stdDev=2.0, source="close")
+def _bollinger(length, mult, source_name):
+    m, s = sma(source(source_name), length), stdev(source(source_name), length)
     return [{"upper": f"{m} + {mult} * ({s})", "middle": m, "lower": f"{m} - {mult} * ({s})"}], ["upper", "middle", "lower"]
 
 
@@ -98,20 +139,25 @@ def _bb_trend(short, long, mult):
     return [layer, {"value": f"100 * {div(f'{low} - {high}', 'sm')}"}], ["value"]
 
 
-@indicator("vwap", anchor="session", source="hlc3")
-def _vwap(anchor, source_name):
+@indicator("vwap", anchor="session", source="hlc3", offset=0, calcMode="stdev", showBand1=True, bandMult1=1.0, showBand2=False, bandMult2=2.0, showBand3=False, bandMult3=3.0)
+def _vwap(anchor, source_name, offset, mode, *bands):
     key = {"session": "date_trunc('day', ts)", "week": "date_trunc('week', ts)", "month": "date_trunc('month', ts)", "quarter": "date_trunc('quarter', ts)", "year": "date_trunc('year', ts)"}.get(anchor, "1")
     frame = "OVER (PARTITION BY symbol, anchor_key ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     x = source(source_name)
     second = {"pv": f"sum({x} * volume) {frame}", "vv": f"sum(volume) {frame}", "ppv": f"sum({x} * {x} * volume) {frame}"}
-    third = {"value": div("pv", "vv"), "spread": div("ppv", "vv")}
-    fourth = {"band": "sqrt(greatest(0, spread - value * value))"}
-    return [{"anchor_key": key}, second, third, fourth, {"vwap": "value", "upper1": "value + band", "lower1": "value - band"}], ["value", "vwap", "upper1", "lower1"]
+    third = {"mean": div("pv", "vv"), "spread": div("ppv", "vv")}
+    fourth = {"band": "mean * 0.01" if mode == "percent" else "sqrt(greatest(0, spread - mean * mean))"}
+    fifth = {"c0": "mean"}
+    for i, (shown, mult) in enumerate(zip(bands[::2], bands[1::2]), 1):
+        fifth |= {f"{side}0{i}": f"mean {sign} {mult} * band" if shown else NOTHING for side, sign in (("u", "+"), ("l", "-"))}
+    last = {"value": moved("c0", offset), "vwap": moved("c0", offset)} | {f"{side}{i}": moved(f"{side[0]}0{i}", offset) for i in (1, 2, 3) for side in ("upper", "lower")}
+    return [{"anchor_key": key}, second, third, fourth, fifth, last], list(last)
 
 
-@indicator("obv")
-def _obv():
-    return [{"step": f"CASE WHEN rn = 1 THEN 0.0 ELSE sign(close - {lag('close')}) * volume END"}, {"value": f"sum(step) {over()}"}], ["value"]
+@indicator("obv", maType="None", maLength=9, bbMult=2.0)
+def _obv(kind, n, mult):
+    layers, plots = smoothed("value", kind, n, mult)
+    return [{"step": f"CASE WHEN rn = 1 THEN 0.0 ELSE sign(close - {lag('close')}) * volume END"}, {"value": f"sum(step) {over()}"}, {"obv": "value"}, *layers], ["value", "obv", *plots]
 
 
 @indicator("stochastic", kPeriod=14, kSmoothing=3, dPeriod=3)
@@ -166,11 +212,12 @@ def _ao():
     return one("ao", f"({sma(x, 5)}) - ({sma(x, 34)})")
 
 
-@indicator("cci", period=20, constant=0.015)
-def _cci(n, constant):
+@indicator("cci", period=20, constant=0.015, maType="SMA", maLength=20, bbMult=2.0)
+def _cci(n, constant, kind, length, mult):
+    layers, plots = smoothed("cci", kind, length, mult)
     x = source("hlc3")
     terms = " + ".join(f"abs({'tp' if k == 0 else lag('tp', k)} - m)" for k in range(n))
-    return [{"tp": x}, {"m": sma("tp", n)}, {"md": f"({terms}) / {n}"}, {"cci": f"CASE WHEN md < 1e-12 THEN 0.0 ELSE (tp - m) / nullif({constant} * md, 0) END"}], ["cci"]
+    return [{"tp": x}, {"m": sma("tp", n)}, {"md": f"({terms}) / {n}"}, {"cci": f"CASE WHEN md < 1e-12 THEN 0.0 WHEN md IS NOT NULL THEN coalesce((tp - m) / nullif({constant} * md, 0), 0.0) END"}, *layers], ["cci", *plots]
 
 
 @indicator("woodies-cci", cciTurboLength=6, cci14Length=14)
@@ -207,9 +254,10 @@ def _coppock(n, long, short):
     return [{"r": f"{roc(long)} + {roc(short)}"}, {"curve": wma("r", n)}], ["curve"]
 
 
-@indicator("dpo", period=21)
-def _dpo(n):
-    return [{"m": sma("close", n)}, {"dpo": f"close - {lag('m', n // 2 + 1)}"}], ["dpo"]
+@indicator("dpo", period=21, isCentered=False)
+def _dpo(n, centred):
+    back = n // 2 + 1
+    return [{"m": sma("close", n)}, {"dpo": f"close - {lag('m', -back if centred else back)}"}], ["dpo"]
 
 
 @indicator("chande-momentum", length=9)
@@ -223,9 +271,9 @@ def _bop():
     return one("bop", div("close - open", "high - low"))
 
 
-@indicator("ma-channel", upperLength=20, lowerLength=20)
-def _channel(up, down):
-    return [{"upper": sma("high", up), "lower": sma("low", down)}], ["upper", "lower"]
+@indicator("ma-channel", upperLength=20, lowerLength=20, upperOffset=0, lowerOffset=0)
+def _channel(up, down, up_offset, down_offset):
+    return [{"u0": sma("high", up), "l0": sma("low", down)}, {"upper": moved("u0", up_offset), "lower": moved("l0", down_offset)}], ["upper", "lower"]
 
 
 @indicator("standard-deviation", periods=5, deviations=1.0)
@@ -237,22 +285,27 @@ def _std_error(n: int) -> Layer:
     return {"syy": regression("syy", "close", n), "sxy": regression("sxy", "close", n), "sxx": regression("sxx", "close", n)}
 
 
+_RESIDUAL = "syy - sxy * sxy / nullif(sxx, 0)"
+
+
 @indicator("standard-error", length=14)
 def _se(n):
-    return [_std_error(n), {"stdErr": f"sqrt(greatest(0, (syy - sxy * sxy / nullif(sxx, 0)) / {n - 2}))"}], ["stdErr"]
+    n = max(3, n)
+    return [_std_error(n), {"stdErr": f"CASE WHEN syy IS NOT NULL THEN sqrt(greatest(0, ({_RESIDUAL}) / {n - 2})) END"}], ["stdErr"]
 
 
-@indicator("standard-error-bands", periods=21, errors=2.0, averagePeriods=3)
-def _se_bands(n, errors, smooth):
+@indicator("standard-error-bands", periods=21, errors=2.0, method="Simple", averagePeriods=3)
+def _se_bands(n, errors, method, smooth):
+    n = max(3, n)
     first = {**_std_error(n), "endpoint": _lsma(n)[0][0]["value"]}
-    second = {"err": f"{errors} * sqrt(greatest(0, (syy - sxy * sxy / nullif(sxx, 0)) / {n - 2}))"}
+    second = {"err": f"CASE WHEN syy IS NOT NULL THEN {errors} * sqrt(greatest(0, ({_RESIDUAL}) / {n - 2})) END"}
     third = {"hi": "endpoint + err", "lo": "endpoint - err"}
-    return [first, second, third, {"upper": sma("hi", smooth), "basis": sma("endpoint", smooth), "lower": sma("lo", smooth)}], ["upper", "basis", "lower"]
+    return [first, second, third, {name: moving(method, x, smooth) for name, x in (("upper", "hi"), ("basis", "endpoint"), ("lower", "lo"))}], ["upper", "basis", "lower"]
 
 
-@indicator("choppiness-index", length=14)
-def _chop(n):
-    return [{"tr": TRUE_RANGE}, {"value": f"100 * log10(nullif({div(rolling_sum('tr', n), f'({highest("high", n)}) - ({lowest("low", n)})')}, 0)) / {math.log10(n)!r}"}], ["value"]
+@indicator("choppiness-index", length=14, offset=0)
+def _chop(n, offset):
+    return [{"tr": TRUE_RANGE}, {"ch0": f"100 * log10(nullif({div(rolling_sum('tr', n), f'({highest("high", n)}) - ({lowest("low", n)})')}, 0)) / {math.log10(n)!r}"}, {"value": moved("ch0", offset)}], ["value"]
 
 
 @indicator("historical-volatility", length=10, per=1)
@@ -335,9 +388,10 @@ def _ma_cross(short, long):
     return [first, {"cross_at": f"CASE WHEN sign(s - l) <> {before} AND sign(s - l) <> 0 THEN s END"}], ["s", "l", "cross_at"]
 
 
-@indicator("ma-ribbon", ma1Length=20, ma2Length=50, ma3Length=100, ma4Length=200)
-def _ribbon(*lengths):
-    return [{f"ma{i}": sma("close", n) for i, n in enumerate(lengths, 1)}], [f"ma{i}" for i in range(1, 5)]
+@indicator("ma-ribbon", **{f"ma{i}{k}": v for i, n in enumerate((20, 50, 100, 200), 1) for k, v in (("Type", "sma"), ("Source", "close"), ("Length", n))})
+def _ribbon(*lanes):
+    lanes = list(zip(lanes[::3], lanes[1::3], lanes[2::3]))
+    return [{f"ma{i}": moving(kind, source(x), n) for i, (kind, x, n) in enumerate(lanes, 1)}], [f"ma{i}" for i in range(1, 5)]
 
 
 @indicator("ichimoku", conversionPeriod=9, basePeriod=26, laggingSpanPeriod=52, displacement=26)
@@ -347,9 +401,9 @@ def _ichimoku(conv, base, span, shift):
     return [first, {"a0": "(conversion + base) / 2"}, {"spanA": lag("a0", shift), "spanB": lag("b0", shift), "lagging": lag("close", -shift)}], ["conversion", "base", "spanA", "spanB", "lagging"]
 
 
-@indicator("range-analysis", avgLength=3)
-def _range(n):
-    return [{"bar_range": "high - low"}, {"avg_range": sma("bar_range", n)}], ["bar_range", "avg_range"]
+@indicator("range-analysis", showAverage=False, avgLength=3)
+def _range(shown, n):
+    return [{"bar_range": "high - low"}, {"avg_range": sma("bar_range", max(1, round(n))) if shown else NOTHING}], ["bar_range", "avg_range"]
 
 
 @indicator("vortex", length=14)
@@ -358,15 +412,17 @@ def _vortex(n):
     return [first, {"vip": div(rolling_sum("up", n), rolling_sum("tr", n)), "vim": div(rolling_sum("dn", n), rolling_sum("tr", n))}], ["vip", "vim"]
 
 
-@indicator("relative-vigor-index", length=10)
-def _rvgi(n):
+@indicator("relative-vigor-index", length=10, offset=0)
+def _rvgi(n, offset):
     swma = lambda x: weighted(x, [1 / 6, 2 / 6, 2 / 6, 1 / 6])
-    return [{"a": swma("(close - open)"), "b": swma("(high - low)")}, {"rvgi": div(rolling_sum("a", n), rolling_sum("b", n))}, {"signal": swma("rvgi")}], ["rvgi", "signal"]
+    return [{"a": swma("(close - open)"), "b": swma("(high - low)")}, {"r0": div(rolling_sum("a", n), rolling_sum("b", n))}, {"s0": swma("r0")}, {"rvgi": moved("r0", offset), "signal": moved("s0", offset)}], ["rvgi", "signal"]
 
 
 @indicator("trend-strength-index", length=14)
 def _tsi(n):
-    return [{"sd": stdev("close", n)}, {"tsi": f"CASE WHEN sd > 0 THEN {strict('avg', 'close', n).replace('avg(close)', 'corr(close, rn)')} END"}], ["tsi"]
+    """Correlation of the close with time, null in a flat window."""
+    first = {"sxy": regression("sxy", "close", n), "sxx": regression("sxx", "close", n), "syy": regression("syy", "close", n)}
+    return [first, {"tsi": div("sxy", "CASE WHEN syy > 1e-18 THEN sqrt(sxx * syy) END")}], ["tsi"]
 
 
 @indicator("williams-fractals", periods=2)
@@ -383,14 +439,73 @@ def _fractals(n):
     return [{"upFractal": extreme("high", ">"), "downFractal": extreme("low", "<")}], ["upFractal", "downFractal"]
 
 
-@indicator("williams-vix-fix", pd=22)
-def _vix_fix(n):
+@indicator("williams-vix-fix", pd=22, bbl=20, mult=2.0, lb=50, ph=0.85, pl=1.01, hp=False, sd=False)
+def _vix_fix(n, bbl, mult, lb, ph, pl, show_range, show_band):
+    """``hp`` shows the range of percentiles, ``sd`` the band."""
     h = highest("close", n)
-    return one("wvf", f"100 * {div(f'({h}) - low', h)}")
-
-
-@indicator("cpr", frame="day")
-def _cpr(frame):
+    frame = over(lb)  # of what is there
+    rails = {"range_high": f"CASE WHEN rn >= {lb} THEN {ph} * max(wvf) {frame} END" if show_range else NOTHING, "range_low": f"CASE WHEN rn >= {lb} THEN {pl} * min(wvf) {frame} END" if show_range else NOTHING}
+    rails["upper_band"] = f"({sma('wvf', bbl)}) + {mult} * ({stdev('wvf', bbl)})" if show_band else NOTHING
+    return [{"wvf": f"100 * {div(f'({h}) - low', h)}"}, rails], ["wvf", *rails]
+
+
+@indicator("seasonality", startYear=2015, cutoffPercent=10.0, tablePosition="Center", tableWidth=100, tableHeight=95, showAvg=True, showStDev=True, showPos=True, ignoredMonths="")
+def _seasonality(*_table):
+    """The line draws nothing; the matrix is the queries ``seasonality_matrix`` and ``seasonality_stats``."""
+    return one("seasonality", NOTHING)
+
+
+@indicator("cpr", frame="", pivotMode="auto", showDaily=True, showWeekly=False, showMonthly=False, displaypivots=True, displaysupport=True, displayresistance=True, displaycpr=True, displayS1R1=False)
+def _cpr(frame, mode, daily, weekly, monthly, pivots, support, resistance, centre, first_ones):
+    """Pivots of the period before: of days, weeks and months, or of one ``frame`` alone, with short names.
+
+    ``pivotMode`` auto shows the frame one step coarser than the bars, by their median
+    distance; ``manual`` those that are asked for. First supports and
+    resistances are hidden unless ``displayS1R1``.
+    """
+    if frame:
+        return _pivots(frame)
+    layers: list[Layer] = []
+    shown = {"d": daily, "w": weekly, "m": monthly}
+    if mode == "auto":
+        layers = [{"step": f"{SECONDS} - {lag(SECONDS)}"}, {"gap": "median(step) OVER (PARTITION BY symbol)"}]
+        fits = {"d": "coalesce(gap, 0) < 86400", "w": "gap >= 86400 AND gap < 604800", "m": "gap >= 604800"}
+    plots: list[str] = []
+    for p, unit in (("d", "day"), ("w", "week"), ("m", "month")):
+        made, names = _pivots(unit, p)
+        layers += made
+        wanted = {"Pivot": ("pp", pivots), "S1": ("s1", support and first_ones), "S2": ("s2", support), "S3": ("s3", support), "R1": ("r1", resistance and first_ones), "R2": ("r2", resistance), "R3": ("r3", resistance), "Bc": ("bc", centre), "Tc": ("tc", centre)}
+        last = {}
+        for name, (column, on) in wanted.items():
+            x = f"{p}_{column}"
+            last[p + name] = NOTHING if not on or mode == "manual" and not shown[p] else x if mode == "manual" else f"CASE WHEN {fits[p]} THEN {x} END"
+        layers.append(last)
+        plots += last
+    return layers, plots
+
+
+_YEAR = "(year(ts) - CASE WHEN month(ts) <= 2 THEN 1 ELSE 0 END)"
+#: Seconds of a bar's time since the start of the calendar, by functions that both engines have.
+SECONDS = (
+    f"((365 * {_YEAR} + floor({_YEAR} / 4) - floor({_YEAR} / 100) + floor({_YEAR} / 400) + floor((153 * ((month(ts) + 9) % 12) + 2) / 5) + day(ts)) * 86400.0"
+    " + hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)))"
+)
+
+
+def _pivots(frame: str, prefix: str = "") -> Built:
+    p = f"{prefix}_" if prefix else ""
+    layers, plots = _frame_pivots(frame)
+    if not prefix:
+        return layers, plots
+    names = [c for layer in layers for c in layer]
+
+    def renamed(e: str) -> str:
+        return re.sub(r"\b(" + "|".join(names) + r")\b(?!\()", lambda m: p + m.group(), e)
+
+    return [{p + c: renamed(e) for c, e in layer.items()} for layer in layers], [p + c for c in plots]
+
+
+def _frame_pivots(frame: str) -> Built:
     period = f"date_trunc('{frame}', ts)"
     group = "OVER (PARTITION BY symbol, period)"
     inside = {"ph": f"max(high) {group}", "pl": f"min(low) {group}", "pc": f"last_value(close) OVER (PARTITION BY symbol, period ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "start": f"row_number() OVER (PARTITION BY symbol, period ORDER BY ts)"}

@@ -16,7 +16,10 @@ def indicator(bars: DataFrame, name: str, **params) -> DataFrame:
     one symbol's bars at a time.
     """
     if name in windowed.WINDOWED:
-        layers, plots = windowed.build(name, **params)
+        try:
+            layers, plots = windowed.build(name, **params)
+        except windowed.Recurrent:
+            return scans.run(bars, {name: params})
         rows = bars.withColumn("rn", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY ts)"))
         for layer in layers:
             rows = rows.selectExpr("*", *(f"{e} AS {c}" for c, e in layer.items()))

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from barloom.functions import indicators as windowed
+
 NAN = float("nan")
 
 
@@ -111,6 +113,28 @@ def atr(b: Bars, n: int) -> np.ndarray:
     return rma(true_range(b), n)
 
 
+def moving(kind: str, x: np.ndarray, n: int, volume: np.ndarray) -> np.ndarray:
+    """A moving average by its name; an unknown name is the simple one."""
+    kind, n = kind.upper(), max(1, int(n))
+    if kind in ("EMA", "EXPONENTIAL"):
+        return ema(x, n)
+    if kind == "SMMA (RMA)":
+        return rma(x, n)
+    if kind in ("WMA", "WEIGHTED"):
+        return rolling(x, n, lambda w, axis: np.average(w, axis=axis, weights=np.arange(1, n + 1)))
+    if kind == "VWMA":
+        return ratio(rolling(x * volume, n, np.sum), rolling(volume, n, np.sum))
+    return sma(x, n)
+
+
+def smoothed(x: np.ndarray, kind: str, n: int, mult: float, volume: np.ndarray, names: tuple[str, str, str] = ("ma", "bbUpper", "bbLower")) -> dict[str, np.ndarray]:
+    """An average over the line ``x``, and bands around it where ``kind`` asks for them."""
+    none = np.full(len(x), NAN)
+    ma = none if kind == "None" else moving(kind, x, n, volume)
+    band = mult * rolling(x, max(1, int(n)), np.std) if kind == "SMA + Bollinger Bands" else none
+    return dict(zip(names, (ma, ma + band, ma - band)))
+
+
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(b == 0, NAN, a / b)
@@ -194,11 +218,11 @@ def _median(b, length, atr_length, mult):
     return {"median": m, "upper": m + mult * r, "lower": m - mult * r, "median_ema": ema(m, length)}
 
 
-@scan("ppo", "ppo,signal,hist", fastLength=12, slowLength=26, signalLength=9)
-def _ppo(b, fast, slow, signal):
-    f, s = ema(b.c, fast), ema(b.c, slow)
+@scan("ppo", "ppo,signal,hist", fastLength=12, slowLength=26, signalLength=9, oscType="EMA", sigType="EMA")
+def _ppo(b, fast, slow, signal, kind, signal_kind):
+    f, s = moving(kind, b.c, fast, b.v), moving(kind, b.c, slow, b.v)
     line = 100 * ratio(f - s, s)
-    mark = ema(line, signal)
+    mark = moving(signal_kind, line, signal, b.v)
     return {"ppo": line, "signal": mark, "hist": line - mark}
 
 
@@ -229,13 +253,13 @@ def _tsi(b, long, short, signal):
 
 @scan("smi-ergodic-indicator", "erg,sig", longlen=20, shortlen=5, siglen=5)
 def _erg(b, long, short, signal):
-    line = _strength(b.c, long, short) / 100
+    line = _strength(b.c, long, short)
     return {"erg": line, "sig": ema(line, signal)}
 
 
 @scan("smi-ergodic-oscillator", "osc", longlen=20, shortlen=5, siglen=5)
 def _erg_osc(b, long, short, signal):
-    line = _strength(b.c, long, short) / 100
+    line = _strength(b.c, long, short)
     return {"osc": line - ema(line, signal)}
 
 
@@ -262,12 +286,12 @@ def _chaikin_vol(b, n, back):
 
 @scan("chop-zone", "chopZone,angle")
 def _chop_zone(b):
-    span = rolling(b.h, 30, np.max) - rolling(b.l, 30, np.min)
+    """The plotted value is 1 on every bar; the angle carries the zone."""
     low = rolling(b.l, 30, np.min)
-    e = ema(b.c, 34)
+    e, span = ema(b.c, 34), rolling(b.h, 30, np.max) - low
     rise = ratio(shift(e) - e, b.hlc3) * ratio(np.full(len(span), 25.0), span) * low
-    angle = np.round(np.degrees(np.arccos(ratio(np.ones(len(e)), np.sqrt(1 + rise**2)))))
-    return {"chopZone": np.where(np.isnan(angle), NAN, 1.0), "angle": np.where(rise > 0, -angle, angle)}
+    angle = np.round(np.degrees(np.arccos(1 / np.sqrt(1 + rise**2))))
+    return {"chopZone": np.ones(len(angle)), "angle": np.where(rise > 0, -angle, angle) + 0.0}
 
 
 @scan("chandelier-exit", "longExit,shortExit", length=22, atrLength=22, atrMultiplier=3.0)
@@ -342,11 +366,12 @@ def _wavetrend(b, n1, n2, sig):
     return {"mom": line - mark, "wt1": line, "wt2": mark}
 
 
-@scan("relative-volatility-index", "rvi", length=10)
-def _rvi(b, length):
+@scan("relative-volatility-index", "rvi,ma,bb_upper,bb_lower", length=10, offset=0, maType="SMA", maLength=14, bbMult=2.0)
+def _rvi(b, length, offset, kind, ma_length, mult):
     sd, d = rolling(b.c, length, np.std), change(b.c)
     up, down = np.where(np.isnan(sd), NAN, np.where(d > 0, sd, 0.0)), np.where(np.isnan(sd), NAN, np.where(d <= 0, sd, 0.0))
-    return {"rvi": 100 * ratio(ema(up, 14), ema(up, 14) + ema(down, 14))}
+    line = 100 * ratio(ema(up, 14), ema(up, 14) + ema(down, 14))
+    return {"rvi": shift(line, round(offset)), **smoothed(line, kind, ma_length, mult, b.v, ("ma", "bb_upper", "bb_lower"))}
 
 
 # State machines
@@ -402,13 +427,18 @@ def _mcginley(b, period):
 
 @scan("fisher-transform", "fisher,trigger", length=9)
 def _fisher(b, length):
-    top, low = rolling(b.hl2, length, np.max), rolling(b.hl2, length, np.min)
+    """A window without a span is undefined and starts both recurrences anew."""
+    low = rolling(b.hl2, length, np.min)
+    place = ratio(b.hl2 - low, rolling(b.hl2, length, np.max) - low)
     out, position, value = np.full(len(b.c), NAN), 0.0, 0.0
-    for i in np.flatnonzero(np.isfinite(top)):
-        span = top[i] - low[i]
-        position = max(-0.999, min(0.999, 0.66 * ((b.hl2[i] - low[i]) / span - 0.5) + 0.67 * position)) if span else 0.0
-        value = 0.5 * np.log((1 + position) / (1 - position)) + 0.5 * value
-        out[i] = value
+    for i, x in enumerate(place):
+        if np.isnan(x):
+            position = value = 0.0
+            continue
+        position = 0.66 * (x - 0.5) + 0.67 * position
+        if abs(position) > 0.99:
+            position = float(np.copysign(0.999, position))
+        value = out[i] = np.log((1 + position) / (1 - position)) / 2 + value / 2
     return {"fisher": out, "trigger": shift(out)}
 
 
@@ -446,24 +476,25 @@ def _vstop(b, length, factor, source):
 
 @scan("parabolic-sar", "value", start=0.02, increment=0.02, maximum=0.2)
 def _sar(b, start, increment, maximum):
+    """The second bar carries the bare seed; reversals are tested from the third on, before the stop is held to the last two bars."""
     n = len(b.c)
     out = np.full(n, NAN)
     if n < 2:
         return {"value": out}
-    up = b.c[1] > b.c[0]
-    sar, extreme, af = (b.l[0], b.h[1], start) if up else (b.h[0], b.l[1], start)
-    for i in range(1, n):
-        if i > 1:
-            sar += af * (extreme - sar)
-        if b.l[i] < sar if up else b.h[i] > sar:
-            up, sar, af = not up, extreme, start
-            sar = max(sar, b.h[i]) if not up else min(sar, b.l[i])
-            extreme = b.h[i] if up else b.l[i]
-        elif b.h[i] > extreme if up else b.l[i] < extreme:
-            extreme, af = (b.h[i] if up else b.l[i]), min(maximum, af + increment)
-        before = slice(max(0, i - 2), i)
-        sar = min(sar, b.l[before].min()) if up else max(sar, b.h[before].max())
-        out[i] = sar
+    # prices times the side: what follows is written for a rising trend alone
+    side = 1 if b.c[1] >= b.c[0] else -1
+    near, far = (b.l, b.h) if side > 0 else (-b.h, -b.l)
+    stop, extreme, pace = near[0], far[1], start
+    out[1] = side * stop
+    for i in range(2, n):
+        stop += pace * (extreme - stop)
+        if near[i] < stop:
+            side, near, far = -side, -far, -near
+            stop, extreme, pace = min(-extreme, near[i]), far[i], start
+        elif far[i] > extreme:
+            extreme, pace = far[i], min(maximum, pace + increment)
+        stop = min(stop, near[i - 1], near[i - 2])
+        out[i] = side * stop
     return {"value": out}
 
 
@@ -482,56 +513,72 @@ def _connors(b, n, updown, back):
     return {"crsi": (rsi(b.c, n) + rsi(streak, updown) + rank) / 3}
 
 
-@scan("halftrend", "up,down,atr_high,atr_low", amplitude=2, channelDeviation=2, atrPeriod=100)
+@scan("halftrend", "up,down,atr_high,atr_low,buy_signal,sell_signal", amplitude=2, channelDeviation=2, atrPeriod=100)
 def _halftrend(b, amplitude, deviation, period):
-    n, half = len(b.c), atr(b, period) / 2
+    """A rising line from the highest of recent lows, or a falling one from the lowest of recent highs.
+
+    One side is watched at a time. Falling is watched only after a turn upwards;
+    at first, and after a turn downwards, it is rising.
+    """
+    n, amplitude = len(b.c), max(1, round(amplitude))
+    half = atr(b, max(1, round(period))) / 2
     top, low = rolling(b.h, amplitude, np.max), rolling(b.l, amplitude, np.min)
     mean_h, mean_l = sma(b.h, amplitude), sma(b.l, amplitude)
-    out = {k: np.full(n, NAN) for k in ("up", "down", "atr_high", "atr_low")}
-    trend, armed, floor, ceiling, up, down = 0, 0, NAN, NAN, NAN, NAN
-    for i in range(1, n):
-        if np.isnan(top[i]):
-            continue
-        floor = b.l[i - 1] if np.isnan(floor) else floor
-        ceiling = b.h[i - 1] if np.isnan(ceiling) else ceiling
-        before = trend
-        if armed:
-            ceiling = min(top[i], ceiling)
-            if mean_l[i] > ceiling and b.c[i] > b.h[i - 1]:
-                trend, armed, floor = 0, 0, low[i]
+    out = {k: np.full(n, NAN) for k in ("up", "down", "atr_high", "atr_low", "buy_signal", "sell_signal")}
+    side, watch_fall = 1, False
+    rail = {1: b.l[0], -1: b.h[0]} if n else {}
+    line: dict[int, float] = {}
+    for i in range(n):
+        before, last = side, max(0, i - 1)
+        if watch_fall:
+            rail[1] = np.fmax(rail[1], low[i])
+            if mean_h[i] < rail[1] and b.c[i] < b.l[last]:
+                side, watch_fall, rail[-1] = -1, False, top[i]
         else:
-            floor = max(low[i], floor)
-            if mean_h[i] < floor and b.c[i] < b.l[i - 1]:
-                trend, armed, ceiling = 1, 1, top[i]
-        if trend == 0:
-            up = down if before and np.isfinite(down) else floor if np.isnan(up) else max(floor, up)
-            line = out["up"][i] = up
+            rail[-1] = np.fmin(rail[-1], top[i])
+            if mean_l[i] > rail[-1] and b.c[i] > b.h[last]:
+                side, watch_fall, rail[1] = 1, True, low[i]
+        if i and side != before:
+            line[side] = line[before]  # from where the other one ended
+            out["buy_signal" if side > 0 else "sell_signal"][i] = line[side] - side * half[i]
         else:
-            down = up if not before and np.isfinite(up) else ceiling if np.isnan(down) else min(ceiling, down)
-            line = out["down"][i] = down
-        if np.isfinite(half[i]):
-            out["atr_high"][i], out["atr_low"][i] = line + deviation * half[i], line - deviation * half[i]
+            line[side] = side * max(side * rail[side], side * line.get(side, 0.0)) if i else rail[side]
+        out["up" if side > 0 else "down"][i] = line[side]
+        out["atr_high"][i], out["atr_low"][i] = line[side] + deviation * half[i], line[side] - deviation * half[i]
     return out
 
 
-@scan("alphatrend", "alphatrend,lagged", coeff=1, AP=14)
+@scan("alphatrend", "alphatrend,lagged,buy_signal,sell_signal", coeff=1, AP=14)
 def _alphatrend(b, coeff, n):
+    """Defined from the first bar that has a money flow index; crossings of the line and its lag are signals once there was one of either kind."""
+    n = max(1, round(n))
     tr = sma(true_range(b), n)
     d, flow = change(b.hlc3), b.hlc3 * b.v
-    up = rolling(np.where(np.isnan(d), NAN, np.where(d > 0, flow, 0)), n, np.sum)
-    down = rolling(np.where(np.isnan(d), NAN, np.where(d < 0, flow, 0)), n, np.sum)
-    strong = up >= down  # money flow index of at least 50
-    out, value = np.full(len(b.c), NAN), 0.0
-    for i in np.flatnonzero(np.isfinite(tr)):
-        low, high = b.l[i] - tr[i] * coeff, b.h[i] + tr[i] * coeff
-        value = out[i] = max(low, value) if strong[i] else min(high, value)
-    return {"alphatrend": out, "lagged": shift(out, 2)}
+    up, down = (rolling(np.where(np.isnan(d), NAN, np.where(s * d > 0, flow, 0)), n, np.sum) for s in (1, -1))
+    line, value = np.full(len(b.c), NAN), 0.0
+    for i in np.flatnonzero(np.isfinite(tr) & np.isfinite(up)):
+        # an index of at least 50 is as much flow upwards as downwards
+        value = line[i] = max(b.l[i] - tr[i] * coeff, value) if up[i] >= down[i] else min(b.h[i] + tr[i] * coeff, value)
+    lagged = shift(line, 2)
+    gap = line - lagged
+    before = shift(gap)
+    out = {"alphatrend": line, "lagged": lagged, "buy_signal": np.full(len(line), NAN), "sell_signal": np.full(len(line), NAN)}
+    last: dict[int, int] = {}
+    for i in np.flatnonzero((gap != 0) & np.isfinite(before)):
+        side = int(np.sign(gap[i]))
+        if side * before[i] > 0:
+            continue  # it was on this side already
+        if side in last and last.get(-side, -1) > last[side] + 1:
+            out["buy_signal" if side > 0 else "sell_signal"][i] = lagged[i] * (1 - side * 0.0001)
+        last[side] = i
+    return out
 
 
-@scan("rsi-divergence", "rsi,bull,bear", length=14, lbR=5, lbL=5)
+@scan("rsi-divergence", "rsi,bull,hiddenBull,bear,hiddenBear", length=14, lbR=5, lbL=5)
 def _divergence(b, length, right, left):
+    """Pivots of the index that price contradicts, 6 to 61 bars after the pivot before; hidden ones aren't marked."""
     r, n = rsi(b.c, length), len(b.c)
-    out = {"rsi": r, "bull": np.full(n, NAN), "bear": np.full(n, NAN)}
+    out = {"rsi": r} | {k: np.full(n, NAN) for k in ("bull", "hiddenBull", "bear", "hiddenBear")}
     last: dict[str, int] = {}
     for at in range(left, n - right):
         around = np.concatenate([r[at - left : at], r[at + 1 : at + right + 1]])
@@ -540,7 +587,7 @@ def _divergence(b, length, right, left):
         for name, pivot, price, sign in (("bull", (around > r[at]).all(), b.l, 1), ("bear", (around < r[at]).all(), b.h, -1)):
             if pivot:
                 p = last.get(name)
-                if p is not None and 5 <= at - p <= 60 and sign * (r[at] - r[p]) > 0 and sign * (price[at] - price[p]) < 0:
+                if p is not None and 6 <= at - p <= 61 and sign * (r[at] - r[p]) > 0 and sign * (price[at] - price[p]) < 0:
                     out[name][at] = r[at]
                 last[name] = at
     return out
@@ -548,28 +595,79 @@ def _divergence(b, length, right, left):
 
 @scan("consolidation-breakout", "rangeHigh,rangeLow,breakUp,breakDown,insideAge")
 def _consolidation(b):
+    """Bodies within the range of a mother bar; a body that leaves it after more than one bar marks the rail that it broke."""
     n = len(b.c)
     out = {k: np.full(n, NAN) for k in ("rangeHigh", "rangeLow", "breakUp", "breakDown", "insideAge")}
-    mother, age = 0, 0
-    for i in range(1, n):
-        high, low = b.h[mother], b.l[mother]
-        if b.h[i] <= high and b.l[i] >= low and age < 250:
-            age += 1
-            if age >= 2:
-                out["rangeHigh"][i], out["rangeLow"][i], out["insideAge"][i] = high, low, age
+    body_top, body_low = np.maximum(b.o, b.c), np.minimum(b.o, b.c)
+    mother = 0
+    for i in range(n):
+        high, low, age = b.h[mother], b.l[mother], i - mother
+        if 1 < age <= 250:
+            if body_top[i] > high:
+                out["breakUp"][i] = high
+            if body_low[i] < low:
+                out["breakDown"][i] = low
+        if i and not (i > 1 and low <= body_low[i] and body_top[i] <= high):
+            mother = i
             continue
-        if age >= 2:
-            if b.c[i] > high:
-                out["breakUp"][i] = b.c[i]
-            elif b.c[i] < low:
-                out["breakDown"][i] = b.c[i]
-        mother, age = i, 0
+        out["rangeHigh"][i], out["rangeLow"][i] = high, low
+        if age:
+            out["insideAge"][i] = age
     return out
 
 
+# Window indicators with parameters that ask for a recurrence; plots and defaults are those of ``barloom.functions.indicators``
+
+
+VARIANTS: dict[str, tuple[Callable[..., dict[str, np.ndarray]], tuple[str, ...]]] = {}
+
+
+def variant(name: str, plots: str):
+    def keep(kernel):
+        VARIANTS[name] = (kernel, tuple(plots.split(",")))
+        return kernel
+
+    return keep
+
+
+@variant("obv", "value,obv,ma,bbUpper,bbLower")
+def _obv(b, kind, n, mult):
+    line = np.cumsum(np.nan_to_num(np.sign(change(b.c)) * b.v))
+    return {"value": line, "obv": line, **smoothed(line, kind, n, mult, b.v)}
+
+
+@variant("cci", "cci,ma,bbUpper,bbLower")
+def _cci(b, n, constant, kind, length, mult):
+    off = rolling(b.hlc3, n, lambda w, axis: np.abs(w - w.mean(axis=axis, keepdims=True)).mean(axis=axis))
+    line = np.where(off < 1e-12, 0.0, ratio(b.hlc3 - sma(b.hlc3, n), constant * off))
+    return {"cci": line, **smoothed(line, kind, length, mult, b.v)}
+
+
+@variant("ma-ribbon", "ma1,ma2,ma3,ma4")
+def _ribbon(b, *lanes):
+    return {f"ma{i}": moving(kind, b.source(x), n, b.v) for i, (kind, x, n) in enumerate(zip(lanes[::3], lanes[1::3], lanes[2::3]), 1)}
+
+
+@variant("hull-suite", "mhull,shull")
+def _hull(b, source, _mode, length, mult, band, *_colours):
+    x, n = b.source(source), max(1, int(np.floor(round(length) * mult)))
+    line = ema(2 * ema(x, max(1, n // 2)) - ema(x, n), max(1, round(n**0.5)))
+    return {"mhull": line, "shull": shift(line, 2) if band else np.full(len(x), NAN)}
+
+
+@variant("standard-error-bands", "upper,basis,lower")
+def _error_bands(b, n, errors, method, smooth):
+    n = max(3, n)
+    at = np.arange(n) - (n - 1) / 2
+    slope = rolling(b.c, n, lambda w, axis: w @ at / (at @ at))
+    end = sma(b.c, n) + slope * at[-1]
+    err = errors * np.sqrt(np.maximum(0, (n * rolling(b.c, n, np.var) - slope**2 * (at @ at)) / (n - 2)))
+    return {k: moving(method, x, smooth, b.v) for k, x in (("upper", end + err), ("basis", end), ("lower", end - err))}
+
+
 def parameters(name: str, given: dict) -> list:
     """All parameters of a scan in order; unknown ones are refused, missing and null ones are defaults."""
-    defaults = SCANS[name][1]
+    defaults = SCANS[name][1] if name in SCANS else windowed.WINDOWED[name][1]
     if unknown := set(given) - set(defaults):
         raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
     return [given.get(k) if given.get(k) is not None else v for k, v in defaults.items()]
@@ -577,7 +675,8 @@ def parameters(name: str, given: dict) -> list:
 
 def run(bars: DataFrame, wanted: dict[str, dict]) -> DataFrame:
     """symbol, ts and the plots of all scans in ``wanted``; plots are prefixed where there are several scans."""
-    plan = [(SCANS[name][0], parameters(name, given), SCANS[name][2], "" if len(wanted) == 1 else name.replace("-", "_") + "_") for name, given in wanted.items()]
+    kernels = {name: (k, p) for name, (k, _, p) in SCANS.items()} | VARIANTS
+    plan = [(kernels[name][0], parameters(name, given), kernels[name][1], "" if len(wanted) == 1 else name.replace("-", "_") + "_") for name, given in wanted.items()]
     columns = [prefix + p for _, _, plots, prefix in plan for p in plots]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from barloom.functions.sqlgen import lag, sma
 from barloom.schema import INTERVALS
 
@@ -29,6 +31,26 @@ def resample(timeframe: str, grid: str) -> str:
 Smooth = tuple[str, str, int, float]
 
 
+@dataclass
+class Walk:
+    """A state machine over the rows where ``where`` holds, as a recursive query.
+
+    ``first`` gives the state of the first such row, ``then`` that of each later
+    row, where ``a_x`` is the value of ``x`` on the row before. Entries may use
+    those before them; ``then`` may have helpers that aren't part of the state.
+    """
+
+    first: dict[str, str]
+    then: dict[str, str]
+    where: str = "TRUE"
+
+
+def _chained(rows: str, steps: dict[str, str]) -> str:
+    for c, e in steps.items():
+        rows = f"SELECT *, CAST({e} AS DOUBLE) AS {c} FROM ({rows}) s"
+    return f"({rows}) s"
+
+
 def ema(name: str, x: str, n: int) -> Smooth:
     return name, x, n, 2 / (n + 1)
 
@@ -75,8 +97,8 @@ SCAN_LAYERS: dict[str, tuple[list, dict[str, str]]] = {
     "pvo": ([ema("f", "volume", 12), ema("s", "volume", 26), {"p": "100 * (f - s) / nullif(s, 0)"}, ema("g", "p", 9)], {"pvo": "p", "signal": "g", "hist": "p - g"}),
     "trix": ([{"x": "ln(close)"}, ema("e1", "x", 18), ema("e2", "e1", 18), ema("e3", "e2", 18), {"t": f"10000 * (e3 - {lag('e3')})"}], {"value": "t"}),
     "tsi": ([*_strength(25, 13), {"p": "100 * line"}, ema("g", "p", 13)], {"tsi": "p", "signal": "g"}),
-    "smi-ergodic-indicator": ([*_strength(20, 5), ema("g", "line", 5)], {"erg": "line", "sig": "g"}),
-    "smi-ergodic-oscillator": ([*_strength(20, 5), ema("g", "line", 5)], {"osc": "line - g"}),
+    "smi-ergodic-indicator": ([*_strength(20, 5), {"p": "100 * line"}, ema("g", "p", 5)], {"erg": "p", "sig": "g"}),
+    "smi-ergodic-oscillator": ([*_strength(20, 5), {"p": "100 * line"}, ema("g", "p", 5)], {"osc": "p - g"}),
     "smi": (
         [{"t": _top("high", 10), "w": _top("low", 10, "min")}, {"p": "close - (t + w) / 2", "q": "t - w"}, ema("p1", "p", 3), ema("p2", "p1", 3), ema("q1", "q", 3), ema("q2", "q1", 3), {"s": "200 * p2 / nullif(q2, 0)"}, ema("g", "s", 3)],
         {"smi": "s", "ema": "g"},
@@ -106,8 +128,179 @@ SCAN_LAYERS: dict[str, tuple[list, dict[str, str]]] = {
         {"mom": "w - ww", "wt1": "w", "wt2": "ww"},
     ),
     "relative-volatility-index": (
-        [{"sd": _top("close", 10, "stddev_pop"), "d": f"close - {lag('close')}"}, {"u": "CASE WHEN sd IS NULL THEN NULL WHEN d > 0 THEN sd ELSE 0 END", "dn": "CASE WHEN sd IS NULL THEN NULL WHEN d <= 0 THEN sd ELSE 0 END"}, ema("eu", "u", 14), ema("ed", "dn", 14)],
-        {"rvi": "100 * eu / nullif(eu + ed, 0)"},
+        [{"sd": _top("close", 10, "stddev_pop"), "d": f"close - {lag('close')}"}, {"u": "CASE WHEN sd IS NULL THEN NULL WHEN d > 0 THEN sd ELSE 0 END", "dn": "CASE WHEN sd IS NULL THEN NULL WHEN d <= 0 THEN sd ELSE 0 END"}, ema("eu", "u", 14), ema("ed", "dn", 14), {"v": "100 * eu / nullif(eu + ed, 0)"}, {"m": sma("v", 14)}],
+        {"rvi": "v", "ma": "m", "bb_upper": "CAST(NULL AS DOUBLE)", "bb_lower": "CAST(NULL AS DOUBLE)"},
+    ),
+}
+
+
+def _mean(x: str, n: int) -> str:
+    return _top(x, n, "avg")
+
+
+_ALL = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_FISH = "CASE WHEN place IS NULL THEN 0 ELSE 0.5 * ln((1 + pos) / (1 - pos)) + 0.5 * %s END"
+_MEAN_FLOW = [{"tp": "(high + low + close) / 3"}, {"d": f"tp - {lag('tp')}"}, {"uf": "CASE WHEN d > 0 THEN tp * volume WHEN d IS NOT NULL THEN 0 END", "df": "CASE WHEN d < 0 THEN tp * volume WHEN d IS NOT NULL THEN 0 END"}, {"us": _top("uf", 14, "sum"), "ds": _top("df", 14, "sum")}]
+
+
+def _pivot(x: str, op: str) -> str:
+    return " AND ".join(f"{x} {op} {lag(x, k)}" for k in (*range(-5, 0), *range(1, 6)))
+
+
+def _before(column: str, condition: str) -> str:
+    return f"last_value(CASE WHEN {condition} THEN {column} END IGNORE NULLS) {_ALL}"
+
+
+_UP, _DOWN = f"high - {lag('high')}", f"{lag('low')} - low"
+SCAN_LAYERS |= {
+    "median": ([{"x": "(high + low) / 2", "tr": _TR}, {"m": _top("x", 3, "median")}, rma("a", "tr", 14), ema("e", "m", 3)], {"median": "m", "upper": "m + 2 * a", "lower": "m - 2 * a", "median_ema": "e"}),
+    "adx": (
+        [
+            {"tr": f"CASE WHEN rn > 1 THEN {_TR} END", "up": f"CASE WHEN {_UP} > {_DOWN} AND {_UP} > 0 THEN {_UP} ELSE 0 END", "dn": f"CASE WHEN {_DOWN} > {_UP} AND {_DOWN} > 0 THEN {_DOWN} ELSE 0 END"},
+            rma("r", "tr", 14), rma("u", "up", 14), rma("w", "dn", 14), {"p": "100 * u / nullif(r, 0)", "m": "100 * w / nullif(r, 0)"},
+            {"dx": "100 * abs(p - m) / CASE WHEN p + m = 0 THEN 1 ELSE p + m END"}, rma("x", "dx", 14),
+        ],
+        {"plusDi": "p", "minusDi": "m", "adx": "x"},
+    ),
+    "chop-zone": (
+        [
+            {"lo": _top("low", 30, "min"), "hi": _top("high", 30)}, ema("e", "close", 34),
+            {"rise": f"({lag('e')} - e) / nullif((high + low + close) / 3, 0) * (25 / nullif(hi - lo, 0)) * lo"}, {"angle": "round(degrees(acos(1 / sqrt(1 + rise * rise))))"},
+        ],
+        {"chopZone": "1.0", "angle": "CASE WHEN rise > 0 THEN -angle ELSE angle END"},
+    ),
+    "fisher-transform": (
+        [
+            {"x": "(high + low) / 2"}, {"lo": _top("x", 9, "min"), "hi": _top("x", 9)}, {"place": "(x - lo) / nullif(hi - lo, 0)"},
+            Walk(
+                {"pos": "coalesce(0.66 * (place - 0.5), 0)", "fish": _FISH % "0"},
+                {"raw": "0.66 * (place - 0.5) + 0.67 * a_pos", "pos": "CASE WHEN raw IS NULL THEN 0 WHEN raw > 0.99 THEN 0.999 WHEN raw < -0.99 THEN -0.999 ELSE raw END", "fish": _FISH % "a_fish"},
+            ),
+            {"f": "CASE WHEN place IS NOT NULL THEN fish END"}, {"g": lag("f")},
+        ],
+        {"fisher": "f", "trigger": "g"},
+    ),
+    "parabolic-sar": (
+        [
+            {"pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "ph2": lag("high", 2), "pl2": lag("low", 2)},
+            Walk(
+                {"side": "CASE WHEN close >= pc THEN 1 ELSE -1 END", "stop": "CASE WHEN side > 0 THEN pl ELSE ph END", "ext": "CASE WHEN side > 0 THEN high ELSE low END", "pace": "0.02"},
+                {
+                    "went": "a_stop + a_pace * (a_ext - a_stop)", "turned": "CASE WHEN a_side > 0 AND low < went OR a_side < 0 AND high > went THEN 1 ELSE 0 END",
+                    "side": "CASE WHEN turned = 1 THEN -a_side ELSE a_side END", "further": "CASE WHEN turned = 0 AND (side > 0 AND high > a_ext OR side < 0 AND low < a_ext) THEN 1 ELSE 0 END",
+                    "pace": "CASE WHEN turned = 1 THEN 0.02 WHEN further = 1 THEN least(0.2, a_pace + 0.02) ELSE a_pace END",
+                    "base": "CASE WHEN turned = 1 AND side < 0 THEN greatest(a_ext, high) WHEN turned = 1 THEN least(a_ext, low) ELSE went END",
+                    "ext": "CASE WHEN turned + further = 0 THEN a_ext WHEN side > 0 THEN high ELSE low END",
+                    "stop": "CASE WHEN side > 0 THEN least(base, pl, pl2) ELSE greatest(base, ph, ph2) END",
+                },
+                "rn > 1",
+            ),
+        ],
+        {"value": "stop"},
+    ),
+    "kama": (
+        [
+            {"step": f"abs(close - {lag('close')})", "back": lag("close", 10)}, {"noise": _top("step", 10, "sum")},
+            Walk({"v": "close"}, {"er": "CASE WHEN noise = 0 THEN 0 ELSE least(1, abs(close - back) / noise) END", "al": "er * (2 / 3 - 2 / 31) + 2 / 31", "v": "a_v + al * al * (close - a_v)"}, "rn > 10"),
+        ],
+        {"value": "v"},
+    ),
+    "mcginley-dynamic": (
+        [{"m": _mean("close", 14)}, Walk({"v": "m"}, {"step": "CASE WHEN a_v <> 0 THEN 14 * power(close / a_v, 4) END", "v": "CASE WHEN step > 1e-300 THEN a_v + (close - a_v) / step ELSE m END"}, "m IS NOT NULL")],
+        {"value": "ln(v)"},
+    ),
+    "supertrend": (
+        [
+            {"tr": _TR, "x": "(high + low) / 2", "pc": lag("close")}, rma("r", "tr", 10),
+            Walk(
+                {"top": "x + 3 * r", "bottom": "x - 3 * r", "falling": "CASE WHEN close <= top THEN 1 ELSE 0 END", "held": "CASE WHEN falling = 1 THEN top ELSE bottom END"},
+                {
+                    "top": "CASE WHEN x + 3 * r < a_top OR pc > a_top THEN x + 3 * r ELSE a_top END", "bottom": "CASE WHEN x - 3 * r > a_bottom OR pc < a_bottom THEN x - 3 * r ELSE a_bottom END",
+                    "falling": "CASE WHEN CASE WHEN a_held = a_top THEN close <= top ELSE close < bottom END THEN 1 ELSE 0 END", "held": "CASE WHEN falling = 1 THEN top ELSE bottom END",
+                },
+                "r IS NOT NULL",
+            ),
+        ],
+        {"line": "held", "up": "CASE WHEN falling = 0 THEN held END", "down": "CASE WHEN falling = 1 THEN held END", "direction": "1.0 - 2 * falling"},
+    ),
+    "volatility-stop": (
+        [
+            {"tr": _TR}, rma("r", "tr", 20), {"wide": "coalesce(2 * r, tr)"},
+            Walk(
+                {"rising": "1", "hi": "close", "lo": "close", "v": "close"},
+                {
+                    "hi0": "greatest(a_hi, close)", "lo0": "least(a_lo, close)", "v0": "CASE WHEN a_rising = 1 THEN greatest(a_v, hi0 - wide) ELSE least(a_v, lo0 + wide) END",
+                    "rising": "CASE WHEN close >= v0 THEN 1 ELSE 0 END", "hi": "CASE WHEN rising <> a_rising THEN close ELSE hi0 END", "lo": "CASE WHEN rising <> a_rising THEN close ELSE lo0 END",
+                    "v": "CASE WHEN rising = a_rising THEN v0 WHEN rising = 1 THEN close - wide ELSE close + wide END",
+                },
+            ),
+        ],
+        {"up": "CASE WHEN rising = 1 THEN v END", "down": "CASE WHEN rising = 0 THEN v END"},
+    ),
+    "connors-rsi": (
+        [
+            {"pc": lag("close")}, {"roc": "100 * (close - pc) / nullif(pc, 0)"},
+            Walk({"streak": "-1"}, {"s": "sign(close - pc)", "streak": "CASE WHEN s = 0 THEN 0 WHEN a_streak * s > 0 THEN a_streak + s ELSE s END"}),
+            {"ds": f"streak - {lag('streak')}", "dc": "close - pc"},
+            {f"{n}{x}": f"CASE WHEN {x} IS NOT NULL THEN greatest({s}{x}, 0) END" for x in ("ds", "dc") for n, s in (("u", ""), ("w", "-"))},
+            rma("usa", "uds", 2), rma("wsa", "wds", 2), rma("uca", "udc", 3), rma("wca", "wdc", 3),
+            {"ranks": "list(roc) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)"},
+            {"rank": "CASE WHEN rn > 101 THEN 100.0 * len(list_filter(ranks, lambda z: z <= roc)) / 100 END"},
+            {"rs": "CASE WHEN wsa = 0 THEN 100 ELSE 100 - 100 / (1 + usa / wsa) END", "rc": "CASE WHEN wca = 0 THEN 100 ELSE 100 - 100 / (1 + uca / wca) END"},
+        ],
+        {"crsi": "(rs + rc + rank) / 3"},
+    ),
+    "alphatrend": (
+        [
+            {"tr": _TR}, {"band": _mean("tr", 14)}, *_MEAN_FLOW,
+            Walk({"v": "CASE WHEN us >= ds THEN greatest(low - band, 0) ELSE least(high + band, 0) END"}, {"v": "CASE WHEN us >= ds THEN greatest(low - band, a_v) ELSE least(high + band, a_v) END"}, "us IS NOT NULL AND band IS NOT NULL"),
+            {"old": lag("v", 2)}, {"gap": "v - old"}, {"side": f"CASE WHEN gap > 0 AND {lag('gap')} <= 0 THEN 1 WHEN gap < 0 AND {lag('gap')} >= 0 THEN -1 END"},
+            {"lu": _before("rn", "side = 1"), "ld": _before("rn", "side = -1")},
+        ],
+        {"alphatrend": "v", "lagged": "old", "buy_signal": "CASE WHEN side = 1 AND ld > lu + 1 THEN old * 0.9999 END", "sell_signal": "CASE WHEN side = -1 AND lu > ld + 1 THEN old * 1.0001 END"},
+    ),
+    "halftrend": (
+        [
+            {"tr": _TR, "t2": _top("high", 2), "b2": _top("low", 2, "min"), "mh": _mean("high", 2), "ml": _mean("low", 2), "ph": lag("high"), "pl": lag("low")}, rma("r", "tr", 100), {"half": "r / 2"},
+            Walk(
+                {"side": "1", "falls": "0", "sup": "low", "res": "high", "lu": "low", "ld": "0", "flip": "0"},
+                {
+                    "s1": "CASE WHEN a_falls = 1 THEN greatest(a_sup, b2) ELSE a_sup END", "r1": "CASE WHEN a_falls = 0 THEN least(a_res, t2) ELSE a_res END",
+                    "turn": "CASE WHEN a_falls = 1 AND mh < s1 AND close < pl THEN -1 WHEN a_falls = 0 AND ml > r1 AND close > ph THEN 1 ELSE 0 END",
+                    "side": "CASE WHEN turn <> 0 THEN turn ELSE a_side END", "falls": "CASE WHEN turn <> 0 THEN greatest(turn, 0) ELSE a_falls END",
+                    "sup": "CASE WHEN turn = 1 THEN b2 ELSE s1 END", "res": "CASE WHEN turn = -1 THEN t2 ELSE r1 END", "flip": "CASE WHEN side <> a_side THEN 1 ELSE 0 END",
+                    "lu": "CASE WHEN side < 0 THEN a_lu WHEN flip = 1 THEN a_ld ELSE greatest(sup, a_lu) END", "ld": "CASE WHEN side > 0 THEN a_ld WHEN flip = 1 THEN a_lu ELSE least(res, a_ld) END",
+                },
+            ),
+            {"v": "CASE WHEN side > 0 THEN lu ELSE ld END"},
+        ],
+        {
+            "up": "CASE WHEN side > 0 THEN v END", "down": "CASE WHEN side < 0 THEN v END", "atr_high": "v + 2 * half", "atr_low": "v - 2 * half",
+            "buy_signal": "CASE WHEN flip = 1 AND side > 0 THEN v - half END", "sell_signal": "CASE WHEN flip = 1 AND side < 0 THEN v + half END",
+        },
+    ),
+    "rsi-divergence": (
+        [
+            *_RSI, {"trough": f"({_pivot('rsi', '<')})", "peak": f"({_pivot('rsi', '>')})"},
+            {f"{c}_{k}": _before(x, pivot) for k, pivot, price in (("l", "trough", "low"), ("h", "peak", "high")) for c, x in (("n", "rn"), ("r", "rsi"), ("p", price))},
+        ],
+        {
+            "rsi": "rsi", "bull": "CASE WHEN trough AND rn - n_l BETWEEN 6 AND 61 AND rsi > r_l AND low < p_l THEN rsi END", "hiddenBull": "CAST(NULL AS DOUBLE)",
+            "bear": "CASE WHEN peak AND rn - n_h BETWEEN 6 AND 61 AND rsi < r_h AND high > p_h THEN rsi END", "hiddenBear": "CAST(NULL AS DOUBLE)",
+        },
+    ),
+    "consolidation-breakout": (
+        [
+            {"bt": "greatest(open, close)", "bb": "least(open, close)"},
+            Walk(
+                {"mh": "high", "ml": "low", "mn": "rn", "inside": "1", "up": "NULL", "dn": "NULL"},
+                {
+                    "inside": "CASE WHEN rn > 2 AND bt <= a_mh AND bb >= a_ml THEN 1 ELSE 0 END", "mh": "CASE WHEN inside = 1 THEN a_mh ELSE high END", "ml": "CASE WHEN inside = 1 THEN a_ml ELSE low END",
+                    "mn": "CASE WHEN inside = 1 THEN a_mn ELSE rn END", "up": "CASE WHEN rn - a_mn BETWEEN 2 AND 250 AND bt > a_mh THEN a_mh END", "dn": "CASE WHEN rn - a_mn BETWEEN 2 AND 250 AND bb < a_ml THEN a_ml END",
+                },
+            ),
+        ],
+        {"rangeHigh": "CASE WHEN inside = 1 THEN mh END", "rangeLow": "CASE WHEN inside = 1 THEN ml END", "breakUp": "up", "breakDown": "dn", "insideAge": "CASE WHEN rn > mn THEN CAST(rn - mn AS DOUBLE) END"},
     ),
 }
 
@@ -119,7 +312,16 @@ def scan_sql(name: str, places: int, nudge: float) -> str | None:
     layers, plots = SCAN_LAYERS[name]
     parts, last = [f"t0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({HOUR_BARS}))"], "t0"
     for i, layer in enumerate(layers, 1):
-        if isinstance(layer, dict):
+        if isinstance(layer, Walk):
+            state, only = list(layer.first), ", ".join(layer.first)
+            before = ", ".join(f"a.{c} AS a_{c}" for c in state)
+            parts += [
+                f"k{i} AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k FROM {last} WHERE {layer.where})",
+                f"w{i} AS (SELECT symbol, rn, k, {only} FROM {_chained(f'SELECT * FROM k{i} WHERE k = 1', layer.first)} UNION ALL SELECT symbol, rn, k, {only} FROM "
+                f"{_chained(f'SELECT b.*, {before} FROM w{i} a JOIN k{i} b ON b.symbol = a.symbol AND b.k = a.k + 1', layer.then)})",
+                f"t{i} AS (SELECT p.*, {', '.join(f'w.{c}' for c in state)} FROM {last} p LEFT JOIN w{i} w ON p.symbol = w.symbol AND p.rn = w.rn)",
+            ]
+        elif isinstance(layer, dict):
             parts.append(f"t{i} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in layer.items())} FROM {last})")
         else:
             column, x, n, alpha = layer

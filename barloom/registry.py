@@ -51,7 +51,7 @@ SHORTER = {"nvi": {"maLength": 30}, "pvi": {"maLength": 30}, "special-k": {"leng
 def _indicator_query(name: str, params: dict) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = operators.indicator(sources.hour_bars(spark, sf_dir), name, **params)
-        if name in ("nvi", "pvi"):  # they compound; logarithms keep all places comparable
+        if name in ("nvi", "pvi", "mcginley-dynamic"):  # they compound; logarithms keep all places comparable
             found = found.withColumns({c: F.ln(c) for c in found.columns[2:]})
         return rounded(found, *found.columns[2:])
 
