@@ -66,6 +66,32 @@ def test_guard(spark):
             guard.guarded(spark, bad, views)
 
 
+def test_guard_resolves_names_by_scope_and_functions_by_list(spark):
+    views = {"ohlcv": spark.range(5)}
+    spark.range(1).createOrReplaceTempView("secret")
+    hidden = "SELECT s.id FROM secret s, (WITH secret AS (SELECT 1 AS one) SELECT * FROM secret) x"
+    calls = [f"SELECT {f} FROM ohlcv" for f in ("java_method('java.lang.System', 'getProperty', 'user.home')", "reflect('java.util.UUID', 'randomUUID')", "input_file_name()", "current_user()", "my_own(id)")]
+    early = "WITH a AS (SELECT * FROM b), b AS (SELECT * FROM ohlcv) SELECT * FROM a"
+    for bad in (hidden, early, *calls, "SELECT (SELECT max(id) FROM (WITH x AS (SELECT * FROM secret) SELECT * FROM x)) FROM ohlcv", "SELECT id FROM ohlcv WHERE length(reflect('java.util.UUID', 'randomUUID')) > 1"):
+        with pytest.raises(guard.GuardError):
+            guard.guarded(spark, bad, views)
+    fine = "WITH a AS (SELECT id FROM ohlcv), b AS (SELECT max(id) AS m FROM a) SELECT a.id, round(b.m / 2.0, 1) AS h FROM a, b WHERE a.id IN (WITH c AS (SELECT id FROM a) SELECT id FROM c)"
+    assert guard.guarded(spark, fine, views).count() == 5
+
+
+def test_answers_count_all_rows_and_end_in_time(spark):
+    views = {"ohlcv": spark.range(50)}
+    cut = guard.answer(spark, "SELECT * FROM ohlcv", views, limit=3, fingerprint="f")
+    assert (len(cut.rows), cut.truncated, cut.total, cut.fingerprint) == (3, True, 50, "f")
+    whole = guard.answer(spark, "SELECT * FROM ohlcv", views)
+    assert (len(whole.rows), whole.truncated, whole.total) == (50, False, 50)
+    with pytest.raises(guard.GuardError, match="more than"):
+        guard.answer(spark, "SELECT * FROM ohlcv", views, limit=3, require_complete=True)
+    slow = {"ohlcv": spark.range(0, 1 << 40, 1, 4)}
+    with pytest.raises(guard.GuardError, match="took more"):
+        guard.answer(spark, "SELECT count(*) AS n FROM ohlcv WHERE sha2(CAST(id AS STRING), 256) = 'x'", slow, timeout=1.5)
+
+
 def test_ledger_and_trips(spark):
     rows = [("A", 1, 10, 5), ("A", 2, 10, 7), ("A", 3, -5, 8), ("A", 4, -25, 9), ("A", 5, 10, 4)]
     fills = spark.createDataFrame(rows, "symbol string, n long, quantity int, price int").selectExpr("symbol", "n", "CAST(quantity AS decimal(20,4)) AS quantity", "CAST(price AS decimal(20,4)) AS price")
