@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Components become integers, floor(1024 * x). Rows are grouped into buckets of
-similar length, the longest first. For a query whose k-th best score so far is t,
+Components become integers, floor(1024 * x). The table is written in order of the
+vectors' lengths, the longest first and vectors of one length spread out, so every
+batch that is read is a bucket of similar lengths. For a query whose k-th best score so far is t,
 a bucket whose longest vector is l can only hold results with a cosine of at
 least t / (|q| l): its local threshold. A threshold above one prunes the bucket
 and all shorter ones. Where the threshold is high, coordinate pruning bounds the
@@ -14,10 +15,11 @@ large that they might not be is compared with all others on a path of its own:
 doubles with a bound on their error find who may be among the best, and Python's
 integers score them.
 
-Queries come in waves of bounded size, each of which is broadcast and scans the
-table once; every task returns its own best k for each query. The first
-thresholds come from the k-th best score over a bounded sample of rows, which
-no true result falls below.
+Queries are written once and come in waves of bounded size, one after the other:
+a wave is broadcast, scans the table, and its best are written before the next one
+starts. Every task returns its own best k for each query, and ranks are cut to k
+before they are shuffled. The first thresholds come from the k-th best score over
+a bounded sample of rows, which no true result falls below.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take
 no part; a result whose score doesn't fit 64 bits is an error; vectors of another
@@ -34,9 +36,11 @@ from operator import mul
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import in_arrow, materialize
+
 K = 10
 SCALE = 1024
 WAVE = 4096
@@ -242,41 +246,51 @@ def _floors(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.nd
     return np.partition(products, len(ids) - k, axis=1)[:, len(ids) - k]
 
 
+def bucketed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` written by falling length; ties are spread by a hash, so no length fills one task."""
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    keyed = vectors.withColumn("down", F.when(length < float("inf"), -length).otherwise(float("-inf"))).withColumn("tie", F.xxhash64("vec_id", "v"))
+    return materialize(keyed.repartitionByRange("down", "tie").sortWithinPartitions("down").select("vec_id", "v"), "vectors")
+
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best distinct candidates of each query, with their rank."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # scores beyond 64 bits are held to them; none may be a result
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
 def top_k(rows: DataFrame, k: int = K, every: int = 100, wave_size: int = WAVE, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id and score for every row whose vec_id is divisible by ``every``."""
     spark = rows.sparkSession
-    vectors = usable_vectors(rows)
-    is_query = F.col("vec_id") % every == 0
-    n_queries = vectors.filter(is_query).count()
-    waves = max(1, -(-n_queries // wave_size))
+    vectors = bucketed(usable_vectors(rows))
+    queries = materialize(vectors.filter(F.col("vec_id") % every == 0).withColumn("wave", F.xxhash64("vec_id", "v")), "queries")
+    waves = max(1, -(-queries.count() // wave_size))
     seen = {}
-    for ids, found_rows in _matrices(*_local(vectors.limit(sample))):
+    for ids, found_rows in _matrices(*_local(usable_vectors(rows).limit(sample))):
         narrow = ~_is_wide(found_rows)
         seen[found_rows.shape[1]] = ids[narrow], _integers(found_rows[narrow])
-    found = None
+    written: list[DataFrame] = []
     for w in range(waves):
-        mine = vectors.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w))
+        mine = queries.filter(F.pmod("wave", F.lit(waves)) == w).select("vec_id", "v")
         wave = {}
-        for q_ids, queries in _matrices(*_local(mine)):
-            d = queries.shape[1]
-            floor, narrow = np.full(len(queries), -np.inf), ~_is_wide(queries)
+        for q_ids, q_rows in _matrices(*_local(mine)):
+            d = q_rows.shape[1]
+            floor, narrow = np.full(len(q_rows), -np.inf), ~_is_wide(q_rows)
             if d in seen and narrow.any():
-                floor[narrow] = _floors(q_ids[narrow], _integers(queries[narrow]), *seen[d], k)
-            wave[d] = (q_ids, queries, floor)
+                floor[narrow] = _floors(q_ids[narrow], _integers(q_rows[narrow]), *seen[d], k)
+            wave[d] = (q_ids, q_rows, floor)
         held = spark.sparkContext.broadcast(wave)
 
         def run(batches, held=held):
             return _partition(batches, held.value, k)
 
-        part = vectors.mapInArrow(run, RESULT)
-        found = part if found is None else found.unionByName(part)
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id")))
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # scores beyond 64 bits are held to them; none may be a result
-    lists = once.groupBy("query_id").agg(F.slice(best, 1, k).alias("best"))
-    ranked = lists.select("query_id", F.posexplode("best").alias("at", "r"))
+        written.append(materialize(_best_of(in_arrow(vectors, run, RESULT), k).drop("rank"), "wave"))
+        held.unpersist()
+    found = spark.read.schema(written[0].schema).parquet(*(t._written_to for t in written))  # one scan, however many waves
     too_large = F.raise_error(F.lit("a score doesn't fit 64 bits")).cast("long")
-    score = F.when(F.abs(F.col("r.down")) < MAX_SCORE, -F.col("r.down")).otherwise(too_large)
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("r.vec_id").alias("vec_id"), score.alias("score"))
+    score = F.when(F.abs("score") < MAX_SCORE, F.col("score")).otherwise(too_large)
+    return _best_of(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))
 
 
 def _local(vectors: DataFrame) -> tuple[np.ndarray, pa.Array]:
