@@ -6,7 +6,8 @@ may be shorter. Full pieces are sequences of their own. All others are dealt to
 shards of bounded size, and each shard is packed by several islands: populations
 of packings that evolve apart, where crossover injects whole well-filled bins of
 one packing into another, bins that hold an injected piece a second time are
-dissolved, and the displaced pieces go to the tightest bins that hold them.
+dissolved, displaced pieces take the places of shorter ones where that fills a bin
+better, and what is displaced then goes to the tightest bins that hold it.
 Between epochs each island's best packing migrates to the next island. Badly
 filled bins of all shards are dissolved and packed again, in ever fewer shards,
 until one shard holds them or another level no longer halves them.
@@ -22,6 +23,7 @@ import json
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -232,9 +234,27 @@ class Packing:
 
     def _refilled(self, bins: list[list[int]], displaced: list[int]) -> Packing:
         child = self.copy_of(bins)
-        child.best_fit(sorted(displaced))  # numbers follow falling lengths
+        child.best_fit(sorted(child.swapped(displaced)))  # numbers follow falling lengths
         return child
 
+    def swapped(self, displaced: list[int]) -> list[int]:
+        """Exchange pieces of bins for longer displaced ones that still fit; what is displaced then is shorter and easier to place."""
+        lengths, waiting = self.lengths, sorted(displaced, key=self.lengths.__getitem__)
+        sizes = [lengths[i] for i in waiting]
+        for b in self.bins:
+            room = self.limit - self.fill(b)
+            for at, i in enumerate(b):
+                if not room:
+                    break
+                k = bisect_right(sizes, lengths[i] + room) - 1
+                if k >= 0 and sizes[k] > lengths[i]:
+                    b[at] = waiting.pop(k)
+                    room -= sizes.pop(k) - lengths[i]
+                    k = bisect_right(sizes, lengths[i])
+                    waiting.insert(k, i)
+                    sizes.insert(k, lengths[i])
+        return waiting
+
     def encode(self) -> bytes:
         out = np.zeros(len(self.lengths), np.int32)
         for n, b in enumerate(self.bins):
@@ -305,7 +325,7 @@ def _best(frames: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
 
 def _pack_shards(shards: DataFrame, count: int, limit: int) -> DataFrame:
     """shard and its pieces' places; ``shards`` has shard and falling lengths."""
-    tasks = max(1, min(1024, count * ISLANDS // 4))
+    tasks = max(1, count * ISLANDS // 4)
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<binary>").alias("population"))
     for epoch in range(EPOCHS):
         if epoch:  # each island's best goes to the next island, in place of its worst
@@ -331,7 +351,8 @@ def pack_pieces(found: DataFrame, limit: int = SEQUENCE, shard_pieces: int = SHA
         if not n:
             break
         count = -(-n // shard_pieces)
-        dealt = rest.withColumn("shard", F.monotonically_increasing_id() % count)
+        # by a hash of the row's place: rows that repeat an id, and partitions of any sizes, spread evenly
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)))
         item = F.struct((-F.col("length")).alias("by"), *columns)
         shards = dealt.groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most about shard_pieces each
         shards = materialize(shards.withColumn("lengths", F.transform("items", lambda i: i["length"].cast("int"))), "shards")
