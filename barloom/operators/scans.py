@@ -665,18 +665,19 @@ def _error_bands(b, n, errors, method, smooth):
     return {k: moving(method, x, smooth, b.v) for k, x in (("upper", end + err), ("basis", end), ("lower", end - err))}
 
 
-def parameters(name: str, given: dict) -> list:
+def parameters(name: str, given: dict, more: dict[str, tuple] | None = None) -> list:
     """All parameters of a scan in order; unknown ones are refused, missing and null ones are defaults."""
-    defaults = SCANS[name][1] if name in SCANS else windowed.WINDOWED[name][1]
+    known = SCANS | (more or {})
+    defaults = known[name][1] if name in known else windowed.WINDOWED[name][1]
     if unknown := set(given) - set(defaults):
         raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
     return [given.get(k) if given.get(k) is not None else v for k, v in defaults.items()]
 
 
-def run(bars: DataFrame, wanted: dict[str, dict]) -> DataFrame:
-    """symbol, ts and the plots of all scans in ``wanted``; plots are prefixed where there are several scans."""
-    kernels = {name: (k, p) for name, (k, _, p) in SCANS.items()} | VARIANTS
-    plan = [(kernels[name][0], parameters(name, given), kernels[name][1], "" if len(wanted) == 1 else name.replace("-", "_") + "_") for name, given in wanted.items()]
+def run(bars: DataFrame, wanted: dict[str, dict], more: dict[str, tuple] | None = None) -> DataFrame:
+    """symbol, ts and the plots of all scans in ``wanted``, also of those in ``more``; plots are prefixed where there are several scans."""
+    kernels = {name: (k, p) for name, (k, _, p) in (SCANS | (more or {})).items()} | VARIANTS
+    plan = [(kernels[name][0], parameters(name, given, more), kernels[name][1], "" if len(wanted) == 1 else name.replace("-", "_") + "_") for name, given in wanted.items()]
     columns = [prefix + p for _, _, plots, prefix in plan for p in plots]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

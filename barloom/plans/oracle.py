@@ -206,7 +206,7 @@ SCAN_LAYERS |= {
         {"value": "v"},
     ),
     "mcginley-dynamic": (
-        [{"m": _mean("close", 14)}, Walk({"v": "m"}, {"step": "CASE WHEN a_v <> 0 THEN 14 * power(close / a_v, 4) END", "v": "CASE WHEN step > 1e-300 THEN a_v + (close - a_v) / step ELSE m END"}, "m IS NOT NULL")],
+        [{"m": _mean("close", 14)}, Walk({"v": "m"}, {"step": "CASE WHEN a_v <> 0 THEN 14 * power(close / a_v, 4) END", "went": "a_v + (close - a_v) / step", "v": "CASE WHEN step > 1e-300 AND isfinite(went) THEN went ELSE m END"}, "m IS NOT NULL")],
         {"value": "ln(v)"},
     ),
     "supertrend": (
@@ -305,12 +305,60 @@ SCAN_LAYERS |= {
 }
 
 
-def scan_sql(name: str, places: int, nudge: float) -> str | None:
-    """A recursive query for a scan, if its recurrences are plain smoothings."""
-    if name not in SCAN_LAYERS:
+_FULL = f"CASE WHEN rn > 1 THEN {_TR} END"
+STRATEGY_LAYERS = {
+    "ema-ribbon-pullback": (
+        [*(ema(f"e{n}", "close", n) for n in (9, 21, 50, 100)), {"s": "CASE WHEN rn <= 100 THEN NULL WHEN e9 > e21 AND e21 > e50 AND e50 > e100 AND close <= e9 THEN 1 WHEN e9 < e21 AND e21 < e50 AND e50 < e100 AND close >= e9 THEN -1 END"}],
+        {"side": "s"},
+    ),
+    "bracket-breakout": (
+        [
+            {"tr": _FULL, "top": f"{lag('high')}", "bottom": f"{lag('low')}"}, {"top20": _top("top", 20), "bottom20": _top("bottom", 20, "min"), "wide": _mean("tr", 14)},
+            Walk(
+                {"held": "0", "stop": "NULL", "goal": "NULL", "s": "0", "code": "0"},
+                {
+                    "code0": "CASE WHEN a_held > 0 AND low <= a_stop OR a_held < 0 AND high >= a_stop THEN 3 WHEN a_held > 0 AND high >= a_goal OR a_held < 0 AND low <= a_goal THEN 4 ELSE 0 END",
+                    "enter": "CASE WHEN a_held <> 0 OR wide IS NULL OR wide <= 0 THEN 0 WHEN close > top20 THEN 1 WHEN close < bottom20 THEN -1 ELSE 0 END",
+                    "s": "CASE WHEN code0 > 0 THEN -a_held ELSE enter END", "code": "CASE WHEN enter > 0 THEN 1 WHEN enter < 0 THEN 2 ELSE code0 END",
+                    "held": "CASE WHEN code0 > 0 THEN 0 WHEN enter <> 0 THEN enter ELSE a_held END",
+                    "stop": "CASE WHEN enter <> 0 THEN close - enter * 1.5 * wide ELSE a_stop END", "goal": "CASE WHEN enter <> 0 THEN close + enter * 3 * wide ELSE a_goal END",
+                },
+            ),
+        ],
+        {"side": "nullif(s, 0)", "code": "code", "stop": "CASE WHEN code < 3 THEN stop END", "target": "CASE WHEN code < 3 THEN goal END"},
+    ),
+    "supertrend-regime": (
+        [
+            *SCAN_LAYERS["supertrend"][0], {"way": "1.0 - 2 * falling"}, {"flip": f"CASE WHEN way * {lag('way')} < 0 THEN way ELSE 0 END"},
+            Walk(
+                {"pos": "0", "entry": "NULL", "since": "NULL", "waiting": "0", "todo": "0", "code": "0"},
+                {
+                    "opens": "CASE WHEN a_todo <> 0 AND a_pos = 0 THEN 1 ELSE 0 END", "closes": "CASE WHEN a_todo <> 0 AND a_pos <> 0 AND a_todo <> a_pos THEN 1 ELSE 0 END",
+                    "waiting": "greatest(CASE WHEN closes = 1 AND (open - a_entry) * a_pos < 0 THEN 5 ELSE a_waiting END - 1, 0)",
+                    "pos": "CASE WHEN opens = 1 THEN a_todo WHEN closes = 1 THEN 0 ELSE a_pos END", "entry": "CASE WHEN opens = 1 THEN open ELSE a_entry END",
+                    "since0": "CASE WHEN opens = 1 THEN rn - 1 WHEN closes = 1 THEN NULL ELSE a_since END", "enters": "CASE WHEN waiting = 0 THEN coalesce(flip, 0) ELSE 0 END",
+                    "late": "CASE WHEN enters = 0 AND pos <> 0 AND rn - since0 >= 20 THEN 1 ELSE 0 END", "since": "CASE WHEN late = 1 THEN NULL ELSE since0 END",
+                    "todo": "CASE WHEN enters <> 0 THEN enters WHEN late = 1 THEN -pos ELSE 0 END", "code": "CASE WHEN enters > 0 THEN 1 WHEN enters < 0 THEN 2 WHEN late = 1 THEN 3 ELSE 0 END",
+                },
+            ),
+        ],
+        {"side": "nullif(todo, 0)", "code": "code"},
+    ),
+}
+
+
+def strategy_sql(name: str, places: int, nudge: float) -> str:
+    """The signals of a strategy."""
+    plots = [c for c in STRATEGY_LAYERS[name][1] if c != "side"]
+    return f"SELECT symbol, ts, CASE WHEN side > 0 THEN 'BUY' ELSE 'SELL' END AS side{''.join(f', round({c}, {places}) AS {c}' for c in plots)} FROM ({scan_sql(name, 9, nudge)}) z WHERE side IS NOT NULL"
+
+
+def scan_sql(name: str, places: int, nudge: float, bars: str = HOUR_BARS) -> str | None:
+    """A recursive query for a scan or a strategy, if there is one."""
+    if name not in SCAN_LAYERS and name not in STRATEGY_LAYERS:
         return None
-    layers, plots = SCAN_LAYERS[name]
-    parts, last = [f"t0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({HOUR_BARS}))"], "t0"
+    layers, plots = SCAN_LAYERS.get(name) or STRATEGY_LAYERS[name]
+    parts, last = [f"t0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars}))"], "t0"
     for i, layer in enumerate(layers, 1):
         if isinstance(layer, Walk):
             state, only = list(layer.first), ", ".join(layer.first)
@@ -334,3 +382,87 @@ def scan_sql(name: str, places: int, nudge: float) -> str | None:
             ]
         last = f"t{i}"
     return f"WITH RECURSIVE {', '.join(parts)} SELECT symbol, ts, {', '.join(f'round({e} + {nudge!r}, {places}) AS {c}' for c, e in plots.items())} FROM {last}"
+
+
+# Breadth
+
+_BREADTH = f"""
+moved AS (SELECT ts, volume, sign(close - lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS s FROM ({HOUR_BARS})),
+sides AS (SELECT ts, count(*) FILTER (WHERE s = 1) AS advances, count(*) FILTER (WHERE s = -1) AS declines, list_sum(list(volume) FILTER (WHERE s = 1)) AS av, list_sum(list(volume) FILTER (WHERE s = -1)) AS dv FROM moved GROUP BY ts),
+ratios AS (SELECT *, CASE WHEN declines = 0 THEN CASE WHEN advances = 0 THEN 0.0 ELSE 'inf'::DOUBLE END ELSE advances / declines END AS ratio FROM sides)"""
+_R = "round({} + 3.7e-10, 6)"
+ADVANCE_DECLINE = f"WITH {_BREADTH} SELECT ts, advances, declines, {_R.format('ratio')} AS ratio FROM ratios"
+BREADTH = f"""WITH {_BREADTH}, ranked AS (SELECT *, (SELECT min(ts) FROM ratios WHERE isinf(ratio)) AS first_inf FROM ratios)
+SELECT ts, advances, declines, {_R.format('ratio')} AS ratio, CASE WHEN ts >= first_inf THEN 'inf'::DOUBLE ELSE
+{_R.format("coalesce((SELECT sum(ln(r.ratio)) FROM ratios r WHERE r.ts <= k.ts AND r.ratio > 0 AND NOT isinf(r.ratio)), 0)")} END AS log_cumulative FROM ranked k"""
+TRIN = f"""WITH {_BREADTH} SELECT ts, CASE WHEN advances = 0 OR coalesce(av, 0) = 0 OR coalesce(dv, 0) = 0 THEN 'inf'::DOUBLE ELSE {_R.format('(declines / advances) / (dv / av)')} END AS trin FROM ratios"""
+
+# Screens
+
+TECHNICAL = f"""WITH i AS ({scan_sql("rsi", 12, 0.0)}), b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({HOUR_BARS})),
+newest AS (SELECT symbol, max(ts) AS ts FROM i WHERE value IS NOT NULL GROUP BY symbol)
+SELECT n.symbol, n.ts, b.close, {", ".join(f"round((SELECT avg(x.close) FROM b x WHERE x.symbol = b.symbol AND x.rn > b.rn - {k} AND x.rn <= b.rn) + 3.7e-10, 6) AS {c}" for c, k in (("sma_fast", 10), ("sma_slow", 30)))}, round(i.value + 3.7e-10, 6) AS rsi
+FROM newest n JOIN b ON b.symbol = n.symbol AND b.ts = n.ts JOIN i ON i.symbol = n.symbol AND i.ts = n.ts"""
+
+
+def _scanner(*conditions: str) -> str:
+    met = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in conditions)
+    return f"""WITH i AS ({scan_sql("rsi", 12, 0.0, DAILY_BARS)}), last_rsi AS (SELECT symbol, arg_max(value, ts) FILTER (WHERE value IS NOT NULL) AS rsi FROM i GROUP BY symbol),
+c AS (SELECT symbol, list(close ORDER BY ts DESC) AS v FROM ({DAILY_BARS}) GROUP BY symbol),
+x AS (SELECT c.symbol, v[1] AS close, CASE WHEN len(v) > 10 THEN 100 * (v[1] - v[11]) / v[11] END AS roc, rsi FROM c LEFT JOIN last_rsi r ON r.symbol = c.symbol),
+m AS (SELECT symbol, {met} AS n_matched FROM x)
+SELECT symbol, CAST(n_matched AS INTEGER) AS n_matched, round(n_matched / {len(conditions)} + 3.7e-10, 6) AS score, CAST(row_number() OVER (ORDER BY n_matched DESC, symbol) AS INTEGER) AS rank FROM m WHERE n_matched > 0"""
+
+
+SCANNERS = {"momentum": _scanner("close > 1000"), "pullback": _scanner("close > 500", "rsi < 40"), "nifty500_technical": _scanner("close > 100", "roc > 0")}
+
+# Trades, in whole cents: units that were opened are numbered, and so are units that were closed; equal numbers meet.
+
+
+def _trips(keys: str) -> str:
+    part = f"PARTITION BY {keys}"
+    leg = f"SELECT {keys}, run, n, ts, pc, uc, sg, row_number() OVER ({part}, run ORDER BY ts, n, u) AS at FROM (SELECT * REPLACE ({{run}} AS run), unnest(range({{units}})) AS u FROM cyc)"
+    names = [k.strip() for k in keys.split(",")]
+    return f"""f AS (SELECT {"coalesce(CASE WHEN l_orderkey % 5 > 0 THEN CAST(l_orderkey % 5 AS VARCHAR) END, 'none')"} AS strategy, CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS TIMESTAMP) AS ts,
+  l_orderkey * 10 + l_linenumber AS n, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS sg, CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS pc, CAST(round(l_tax * 100) AS BIGINT) AS cost FROM lineitem),
+held AS (SELECT *, sum(sg * qty) OVER ({part} ORDER BY ts, n) - sg * qty AS held, (200 * cost + qty) // (2 * qty) AS uc FROM f),
+split AS (SELECT *, CASE WHEN held * sg < 0 THEN least(qty, abs(held)) ELSE 0 END AS closing FROM held),
+marked AS (SELECT *, CASE WHEN qty > closing AND (held = 0 OR held * sg < 0) THEN 1 ELSE 0 END AS starts FROM split),
+cyc AS (SELECT *, sum(starts) OVER ({part} ORDER BY ts, n) AS run FROM marked),
+ent AS ({leg.format(run="run", units="CAST(qty - closing AS BIGINT)")}), ext AS ({leg.format(run="run - starts", units="CAST(closing AS BIGINT)")}),
+trips AS (SELECT {", ".join(f"e.{k}" for k in names)}, CASE WHEN e.sg > 0 THEN 'LONG' ELSE 'SHORT' END AS side, count(*) AS units, e.n AS entry_n, e.ts AS entry_ts, e.pc AS entry_pc, x.n AS exit_n, x.ts AS exit_ts, x.pc AS exit_pc,
+  (x.pc - e.pc) * e.sg * count(*) AS gross, (e.uc + x.uc) * count(*) AS costs FROM ent e JOIN ext x ON {" AND ".join(f"e.{k} = x.{k}" for k in names)} AND e.run = x.run AND e.at = x.at GROUP BY {", ".join(f"e.{k}" for k in names)}, e.sg, e.n, e.ts, e.pc, e.uc, x.n, x.ts, x.pc, x.uc)"""
+
+
+ROUND_TRIPS = f"""WITH {_trips("symbol")} SELECT symbol, side, CAST(units AS DOUBLE) AS quantity, entry_n, entry_pc / 100 AS entry_price, exit_n, exit_pc / 100 AS exit_price,
+CAST(gross AS BIGINT) / 100 AS gross_pnl, CAST(costs AS BIGINT) / 100 AS costs, CAST(gross - costs AS BIGINT) / 100 AS net_pnl FROM trips"""
+PNL_BY_STRATEGY = f"""WITH {_trips("strategy, symbol")} SELECT nullif(s.strategy, 'none') AS strategy, coalesce(CAST(sum(gross - costs) AS BIGINT), 0) / 100 AS realised, count(t.strategy) AS n_trips
+FROM (SELECT DISTINCT strategy FROM f) s LEFT JOIN trips t ON t.strategy = s.strategy GROUP BY s.strategy"""
+_Q = "sign({0}) * ((2 * abs({0}) + {1}) // (2 * {1})) / 100"
+STATISTICS = f"""WITH {_trips("strategy, symbol")}, t AS (SELECT *, CAST(gross - costs AS BIGINT) AS net FROM trips),
+g AS (SELECT strategy, count(*) AS n, count_if(net > 0) AS w, count_if(net < 0) AS l, CAST(sum(net) AS BIGINT) AS net, CAST(coalesce(sum(gross) FILTER (WHERE gross > 0), 0) AS BIGINT) AS gp, CAST(coalesce(sum(gross) FILTER (WHERE gross < 0), 0) AS BIGINT) AS gl,
+  CAST(sum(costs) AS BIGINT) AS c, CAST(coalesce(sum(net) FILTER (WHERE net > 0), 0) AS BIGINT) AS nw, CAST(coalesce(sum(net) FILTER (WHERE net < 0), 0) AS BIGINT) AS nl, coalesce(max(net) FILTER (WHERE net > 0), 0) AS lw, coalesce(min(net) FILTER (WHERE net < 0), 0) AS ll,
+  sum(epoch(exit_ts) - epoch(entry_ts)) AS held, max(epoch(exit_ts)) - min(epoch(entry_ts)) AS span FROM t GROUP BY strategy),
+d AS (SELECT strategy, exit_ts AS ts, CAST(sum(net) AS BIGINT) / 100 AS x FROM t GROUP BY 1, 2), v AS (SELECT strategy, ts, 1e7 + sum(x) OVER (PARTITION BY strategy ORDER BY ts) AS v FROM d),
+p AS (SELECT *, max(v) OVER (PARTITION BY strategy ORDER BY ts) AS top, lag(v) OVER (PARTITION BY strategy ORDER BY ts) AS b FROM v),
+e AS (SELECT strategy, least(min(v / top - 1), 0) AS dd, avg((v - b) / b) AS m, stddev_samp((v - b) / b) AS sd, sqrt(avg(CASE WHEN b IS NOT NULL THEN power(least((v - b) / b, 0), 2) END)) AS down FROM p GROUP BY strategy),
+q AS (SELECT g.*, e.*, {_Q.format("net", "n")} AS average_trade, CASE WHEN w > 0 THEN {_Q.format("nw", "w")} ELSE 0 END AS average_winner, CASE WHEN l > 0 THEN {_Q.format("nl", "l")} ELSE 0 END AS average_loser FROM g JOIN e ON e.strategy = g.strategy)
+SELECT strategy, n AS total_trades, w AS winning_trades, l AS losing_trades, net / 100 AS net_profit, gp / 100 AS gross_profit, gl / 100 AS gross_loss, c / 100 AS total_costs, {_R.format("w / n")} AS win_rate, {_R.format("l / n")} AS loss_rate,
+average_trade, average_winner, average_loser, lw / 100 AS largest_win, ll / 100 AS largest_loss, {_R.format("held / span")} AS exposure, {_R.format("coalesce(gp / nullif(-gl, 0), 0)")} AS profit_factor, average_trade AS expectancy,
+{_R.format("coalesce(average_winner / nullif(-average_loser, 0), 0)")} AS risk_reward, {_R.format("dd")} AS max_drawdown, {_R.format("m * 252 / (sd * sqrt(252))")} AS sharpe, {_R.format("m * 252 / (down * sqrt(252))")} AS sortino, {_R.format("100 * dd")} AS max_drawdown_pct FROM q"""
+MAE_MFE = f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({HOUR_BARS})),
+m AS (SELECT *, (SELECT CASE WHEN count(*) = 5 THEN avg(x.close) END FROM b x WHERE x.symbol = b.symbol AND x.rn BETWEEN b.rn - 4 AND b.rn) - (SELECT CASE WHEN count(*) = 20 THEN avg(x.close) END FROM b x WHERE x.symbol = b.symbol AND x.rn BETWEEN b.rn - 19 AND b.rn) AS gap FROM b),
+c AS (SELECT *, lag(gap) OVER w AS old, lead(ts) OVER w AS nts, lead(open) OVER w AS nopen FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+s AS (SELECT symbol, sign(gap) AS s, nts, nopen, lead(nts) OVER (PARTITION BY symbol ORDER BY nts) AS ets FROM c WHERE nopen IS NOT NULL AND (old <= 0 AND gap > 0 OR old >= 0 AND gap < 0))
+SELECT s.symbol, CASE WHEN s > 0 THEN 'LONG' ELSE 'SHORT' END AS side, CAST(epoch(s.nts) AS BIGINT) AS entry_n, CAST(epoch(s.ets) AS BIGINT) AS exit_n,
+round(greatest(CASE WHEN s > 0 THEN round(any_value(nopen), 4) - min(low) ELSE max(high) - round(any_value(nopen), 4) END, 0) + 3.7e-10, 2) AS mae, round(greatest(CASE WHEN s > 0 THEN max(high) - round(any_value(nopen), 4) ELSE round(any_value(nopen), 4) - min(low) END, 0) + 3.7e-10, 2) AS mfe
+FROM s JOIN b ON b.symbol = s.symbol AND b.ts BETWEEN s.nts AND s.ets WHERE s.ets IS NOT NULL GROUP BY s.symbol, s.s, s.nts, s.ets"""
+_H = "((2 * t * {} + {}) // (2 * {}))"
+FEES = f"""WITH l AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, l_linenumber % 2 = 0 AS sold, (l_orderkey * 10 + l_linenumber) % 2 = 0 AS delivered, CAST(l_quantity AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT) AS t FROM lineitem),
+p AS (SELECT symbol, least({_H.format(3, 10000, 10000)}, 2000) AS b, CASE WHEN delivered THEN {_H.format(1, 1000, 1000)} WHEN sold THEN {_H.format(25, 100000, 100000)} ELSE 0 END AS x, {_H.format(345, 10000000, 10000000)} AS e, {_H.format(2, 1000000, 1000000)} AS r, {_H.format(3, 100000, 100000)} AS s FROM l)
+SELECT symbol, count(*) AS n, CAST(sum(b) AS BIGINT) / 100 AS brokerage, CAST(sum(x) AS BIGINT) / 100 AS transaction_tax, CAST(sum(e) AS BIGINT) / 100 AS exchange_fee, CAST(sum(r) AS BIGINT) / 100 AS regulator_fee, CAST(sum(s) AS BIGINT) / 100 AS stamp,
+CAST(sum((36 * (b + e + r) + 100) // 200) AS BIGINT) / 100 AS service_tax FROM p GROUP BY symbol"""
+STOP_GAP = f"""SELECT symbol, ts, {_R.format("list_max([list_min([(open + close) / 2 * 0.9975, low]), 0.01])")} AS stop_buy, {_R.format("list_max([(open + close) / 2 * 1.0025, high, 0.01])")} AS stop_sell,
+{_R.format("(open + close) / 2")} AS target_buy, {_R.format("(open + close) / 2")} AS target_sell FROM ({HOUR_BARS})"""
+FOLDS = f"""WITH n AS (SELECT symbol, count(*) AS n FROM ({DAILY_BARS}) GROUP BY symbol), e AS (SELECT *, greatest(1, CAST(ceil(n * 0.01) AS BIGINT)) AS e FROM n), s AS (SELECT *, unnest(range(141 + e, n, 60)) AS test_from FROM e)
+SELECT symbol, test_from - e - 120 AS train_from, test_from - e AS train_to, test_from, least(test_from + 60, n) AS test_to FROM s"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
+PATHS = 64
 
 
 def z_normal(x: np.ndarray) -> np.ndarray:
@@ -19,18 +20,22 @@ def z_normal(x: np.ndarray) -> np.ndarray:
     return np.zeros(len(x)) if s < 1e-12 else (x - x.mean()) / s
 
 
-def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
-    """Banded dynamic time warping distance over the sum of lengths."""
-    n, m = len(a), len(b)
+def dtw_all(rows: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Banded dynamic time warping distances of each row to ``b``, over the sum of lengths; each cell of the band is one operation on all rows."""
+    (k, n), m = rows.shape, len(b)
     band = max(band, abs(n - m))
-    before = np.full(m + 1, np.inf)
+    before = np.full((m + 1, k), np.inf)
     before[0] = 0.0
     for i in range(n):
-        now = np.full(m + 1, np.inf)
+        now = np.full((m + 1, k), np.inf)
         for j in range(max(0, i - band), min(m, i + band + 1)):
-            now[j + 1] = abs(a[i] - b[j]) + min(before[j + 1], now[j], before[j])
+            now[j + 1] = np.abs(rows[:, i] - b[j]) + np.minimum(np.minimum(before[j + 1], now[j]), before[j])
         before = now
-    return float(before[m] / (n + m))
+    return before[m] / (n + m)
+
+
+def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
+    return float(dtw_all(np.asarray(a, float)[None, :], b, band)[0])
 
 
 def find_similar(daily: DataFrame, symbol: str, window: int = 20, horizon: int = 5, top_k: int = 10, band: float = 0.2) -> DataFrame:
@@ -52,7 +57,12 @@ def find_similar(daily: DataFrame, symbol: str, window: int = 20, horizon: int =
 
     @F.pandas_udf("double")
     def distance(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: dtw(z_normal(np.asarray(x, float)), goal, width))
+        if not len(w):
+            return pd.Series([], dtype=float)
+        rows = np.stack(w.to_list()).astype(float)
+        spread = rows.std(axis=1, keepdims=True)
+        flat = spread < 1e-12
+        return pd.Series(dtw_all(np.where(flat, 0.0, (rows - rows.mean(axis=1, keepdims=True)) / np.where(flat, 1.0, spread)), goal, width))
 
     others = rows.filter(~((F.col("symbol") == symbol) & (F.col("ts") == F.lit(query[0]["ts"]))))
     return others.select("symbol", "ts", distance("w").alias("dist"), "fwd_pct").orderBy("dist", "symbol", "ts").limit(top_k)
@@ -105,17 +115,32 @@ def flat_to_flat(ledger: DataFrame) -> DataFrame:
 def monte_carlo(returns: DataFrame, paths: int = 1000, horizon: int = 252, seed: int = 7) -> DataFrame:
     """Compounded results of bootstrapped paths of returns (columns symbol, x).
 
-    A path is one row, whose draws a fold makes from its hash; nothing is joined.
+    A path's draws come from its hash, by a fold; nothing is joined. A symbol's
+    returns are copied once for every ``PATHS`` paths, which are one row's work.
     """
     lists = returns.filter("x is not null").groupBy("symbol").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    each = lists.select("symbol", "xs", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))).alias("path"))
+    each = lists.select("symbol", "xs", F.explode(F.sequence(F.lit(0), F.lit(paths - 1), F.lit(PATHS))).alias("from"))
+    own = F.sequence(F.col("from"), F.least(F.col("from") + PATHS, F.lit(paths)) - 1)
 
-    def grown(total: Column, step: Column) -> Column:
-        at = F.pmod(F.xxhash64("symbol", "path", step, F.lit(seed)), F.size("xs").cast("long"))
-        return total + F.ln(1 + F.greatest(F.element_at("xs", (at + 1).cast("int")), F.lit(-0.999999)))
+    def walk(path: Column) -> Column:
+        def grown(total: Column, step: Column) -> Column:
+            at = F.pmod(F.xxhash64(F.col("symbol"), path, step, F.lit(seed)), F.size("xs").cast("long"))
+            return total + F.ln(1 + F.greatest(F.element_at("xs", (at + 1).cast("int")), F.lit(-0.999999)))
 
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.lit(0.0), grown)
-    return each.select("symbol", F.col("path").cast("long").alias("path"), (F.exp(walk) - 1).alias("total"))
+        return F.struct(path.cast("long").alias("path"), (F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.lit(0.0), grown)) - 1).alias("total"))
+
+    return each.select("symbol", F.explode(F.transform(own, walk)).alias("w")).select("symbol", "w.path", "w.total")
+
+
+def monte_carlo_summary(found: DataFrame) -> DataFrame:
+    """Mean, deviation, 5th and 95th percentile by index, and the share of paths that gain, of each symbol's paths."""
+    order = Window.partitionBy("symbol").orderBy("total", "path")
+    rows = found.withColumns({"_at": F.row_number().over(order) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    at = {name: F.max(F.when(F.col("_at") == F.floor(F.col("_n") * share), F.col("total"))) for name, share in (("ci_lower", 0.05), ("ci_upper", 0.95))}
+    return rows.groupBy("symbol").agg(
+        F.avg("total").alias("mean_return"), F.coalesce(F.stddev_samp("total"), F.lit(0.0)).alias("std_return"), *(e.alias(n) for n, e in at.items()),
+        F.avg((F.col("total") > 0).cast("double")).alias("prob_profit"), F.count(F.lit(1)).alias("n_paths"),
+    )
 
 
 def expected_best_sharpe(trials: int, variance: float) -> float | None:

@@ -34,23 +34,12 @@ scored AS (SELECT symbol, ((close - a) + (close - b) + (close - c) + (a - b) + (
 strength AS (SELECT symbol, sum(n * w) / nullif(sum(w), 0) AS rs_score, count(*) AS n_scored FROM scored GROUP BY symbol HAVING count(*) = {_N})"""
 SHARED["rs_score"] = f"WITH {RS_CTES} SELECT symbol, {r('rs_score', 4)} AS rs_score, n_scored FROM strength"
 
-SHARED["technical_latest"] = f"""
-WITH c AS (SELECT *, close - lag(close) OVER ({P}) AS d, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back, avg(close) {rows(10)} AS fast, avg(close) {rows(30)} AS slow, count(*) OVER ({P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bars_seen FROM {{bars}}),
-m AS (SELECT *, avg(greatest(d, 0)) {rows(14)} AS up, avg(greatest(-d, 0)) {rows(14)} AS dn FROM c)
-SELECT symbol, ts, close, {r('fast')} AS sma_fast, {r('slow')} AS sma_slow, {r('CASE WHEN dn = 0 THEN 100 ELSE 100 - 100 / (1 + up / nullif(dn, 0)) END')} AS rsi_plain, bars_seen FROM m WHERE back = 1"""
-
 SHARED["breadth_dma"] = f"""
 WITH d AS (SELECT symbol, date_trunc('day', ts) AS ts, max_by(close, ts) AS close FROM {{bars}} GROUP BY symbol, date_trunc('day', ts)),
 m AS (SELECT symbol, ts, close, avg(close) {rows(5)} AS dma, lag(close) OVER ({P}) AS before FROM d)
 SELECT ts, count(*) AS n, count(CASE WHEN close > dma THEN 1 END) AS above, count(CASE WHEN close > before THEN 1 END) AS advances,
   count(CASE WHEN close < before THEN 1 END) AS declines, {r('100 * CAST(sum(CASE WHEN close > dma THEN 1 ELSE 0 END) AS DOUBLE) / count(*)')} AS pct_above FROM m GROUP BY ts"""
 
-_MOVES = f"""moves AS (SELECT ts, close - lag(close) OVER ({P}) AS d, volume FROM {{bars}}),
-counts AS (SELECT ts, CAST(sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS adv, CAST(sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS DOUBLE) AS dec, sum(CASE WHEN d > 0 THEN volume ELSE 0 END) AS adv_vol, sum(CASE WHEN d < 0 THEN volume ELSE 0 END) AS dec_vol FROM moves GROUP BY ts)"""
-SHARED["advance_decline"] = f"WITH {_MOVES} SELECT ts, adv, dec, {r('adv / nullif(dec, 0)')} AS ratio FROM counts"
-SHARED["breadth_cumulative"] = f"WITH {_MOVES} SELECT ts, {r('sum(CASE WHEN adv > 0 AND dec > 0 THEN ln(adv / nullif(dec, 0)) ELSE 0 END) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS log_product FROM counts"
-SHARED["trin"] = f"WITH {_MOVES} SELECT ts, {r('(dec / nullif(adv, 0)) / nullif(dec_vol / nullif(adv_vol, 0), 0)')} AS trin FROM counts"
-
 # A morning screen: gap, early return and volume, relative strength above the median, directional movement rising.
 _SCREEN_DAY = """day_bars AS (SELECT symbol, date_trunc('day', ts) AS ts, min_by(open, ts) AS o, max_by(close, ts) AS c, max(high) AS h, min(low) AS l, sum(volume) AS v,
   sum(CASE WHEN hour(ts) < 10 THEN volume ELSE 0 END) AS v_early, max_by(CASE WHEN hour(ts) < 10 THEN close END, CASE WHEN hour(ts) < 10 THEN ts END) AS c_early,
@@ -136,12 +125,6 @@ _ACTIONS = "actions AS (SELECT DISTINCT l_returnflag AS symbol, CAST(2 AS DOUBLE
 SHARED["corp_action_adjust"] = f"WITH {_ACTIONS} SELECT b.symbol, b.ts, {r('b.close / coalesce(a.ratio, 1)')} AS adjusted FROM {{daily}} b LEFT JOIN actions a ON a.symbol = b.symbol"
 SHARED["corp_action_adjust_asof"] = f"WITH {_ACTIONS} SELECT b.symbol, b.ts, {r('b.close / coalesce(a.ratio, 1)')} AS adjusted FROM {{daily}} b LEFT JOIN actions a ON a.symbol = b.symbol AND b.ts < a.ex_ts"
 
-# Scanner: scores of conditions on the last bar
-SHARED["scanner_momentum"] = f"""
-WITH c AS (SELECT symbol, ts, close, avg(close) {rows(20)} AS ma, 100 * (close / nullif(lag(close, 10) OVER ({P}), 0) - 1) AS roc, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM {{bars}}),
-s AS (SELECT symbol, ts, (CASE WHEN close > ma THEN 1 ELSE 0 END + CASE WHEN roc > 0 THEN 1 ELSE 0 END + CASE WHEN close > 100 THEN 1 ELSE 0 END) AS matched FROM c WHERE back = 1)
-SELECT symbol, ts, {r('CAST(matched AS DOUBLE) / 3')} AS score, row_number() OVER (ORDER BY matched DESC, symbol) AS place FROM s WHERE matched > 0"""
-
 # Signals
 _CROSS = "CASE WHEN lag({a}) OVER (" + P + ") <= lag({b}) OVER (" + P + ") AND {a} > {b} THEN 'BUY' WHEN lag({a}) OVER (" + P + ") >= lag({b}) OVER (" + P + ") AND {a} < {b} THEN 'SELL' END"
 SMA_CROSS = f"WITH m AS (SELECT *, CASE WHEN count(*) {rows(5)} = 5 THEN avg(close) {rows(5)} END AS fast, CASE WHEN count(*) {rows(20)} = 20 THEN avg(close) {rows(20)} END AS slow FROM {{bars}}), sig AS (SELECT *, {_CROSS.format(a='fast', b='slow')} AS side, lead(open) OVER ({P}) AS next_open, lead(ts) OVER ({P}) AS next_ts FROM m)"
@@ -151,29 +134,12 @@ SHARED["signals_mean_reversion"] = f"""
 WITH d AS (SELECT *, close - lag(close) OVER ({P}) AS d FROM {{bars}}), m AS (SELECT *, avg(greatest(d, 0)) {rows(14)} AS u, avg(greatest(-d, 0)) {rows(14)} AS n, count(d) {rows(14)} AS k FROM d),
 z AS (SELECT *, CASE WHEN k < 14 THEN 0 WHEN 100 * u / nullif(u + n, 0) > 70 THEN 1 WHEN 100 * u / nullif(u + n, 0) < 30 THEN -1 ELSE 0 END AS zone FROM m),
 e AS (SELECT *, lag(zone) OVER ({P}) AS before FROM z) SELECT symbol, ts, CASE WHEN zone = 1 THEN 'SELL' ELSE 'BUY' END AS side FROM e WHERE zone <> 0 AND zone <> before"""
-SHARED["signals_bracket_breakout"] = f"""
-WITH w AS (SELECT *, max(high) {rows(20, 1)} AS top, min(low) {rows(20, 1)} AS bottom, count(*) {rows(20, 1)} AS n, avg(high - low) {rows(14)} AS width FROM {{bars}})
-SELECT symbol, ts, CASE WHEN close > top THEN 'BUY' ELSE 'SELL' END AS side, {r('CASE WHEN close > top THEN close - 1.5 * width ELSE close + 1.5 * width END')} AS stop_price, {r('CASE WHEN close > top THEN close + 3 * width ELSE close - 3 * width END')} AS target_price FROM w WHERE n = 20 AND (close > top OR close < bottom)"""
 SHARED["signals_buy_and_hold"] = f"SELECT symbol, ts, 'BUY' AS side FROM (SELECT *, row_number() OVER ({P}) AS rn FROM {{bars}}) x WHERE rn = 1"
 
 # Fills, fees and accounts
 SHARED["fills_next_open"] = f"{SMA_CROSS} SELECT symbol, ts AS signal_ts, next_ts AS fill_ts, side, next_open AS price, next_open IS NULL AS unfilled FROM sig WHERE side IS NOT NULL"
 _FILLS = "fills AS (SELECT l_suppkey AS symbol, l_orderkey, l_linenumber, l_shipdate AS ts, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS sgn, l_quantity AS qty, l_extendedprice / l_quantity AS price FROM lineitem)"
-SHARED["fees_breakdown"] = f"""
-WITH {_FILLS}, t AS (SELECT *, qty * price AS turnover FROM fills), f AS (SELECT *, least(20, turnover * 0.0003) AS brokerage, CASE WHEN sgn < 0 THEN turnover * 0.00025 ELSE 0 END AS transaction_tax, turnover * 0.0000345 AS exchange_fee, turnover * 0.000001 AS regulator_fee, CASE WHEN sgn > 0 THEN turnover * 0.00003 ELSE 0 END AS stamp FROM t)
-SELECT symbol, count(*) AS n, {r('sum(brokerage)', 4)} AS brokerage, {r('sum(transaction_tax)', 4)} AS transaction_tax, {r('sum(exchange_fee)', 4)} AS exchange_fee, {r('0.18 * sum(brokerage + exchange_fee + regulator_fee)', 4)} AS service_tax, {r('sum(stamp)', 4)} AS stamp FROM f GROUP BY symbol"""
 SHARED["position_running"] = f"WITH {_FILLS} SELECT symbol, l_orderkey, l_linenumber, sum(sgn * qty) OVER w AS position, {r('sum(-sgn * qty * price) OVER w', 4)} AS cash FROM fills WINDOW w AS (PARTITION BY symbol ORDER BY ts, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-# First in, first out: the n-th share bought meets the n-th share sold, so lots overlap as intervals of running quantity.
-SHARED["round_trips_fifo"] = f"""
-WITH {_FILLS}, run AS (SELECT *, sum(qty) OVER (PARTITION BY symbol, sgn ORDER BY ts, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM fills),
-b AS (SELECT * FROM run WHERE sgn = 1), s AS (SELECT * FROM run WHERE sgn = -1)
-SELECT b.symbol, count(*) AS n_lots, sum(least(b.upto, s.upto) - greatest(b.upto - b.qty, s.upto - s.qty)) AS quantity, {r('sum((s.price - b.price) * (least(b.upto, s.upto) - greatest(b.upto - b.qty, s.upto - s.qty)))', 2)} AS pnl
-FROM b JOIN s ON b.symbol = s.symbol AND b.upto - b.qty < s.upto AND s.upto - s.qty < b.upto GROUP BY b.symbol"""
-SHARED["mae_mfe"] = f"""
-{SMA_CROSS}, entries AS (SELECT symbol, next_ts AS entry_ts, next_open AS entry, lead(next_ts) OVER (PARTITION BY symbol ORDER BY next_ts) AS exit_ts, side FROM sig WHERE side IS NOT NULL AND next_open IS NOT NULL)
-SELECT e.symbol, e.entry_ts, e.side, {r('min(CASE WHEN e.side = ' + "'BUY'" + ' THEN b.low - e.entry ELSE e.entry - b.high END)')} AS worst, {r('max(CASE WHEN e.side = ' + "'BUY'" + ' THEN b.high - e.entry ELSE e.entry - b.low END)')} AS best
-FROM entries e JOIN {{bars}} b ON b.symbol = e.symbol AND b.ts >= e.entry_ts AND b.ts <= e.exit_ts GROUP BY e.symbol, e.entry_ts, e.side"""
-SHARED["pnl_by_strategy"] = f"WITH {_FILLS} SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'none' ELSE CAST(l_orderkey % 5 AS VARCHAR(9)) END AS strategy, count(*) AS n_fills, {r('sum(-sgn * qty * price)', 2)} AS cash FROM fills GROUP BY 1"
 SHARED["portfolio_totals"] = f"WITH {_FILLS}, p AS (SELECT symbol, sum(sgn * qty) AS position, max_by(price, ts) AS mark FROM (SELECT symbol, sgn, qty, max(price) AS price, ts FROM fills GROUP BY symbol, sgn, qty, ts) x GROUP BY symbol) SELECT {r('sum(abs(position))', 2)} AS gross, {r('sum(position)', 2)} AS net, count(*) AS n FROM p"
 
 # Statistics of returns

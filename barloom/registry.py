@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import operators, sources
@@ -12,7 +12,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import execution, guard, market_profile, oracle, research, signals
+from barloom.plans import breadth, execution, guard, market_profile, oracle, research, scanner, signals, trades
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +173,114 @@ def monte_carlo(spark, sf_dir):
     return rounded(research.monte_carlo(returns), "total")
 
 
+@query("monte_carlo_summary")
+def monte_carlo_summary(spark, sf_dir):
+    returns = sources.daily_bars(spark, sf_dir).selectExpr("symbol", "close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS x")
+    found = research.monte_carlo_summary(research.monte_carlo(returns))
+    return rounded(found, "mean_return", "std_return", "ci_lower", "ci_upper")
+
+
+# Breadth, scanners and trades
+
+
+@query("advance_decline", oracle.ADVANCE_DECLINE)
+def advance_decline(spark, sf_dir):
+    return rounded(breadth.advance_decline(sources.hour_bars(spark, sf_dir)), "ratio")
+
+
+@query("breadth_cumulative", oracle.BREADTH)
+def breadth_cumulative(spark, sf_dir):
+    return rounded(breadth.breadth_indicator(sources.hour_bars(spark, sf_dir)), "ratio", "log_cumulative")
+
+
+@query("trin", oracle.TRIN)
+def trin(spark, sf_dir):
+    return rounded(breadth.trin(sources.hour_bars(spark, sf_dir)), "trin")
+
+
+@query("technical_latest", oracle.TECHNICAL)
+def technical_latest(spark, sf_dir):
+    return rounded(scanner.technical_latest(sources.hour_bars(spark, sf_dir), 10, 30, 14), "sma_fast", "sma_slow", "rsi")
+
+
+def _scanner(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(scanner.top(sources.daily_bars(spark, sf_dir), scanner.SCANNERS[name]), "score").drop("matched", "values")
+
+    return run
+
+
+for _name in scanner.SCANNERS:
+    query(f"scanner_{_name}", oracle.SCANNERS[_name])(_scanner(_name))
+
+
+def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as fills of suppliers: odd line numbers buy, even ones sell; five strategies, one of them without a name."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sign = F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1)
+    owner = F.col("l_orderkey") % 5
+    return lines.select(
+        F.when(owner > 0, owner.cast("string")).alias("strategy"), F.col("l_suppkey").cast("string").alias("symbol"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), (F.col("l_quantity") * sign).cast("decimal(20,4)").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(20,4)").alias("price"), (F.col("l_tax") * 100).cast("decimal(20,4)").alias("cost"),
+    )
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Decimals as doubles, for engines whose decimals differ in scale."""
+    return rows.withColumns({c: F.col(c).cast("double") for c, kind in rows.dtypes if kind.startswith("decimal")})
+
+
+@query("round_trips_fifo", oracle.ROUND_TRIPS)
+def round_trips_fifo(spark, sf_dir):
+    found = trades.round_trips(_trades(spark, sf_dir), "symbol")
+    return _plain(found.drop("entry_ts", "exit_ts"))
+
+
+@query("pnl_by_strategy", oracle.PNL_BY_STRATEGY)
+def pnl_by_strategy(spark, sf_dir):
+    return _plain(trades.pnl_by_strategy(_trades(spark, sf_dir)))
+
+
+@query("strategy_statistics", oracle.STATISTICS)
+def strategy_statistics(spark, sf_dir):
+    named = _trades(spark, sf_dir).withColumn("strategy", F.coalesce("strategy", F.lit("none")))
+    trips = trades.round_trips(named, "strategy", "symbol")
+    days = trips.groupBy("strategy", F.col("exit_ts").alias("ts")).agg(F.sum("net_pnl").cast("double").alias("x"))
+    so_far = Window.partitionBy("strategy").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    equity = days.select("strategy", "ts", (F.lit(1e7) + F.sum("x").over(so_far)).alias("value"))
+    found = _plain(trades.statistics(trips, "strategy", equity=equity))
+    return rounded(found, "win_rate", "loss_rate", "exposure", "profit_factor", "risk_reward", "max_drawdown", "max_drawdown_pct", "sharpe", "sortino")
+
+
+@query("mae_mfe", oracle.MAE_MFE)
+def mae_mfe(spark, sf_dir):
+    sides = F.when(F.col("side") == "BUY", 1).otherwise(-1)
+    entries = signals.sma_cross(sources.hour_bars(spark, sf_dir)).filter("next_open IS NOT NULL").select(
+        "symbol", F.col("next_ts").alias("ts"), F.unix_seconds(F.col("next_ts").cast("timestamp")).alias("n"), (sides * F.when(F.col("first"), 1).otherwise(2)).alias("quantity"),
+        F.col("next_open").alias("price"), F.lit(None).cast("double").alias("cost"),
+    )
+    found = trades.with_excursions(trades.round_trips(entries, "symbol"), sources.hour_bars(spark, sf_dir), "symbol")
+    return _plain(found.select("symbol", "side", "entry_n", "exit_n", "mae", "mfe"))
+
+
+@query("fees_breakdown", oracle.FEES)
+def fees_breakdown(spark, sf_dir):
+    product = F.when(F.col("n") % 2 == 0, "DELIVERY").otherwise(F.when(F.col("n") % 3 == 0, "INTRADAY"))
+    side = F.when(F.col("quantity") > 0, "BUY").otherwise("SELL")
+    each = _trades(spark, sf_dir).select("symbol", trades.fees(side, F.abs("quantity"), F.col("price"), product).alias("f")).select("symbol", "f.*")
+    found = each.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in each.columns[1:]))
+    return _plain(found)
+
+
+@query("stop_gap_prices", oracle.STOP_GAP)
+def stop_gap_prices(spark, sf_dir):
+    bars = sources.hour_bars(spark, sf_dir)
+    level = (F.col("open") + F.col("close")) / 2
+    found = bars.select("symbol", "ts", *(trades.stop_gap_price(F.lit(kind), F.lit(side), level, F.col("low"), F.col("high")).alias(f"{kind}_{side.lower()}") for kind in ("stop", "target") for side in ("BUY", "SELL")))
+    return rounded(found, *found.columns[2:])
+
+
 @query("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
     return research.deflated_sharpe(QUERIES["grid_search_sma"](spark, sf_dir))
@@ -225,10 +333,9 @@ def risk_refusals(spark, sf_dir):
     return execution.risk_refusals(rows, 500_000, 300_000, 400_000, 1_000_000).select("o_orderkey", "refused")
 
 
-@query("wf_folds")
+@query("wf_folds", oracle.FOLDS)
 def wf_folds(spark, sf_dir):
-    n = sources.daily_bars(spark, sf_dir).filter("symbol = 'A'").count()
-    return execution.folds(spark, n, train=120, test=60)
+    return execution.folds_of(sources.daily_bars(spark, sf_dir), train=120, test=60)
 
 
 # Signals of recurrences
@@ -252,19 +359,20 @@ def signals_rsi_reversal(spark, sf_dir):
     return signals.rsi_reversal(sources.hour_bars(spark, sf_dir))
 
 
-@query("signals_supertrend_flip")
+@query("signals_supertrend_flip", _signal_sql("supertrend", f"CASE WHEN {_before('direction')} < 0 AND direction > 0 THEN 'BUY' WHEN {_before('direction')} > 0 AND direction < 0 THEN 'SELL' END"))
 def signals_supertrend_flip(spark, sf_dir):
     return signals.supertrend_flip(sources.hour_bars(spark, sf_dir))
 
 
-@query("signals_ema_ribbon_pullback")
-def signals_ema_ribbon_pullback(spark, sf_dir):
-    return signals.ema_ribbon_pullback(sources.hour_bars(spark, sf_dir))
+def _strategy(name: str, *figures: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(signals.run_strategy(sources.hour_bars(spark, sf_dir), name), *figures)
+
+    return run
 
 
-@query("signals_supertrend_regime")
-def signals_supertrend_regime(spark, sf_dir):
-    return signals.supertrend_regime(sources.hour_bars(spark, sf_dir))
+for _name, _figures in (("ema-ribbon-pullback", ()), ("bracket-breakout", ("stop", "target")), ("supertrend-regime", ())):
+    query("signals_" + _name.replace("-", "_"), oracle.strategy_sql(_name, PLACES, NUDGE))(_strategy(_name, *_figures))
 
 
 @query("event_log_chain")

@@ -1,7 +1,7 @@
 import datetime as dt
 import random
 
-from barloom.plans import execution, market_profile
+from barloom.plans import execution, market_profile, trades
 from pyspark.sql import functions as F
 
 
@@ -46,12 +46,12 @@ def test_sessions(spark):
 
 def test_prices_and_sizes(spark):
     row = spark.range(1).select(
-        execution.stop_fill(F.lit("SELL"), F.lit(100.0), F.lit(99.0), F.lit(101.0)).alias("stop"),
+        trades.stop_gap_price(F.lit("stop"), F.lit("BUY"), F.lit(100.0), F.lit(99.0), F.lit(101.0)).alias("stop"),
         execution.order_price(F.lit("BUY"), F.lit(100.0), F.lit(99.5), 1.0).alias("limit"),
         execution.position_size(F.lit(10_000.0), F.lit(2.0), F.lit(100.0)).alias("size"),
         execution.position_size(F.lit(10_000.0), F.lit(0.0), F.lit(1e9)).alias("none"),
     ).first()
-    assert (row.stop, row.limit, row.size, row.none) == (99.75, 99.5, 50, 0)
+    assert (row.stop, row.limit, row.size, row.none) == (99.0, 99.5, 50, 0)
 
 
 def test_folds_do_not_leak(spark):

@@ -25,5 +25,5 @@ def test_chain_finds_changes(spark):
 
 
 def test_ribbon_needs_order(spark):
-    rows = signals.ema_ribbon_pullback(bars(spark, [100 + i for i in range(60)] + [157]), (3, 5, 8)).collect()
+    rows = signals.run_strategy(bars(spark, [100 + i for i in range(60)] + [157]), "ema-ribbon-pullback", l1=3, l2=5, l3=8, l4=13).collect()
     assert [r.side for r in rows] == ["BUY"]
