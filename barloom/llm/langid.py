@@ -12,14 +12,14 @@ Every label is learned: where there are so many that a share would fall below
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and
 so is every text where nothing could be learned; with one learned language every
-other text is of that language; ties go to the language that sorts first;
-repeated rows stay repeated.
+other text is of that language; ties go to the language that sorts first; of rows
+that repeat a doc_id and a label the least text teaches; repeated rows stay
+repeated.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -150,14 +150,15 @@ def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     known = docs.filter(lang.isNotNull() & text.isNotNull() & (F.trim(text) != "") & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", 5, 0))
     uniform = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) / (1 << 30)
-    counts = known.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(uniform).alias("least")).collect()
+    counts = known.groupBy(lang.alias("lang")).agg(F.approx_count_distinct("doc_id", 0.02).alias("n"), F.min(uniform).alias("least")).collect()
     if not counts:
         return known.select(lang.alias("lang"), F.lit(None).cast("binary").alias("grams")).limit(0)
     share = max(train_docs / len(counts), LEAST_SHARE)
-    below = {r["lang"]: max(share / r["n"], r["least"] + 2.0**-31) for r in counts}  # the least one is taken whatever the share
+    below = {r["lang"]: max(share / max(1, r["n"]), r["least"] + 2.0**-31) for r in counts}  # the least one is taken whatever the share
     part_of = F.from_json(F.lit(json.dumps(below)), "map<string,double>")
     sample = known.filter(uniform < F.coalesce(F.try_element_at(part_of, lang), F.lit(0.0)))
-    return in_arrow(sample.select(lang.alias("lang"), text.alias("text")), _vectors, "lang string, grams binary").limit(2 * math.ceil(share * len(counts)))
+    once = sample.groupBy(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang")).agg(F.min(text).alias("text"))
+    return in_arrow(once.select("lang", "text"), _vectors, "lang string, grams binary")
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
