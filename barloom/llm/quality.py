@@ -3,8 +3,8 @@
 Every whole text becomes a vector of transformed statistics. Each class has a
 mean and a covariance that is shrunk towards the pooled covariance and its
 diagonal; the Cholesky factors are kept, and a score is the logistic of the
-difference of the two log densities, whose Mahalanobis terms are triangular
-solves against the cached factors.
+difference of the two log densities, whose Mahalanobis terms are lengths of
+products with the inverses of the factors, which are cached with the model.
 
 Counts, means and covariances are sums over all labelled rows outside the
 held-out fold, formed where the rows are; only the sums reach the driver.
