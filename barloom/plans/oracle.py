@@ -466,3 +466,40 @@ STOP_GAP = f"""SELECT symbol, ts, {_R.format("list_max([list_min([(open + close)
 {_R.format("(open + close) / 2")} AS target_buy, {_R.format("(open + close) / 2")} AS target_sell FROM ({HOUR_BARS})"""
 FOLDS = f"""WITH n AS (SELECT symbol, count(*) AS n FROM ({DAILY_BARS}) GROUP BY symbol), e AS (SELECT *, greatest(1, CAST(ceil(n * 0.01) AS BIGINT)) AS e FROM n), s AS (SELECT *, unnest(range(141 + e, n, 60)) AS test_from FROM e)
 SELECT symbol, test_from - e - 120 AS train_from, test_from - e AS train_to, test_from, least(test_from + 60, n) AS test_to FROM s"""
+
+# Screens bounded in time
+
+RESAMPLE_BOUNDED = f"""SELECT symbol, time_bucket(interval '1 hour', ts, interval '15 minutes') AS bucket, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, sum(volume) AS volume, count(*) AS n_bars
+FROM ({TICKS}) WHERE ts BETWEEN TIMESTAMP '2024-01-05 09:15:00' AND TIMESTAMP '2024-01-20 15:30:00' AND symbol IN ('click', 'view', 'none') GROUP BY 1, 2"""
+
+
+def _strength_sql(end: str) -> str:
+    """Relative strength of the last 121 hours of at least two ticks, 100 of them scored, by lists instead of windows."""
+    mean = "list_avg(cs[greatest(i - {k} + 2, 1):i + 1])"
+    return f"""hb AS (SELECT symbol, time_bucket(interval '1 hour', ts) AS b, max(price) AS h, min(price) AS l, arg_max(price, ts) AS c FROM ({TICKS}) WHERE ts <= TIMESTAMP '{end}' GROUP BY 1, 2 HAVING count(*) >= 2),
+hl AS (SELECT symbol, list(c ORDER BY b)[-121:] AS cs, list(h ORDER BY b)[-121:] AS hs, list(l ORDER BY b)[-121:] AS ls FROM hb GROUP BY symbol),
+hi AS (SELECT *, unnest(range(len(cs))) AS i FROM hl),
+ht AS (SELECT *, CASE WHEN i = 0 THEN hs[1] - ls[1] ELSE greatest(hs[i + 1] - ls[i + 1], abs(hs[i + 1] - cs[i]), abs(ls[i + 1] - cs[i])) END AS tr FROM hi),
+hm AS (SELECT symbol, i, cs[i + 1] AS c, {mean.format(k=4)} AS m1, {mean.format(k=10)} AS m2, {mean.format(k=20)} AS m3, avg(tr) OVER (PARTITION BY symbol ORDER BY i ROWS 13 PRECEDING) AS atr FROM ht),
+rs AS (SELECT symbol, sum((3 * c + m1 - m2 - 3 * m3) / atr * power(4, (i - 20) / 100)) / sum(power(4, (i - 20) / 100)) AS rs, count(*) AS n FROM hm WHERE i >= 21 AND atr > 0 GROUP BY symbol HAVING count(*) = 100)"""
+
+
+RS_BOUNDED = f"""WITH {_strength_sql("2024-01-25 00:00:00")} SELECT symbol, round(rs + 3.7e-10, 4) AS rs_score, n AS n_scored FROM rs"""
+BREADTH_BOUNDED = f"""WITH d AS (SELECT symbol, date_trunc('day', ts) AS bucket, arg_max(price, ts) AS c FROM ({TICKS}) WHERE ts <= TIMESTAMP '2024-01-26 09:45:00' GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bucket) AS k FROM d),
+x AS (SELECT a.bucket, a.c, (SELECT avg(b.c) FROM n b WHERE b.symbol = a.symbol AND b.k > a.k - 10 AND b.k <= a.k) AS m, p.c AS pc FROM n a LEFT JOIN n p ON p.symbol = a.symbol AND p.k = a.k - 1)
+SELECT bucket, count(*) AS n_symbols, count(*) FILTER (WHERE c > m) AS above_dma, round(100.0 * count(*) FILTER (WHERE c > m) / count(*) + 3.7e-10, 2) AS pct_above_dma, count(*) FILTER (WHERE c > pc) AS advances, count(*) FILTER (WHERE c < pc) AS declines FROM x GROUP BY bucket"""
+_W = "(PARTITION BY symbol ORDER BY d)"
+MORNING_SCREEN = f"""WITH {_strength_sql("2024-01-26 00:00:00")},
+t AS (SELECT *, date_trunc('day', ts) AS d, strftime(ts, '%H:%M') AS hm FROM ({TICKS}) WHERE ts <= TIMESTAMP '2024-01-26 09:45:00'),
+dd AS (SELECT symbol, d, arg_min(price, ts) AS o, arg_max(price, ts) AS c, max(price) AS h, min(price) AS l, sum(volume) FILTER (WHERE hm < '09:45') AS v30, arg_max(price, ts) FILTER (WHERE hm <= '09:45') AS px FROM t GROUP BY symbol, d),
+f AS (SELECT *, round(100 * (o / lag(c) OVER {_W} - 1) + 3.7e-10, 3) AS gap_pct, round(100 * (px / o - 1) + 3.7e-10, 3) AS pre30_ret, coalesce(v30, 0) / avg(coalesce(v30, 0)) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS vx,
+  h - lag(h) OVER {_W} AS up, lag(l) OVER {_W} - l AS dn, greatest(h - l, abs(h - lag(c) OVER {_W}), abs(l - lag(c) OVER {_W})) AS tr FROM dd),
+y AS (SELECT symbol, arg_max(struct_pack(d := d, o := o, gap_pct := gap_pct, pre30_ret := pre30_ret, v30x := round(vx + 3.7e-10, 2)), d) AS z, list(pre30_ret ORDER BY d DESC)[2] AS prev FROM f GROUP BY symbol),
+s AS (SELECT symbol, d, c, avg(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END) OVER w AS p, avg(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END) OVER w AS m, avg(tr) OVER w AS atr FROM f WHERE d < (SELECT max(d) FROM t) WINDOW w AS (PARTITION BY symbol ORDER BY d ROWS 4 PRECEDING)),
+x AS (SELECT symbol, d, avg(100 * abs(p - m) / nullif(p + m, 0)) OVER (PARTITION BY symbol ORDER BY d ROWS 4 PRECEDING) AS adx FROM s),
+a AS (SELECT symbol, list(adx ORDER BY d DESC) FILTER (WHERE adx IS NOT NULL) AS v FROM x GROUP BY symbol),
+r AS (SELECT symbol, atr, 100 * atr / nullif(c, 0) AS pct FROM s WHERE d = (SELECT max(d) FROM s))
+SELECT y.symbol, z.d AS day, z.o AS open_px, z.gap_pct AS gap_pct, z.pre30_ret AS pre30_ret, z.v30x AS v30x, round(rs.rs + 3.7e-10, 3) AS rs_score, round(atr + 3.7e-10, 2) AS atr, round(pct + 3.7e-10, 2) AS atr_pct
+FROM y JOIN rs ON rs.symbol = y.symbol JOIN a ON a.symbol = y.symbol JOIN r ON r.symbol = y.symbol
+WHERE z.v30x >= 0.05 AND z.gap_pct >= -1e6 AND z.pre30_ret >= -1e6 AND prev <= 1e9 AND z.o >= 0.001 AND v[1] >= 1 AND v[1] > v[2] AND pct BETWEEN 0.5 AND 1e6 AND rs.rs > (SELECT median(rs) FROM rs)"""

@@ -12,7 +12,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import breadth, execution, guard, market_profile, oracle, research, scanner, signals, trades
+from barloom.plans import breadth, execution, guard, market_profile, oracle, research, scanner, screens, signals, trades
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +281,38 @@ def stop_gap_prices(spark, sf_dir):
     return rounded(found, *found.columns[2:])
 
 
+# Screens bounded in time
+
+
+def _tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick as the shortest of bars."""
+    rows = sources.ticks(spark, sf_dir)
+    return rows.select("symbol", "ts", *(F.col("price").alias(c) for c in ("open", "high", "low", "close")), "volume")
+
+
+@query("resample_bounded", oracle.RESAMPLE_BOUNDED)
+def resample_bounded(spark, sf_dir):
+    return screens.resample(_tick_bars(spark, sf_dir), "1h", "session", "2024-01-05 09:15:00", "2024-01-20 15:30:00", ["click", "view", "none"])
+
+
+@query("rs_scores_bounded", oracle.RS_BOUNDED)
+def rs_scores_bounded(spark, sf_dir):
+    return screens.rs_scores(_tick_bars(spark, sf_dir), "2024-01-25 00:00:00", 5, 20, "1h", "clock", (4, 10, 20), 14).drop("raw")
+
+
+@query("morning_screen", oracle.MORNING_SCREEN)
+def morning_screen(spark, sf_dir):
+    return screens.morning_screen(
+        _tick_bars(spark, sf_dir), "2024-01-26 09:45:00", gap_min_pct=-1e6, vol_multiple=0.05, vol_lookback_days=7, pre30_min_pct=-1e6, adx_len=5, adx_min=1.0, atr_min_pct=0.5, atr_max_pct=1e6,
+        prev_pre30_max_pct=1e9, min_open=0.001, days=5, bars_per_day=20, ma_lens=(4, 10, 20), timeframe="1h",
+    )
+
+
+@query("breadth_bounded", oracle.BREADTH_BOUNDED)
+def breadth_bounded(spark, sf_dir):
+    return screens.breadth_of_days(_tick_bars(spark, sf_dir), "2024-01-26 09:45:00", 10)
+
+
 @query("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
     return research.deflated_sharpe(QUERIES["grid_search_sma"](spark, sf_dir))
