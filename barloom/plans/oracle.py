@@ -503,3 +503,12 @@ r AS (SELECT symbol, atr, 100 * atr / nullif(c, 0) AS pct FROM s WHERE d = (SELE
 SELECT y.symbol, z.d AS day, z.o AS open_px, z.gap_pct AS gap_pct, z.pre30_ret AS pre30_ret, z.v30x AS v30x, round(rs.rs + 3.7e-10, 3) AS rs_score, round(atr + 3.7e-10, 2) AS atr, round(pct + 3.7e-10, 2) AS atr_pct
 FROM y JOIN rs ON rs.symbol = y.symbol JOIN a ON a.symbol = y.symbol JOIN r ON r.symbol = y.symbol
 WHERE z.v30x >= 0.05 AND z.gap_pct >= -1e6 AND z.pre30_ret >= -1e6 AND prev <= 1e9 AND z.o >= 0.001 AND v[1] >= 1 AND v[1] > v[2] AND pct BETWEEN 0.5 AND 1e6 AND rs.rs > (SELECT median(rs) FROM rs)"""
+
+# An account's orders one after the other: only accepted ones move cash and the position.
+RISK = """WITH RECURSIVE o AS (SELECT CAST(o_custkey AS VARCHAR) AS account, o_orderkey AS n, CASE WHEN o_orderkey % 3 = 0 THEN -1.0 ELSE 1.0 END AS s, round(o_totalprice) AS v,
+row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+w AS (SELECT account, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS refused, 800000.0::DOUBLE AS cash, 0.0::DOUBLE AS position FROM (SELECT DISTINCT account FROM o)
+UNION ALL SELECT account, n, k, refused, CASE WHEN refused IS NULL THEN cash - s * v ELSE cash END, CASE WHEN refused IS NULL THEN position + s ELSE position END FROM (
+SELECT o.account, o.n, o.k, o.s, o.v, w.cash, w.position, CASE WHEN o.s < 0 AND w.position + o.s < 0 THEN 'short' WHEN o.v > 300000 THEN 'order value' WHEN o.s > 0 AND o.v > w.cash THEN 'cash'
+WHEN abs(w.position + o.s) > abs(w.position) AND abs(w.position + o.s) * o.v > 900000 THEN 'position value' END AS refused FROM w JOIN o ON o.account = w.account AND o.k = w.k + 1) x)
+SELECT account, n, refused, cash, position FROM w WHERE k > 0"""

@@ -12,7 +12,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import breadth, execution, guard, market_profile, oracle, research, scanner, screens, signals, trades
+from barloom.plans import backtest, breadth, execution, guard, market_profile, oracle, research, scanner, screens, signals, trades
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,19 +350,31 @@ def synthetic_ticks(spark, sf_dir):
     return execution.synthetic_ticks(sources.hour_bars(spark, sf_dir)).withColumn("volume", F.col("volume").cast("double"))
 
 
-@query(
-    "risk_refusals",
-    """WITH v AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS symbol, o_totalprice AS value,
-sum(CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent FROM orders)
-SELECT o_orderkey, CASE WHEN value > 300000 THEN 'order value' WHEN spent > 500000 THEN 'cash' WHEN abs(spent) > 400000 THEN 'position value' END AS refused FROM v""",
-)
+@query("risk_refusals", oracle.RISK)
 def risk_refusals(spark, sf_dir):
+    """A customer's orders under limits of order value, cash, position value and short sales."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     side = F.when(F.col("o_orderkey") % 3 == 0, "SELL").otherwise("BUY")
-    # the order's key breaks ties of its date
-    stamp = F.col("o_orderdate") + F.expr("make_dt_interval(0, 0, 0, o_orderkey / 1000000.0)")
-    rows = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("symbol"), stamp.alias("ts"), side.alias("side"), F.lit(1.0).alias("quantity"), F.col("o_totalprice").alias("price"))
-    return execution.risk_refusals(rows, 500_000, 300_000, 400_000, 1_000_000).select("o_orderkey", "refused")
+    rows = orders.select(
+        F.col("o_custkey").cast("string").alias("account"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("n"), F.lit("X").alias("symbol"), side.alias("side"),
+        F.lit(1.0).alias("quantity"), F.round("o_totalprice").alias("price"),
+    )
+    limits = execution.Limits(order_value=300_000, position_value=900_000, short_allowed=False)
+    return execution.risk_checks(rows, 800_000, limits).select("account", "n", "refused", "cash", "position")
+
+
+@query("backtest_events")
+def backtest_events(spark, sf_dir):
+    bars = sources.hour_bars(spark, sf_dir)
+    entries = signals.run_strategy(bars, "bracket-breakout").filter("code < 3").select("symbol", "ts", "side", "stop", "target")
+    return _plain(backtest.run(bars, entries, 100_000, 10))
+
+
+@query("backtest_results")
+def backtest_results(spark, sf_dir):
+    bars = sources.hour_bars(spark, sf_dir)
+    crosses = signals.sma_cross(bars).select("symbol", "ts", "side")
+    return rounded(_plain(backtest.result(backtest.run(bars, crosses, 100_000, 10), "1h")), "total_return", "sharpe", "max_drawdown")
 
 
 @query("wf_folds", oracle.FOLDS)
