@@ -6,7 +6,7 @@ doc_id stands for it. Each class has a MinHash signature, and every
 (coordinate, value) pair of it is a token of an inverted index.
 
 Two sets that reach the threshold agree in at least ``min_matches`` of the
-coordinates, but for a chance of about 2e-5. So of a class's tokens only the
+coordinates, but for a chance of 1.4e-5 at the threshold itself. So of a class's tokens only the
 first ``coordinates - min_matches + 1`` have to be posted, in one order of all
 tokens: the rarest first, by their count over all classes. The frequent tokens
 of a class are skipped by this, and so are tokens that occur once. Collisions in
@@ -21,7 +21,8 @@ signatures join families, and those confirmed on the sets join components. Then
 the members of a family outside its first member's component are compared with
 all its members, block by block, which returns no more links than join them. At
 last all pairs of a list are compared that are still in different components and
-families, so no link that joins two components is lost.
+families, so no link that joins two components is lost; long lists are cut into
+units for that, which meet pairwise.
 
 Defined cases: without words or text a set is empty, and the document is linked
 with nothing and kept; fewer words than a shingle form one shingle; exact copies
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import in_arrow, materialize
+from barloom.llm.common import discard, in_arrow, materialize
 
 COORDINATES = 64
 MIN_MATCHES = 37
@@ -48,6 +49,8 @@ PIVOTS = 3
 WORDS = 5
 THRESHOLD = 80
 SMALL_IDS = 1_000_000
+HUB, HUB_ROWS = 1_000, 200_000
+LIST = 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MEMO_WORDS = 100_000
 
@@ -183,28 +186,56 @@ def _few(ids: DataFrame, limit: int = SMALL_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``edges`` (a, ...) with ``m`` of ``least`` (a, m, n), where n counts a node's edges.
+
+    Edges of nodes with more than ``hub`` edges stay where they are: such nodes
+    are few, at most the number of edges over ``hub``, and their rows are
+    broadcast. So no hub's edges meet in one task.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("a", "m"))
+    others = edges.join(hubs, "a", "left_anti").join(least.filter(F.col("n") <= hub).select("a", "m"), "a")
+    return edges.join(hubs, "a").unionByName(others)
+
+
 def connected(edges: DataFrame, tag: str = "links") -> DataFrame:
     """id and component (its smallest id) of every node of the edges (a, b).
 
-    Large-star and small-star steps alternate until nothing changes; each step
-    aggregates before it joins, so a hub's neighbours needn't meet in one task.
+    Large-star and small-star steps alternate until nothing changes. Each step
+    aggregates before it joins, and joins hubs apart.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), tag)
-    seen = None
+    seen, n_edges = None, now.count()
     while True:
+        hub = max(HUB, 2 * n_edges // HUB_ROWS)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), tag)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _with_least(both.filter("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = materialize(large, tag)
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, lower, hub).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        after = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), tag)
+        discard(now, large)
+        now = after
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen or state[0] == 0:
             break
-        seen = state
+        seen, n_edges = state, state[0]
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def _pairs(left: DataFrame, right: DataFrame | None, names: list[str]) -> DataFrame:
+    """Members of a group that are in different families and components, once a pair where both are in their own band; with the sketches of both."""
+    key = ["group", "token", "band"]
+    other = (left if right is None else right).select(
+        *(F.col(c).alias(f"{c}_b") for c in key), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("own").alias("own_b"),
+        F.col("family").alias("fb"), *(F.col(k).alias(k.replace("k", "m")) for k in names),
+    )
+    once = (F.col("component") < F.col("cb")) | (F.col("own_b") == 0) & (F.col("component") != F.col("cb"))
+    same = (F.col("group") == F.col("group_b")) & (F.col("token") == F.col("token_b")) & (F.col("band") == F.col("band_b"))
+    return left.filter("own = 1").withColumnRenamed("id", "a").join(other, same & once & (F.col("family") != F.col("fb")))
+
+
 class _Linker:
     """The stages of one run over one table."""
 
@@ -303,6 +334,53 @@ class _Linker:
 
         return materialize(in_arrow(pairs, run, "a long, b long"), "family-links")
 
+    def open_pairs(self, postings: DataFrame, groups: DataFrame, families: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a list that are alike by sketch and in different families and components.
+
+        Lists of one family have none and go first. A long list is cut into
+        units: of members of one family that fills units by itself, or of
+        members of smaller families. Units meet pairwise, each pair as a group of
+        its own, and units of one family don't meet; so no task gets a whole list.
+        """
+        key = ["token", "band"]
+        names = [f"k{i}" for i in range(self.coordinates // 16)]
+        lists = postings.join(groups, "id", "left").join(families, "id", "left")
+        lists = lists.select(*key, "id", "own", *names, F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"))
+        by_family = lists.groupBy(*key, "family").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned"))
+        large = F.col("n") > LIST
+        part = F.when(large, F.col("family"))  # null stands for all smaller families of a list
+        parts = by_family.groupBy(*key, part.alias("part")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_families"), F.max("owned").alias("owned"))
+        sizes = parts.groupBy(*key).agg(F.sum("n").alias("size"), F.sum("n_families").alias("families"), F.max("owned").alias("owned"))
+        sizes = sizes.filter("families > 1 and owned = 1").select(*key, "size")
+        sizes = materialize(sizes, "open-lists")
+        short, long = sizes.filter(F.col("size") <= LIST).select(*key), sizes.filter(F.col("size") > LIST).select(*key)
+        columns = ["id", "own", *names, "component", "family"]
+        met = _pairs(lists.join(short, key, "left_semi").select(F.xxhash64(*key).alias("group"), *key, *columns), None, names)
+        if not long.isEmpty():
+            units = parts.join(long, key, "left_semi").select(*key, "part", F.ceil(F.col("n") / LIST).cast("int").alias("units"))
+            units = materialize(units, "units")
+            rows = lists.join(long, key, "left_semi")
+            big = units.filter("part is not null").select(*key, F.col("part").alias("family"), F.col("units").alias("own_units"))
+            small = units.filter("part is null").select(*key, F.col("units").alias("small_units"))
+            rows = rows.join(big, [*key, "family"], "left").join(small, key, "left")
+            rows = rows.withColumn("part", F.when(F.col("own_units").isNotNull(), F.col("family")))
+            of = F.when(F.col("part").isNull(), F.pmod(F.xxhash64("family"), "small_units")).otherwise(F.pmod(F.xxhash64("id"), "own_units")).cast("int")
+            rows = materialize(rows.select(*key, *columns, "part", of.alias("unit")), "unit-members")
+            each = units.select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"))
+            one = each.select(*key, F.col("part").alias("part_a"), F.col("unit").alias("unit_a"))
+            two = each.select(*key, F.col("part").alias("part_b"), F.col("unit").alias("unit_b"))
+            before = F.struct(F.coalesce("part_a", F.lit(-1)), "unit_a") <= F.struct(F.coalesce("part_b", F.lit(-1)), "unit_b")
+            apart = F.col("part_a").isNull() & F.col("part_b").isNull() | ~F.col("part_a").eqNullSafe(F.col("part_b"))
+            unit_pairs = materialize(one.join(two, key).filter(before & apart), "unit-pairs")
+            group = F.xxhash64(*key, "part_a", "unit_a", "part_b", "unit_b").alias("group")
+            sides = []
+            for side in ("a", "b"):
+                own = unit_pairs.select(*key, group, F.col(f"part_{side}").alias("p"), F.col(f"unit_{side}").alias("u"))
+                at = (rows["token"] == own["token"]) & (rows["band"] == own["band"]) & rows["part"].eqNullSafe(own["p"]) & (rows["unit"] == own["u"])
+                sides.append(rows.join(own, at).select("group", *(rows[c] for c in (*key, *columns))))
+            met = met.unionByName(_pairs(sides[0], sides[1], names)).unionByName(_pairs(sides[1], sides[0], names))
+        return met.filter(_agreeing("k", "m", self.coordinates) >= self.min_matches).select("a", "b")
+
     def components(self) -> DataFrame:
         """id and component of the classes that are linked with others."""
         postings = self.postings()
@@ -328,16 +406,7 @@ class _Linker:
             if not more.isEmpty():
                 links = links.unionByName(more)
                 groups = connected(links)
-        lists = postings.join(groups, "id", "left").join(families, "id", "left")
-        lists = lists.select(*key, "id", "own", *names, F.coalesce("component", "id").alias("component"), F.coalesce("family", "id").alias("family"))
-        lists = materialize(lists, "lists")
-        other = lists.select(
-            F.col("token").alias("token_b"), F.col("band").alias("band_b"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("own").alias("own_b"),
-            F.col("family").alias("fb"), *(F.col(k).alias(k.replace("k", "m")) for k in names),
-        )
-        once = (F.col("component") < F.col("cb")) | (F.col("own_b") == 0) & (F.col("component") != F.col("cb"))
-        same = (F.col("token") == F.col("token_b")) & (F.col("band") == F.col("band_b"))
-        pairs = lists.filter("own = 1").withColumnRenamed("id", "a").join(other, same & once & (F.col("family") != F.col("fb")) & alike).select("a", "b")
+        pairs = self.open_pairs(postings, groups, families)
         rest = self.near(pairs)
         if rest.isEmpty():
             return groups
