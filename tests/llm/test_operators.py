@@ -82,6 +82,62 @@ def test_families_find_links_that_pivots_miss(spark):
     assert [got[i] for i in range(len(texts))] == least
 
 
+def test_long_lists_are_cut_into_units(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "HUB", 3)
+    rng, vocab = random.Random(11), vocabulary()
+    texts = []
+    for _ in range(5):  # families that share most tokens, so lists hold several of them
+        base = [rng.choice(vocab) for _ in range(40)]
+        for _ in range(9):
+            own = list(base)
+            for _ in range(rng.randint(0, 9)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            texts.append(" ".join(own))
+    _, least = brute_components(texts, 2, 70)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts), words=2, threshold=70, min_matches=24).collect()}
+    assert [got[i] for i in range(len(texts))] == least
+
+
+def test_recall_over_two_thousand_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 2200 and length(text) < 6000")
+    rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert len(rows) >= 2000
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append(({hash(tuple(w[i : i + 2])) for i in range(len(w) - 1)} or {hash(tuple(w))}) if w else set())
+    order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
+    links = []
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if 80 * len(sets[j]) > 100 * len(sets[i]):
+                break  # too long for this one, and so are all after it
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links.append((rows[i][0], rows[j][0]))
+    at = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(at[a], at[b])
+            changed |= at[a] != low or at[b] != low
+            at[a] = at[b] = low
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=2).collect()}
+    missed = [(a, b) for a, b in links if got[a] != got[b]]
+    assert len(links) > 100 and not missed
+    assert all(got[i] == at[i] for i in at)
+
+
+def test_hubs_connect(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 5)
+    edges = [(7, i) for i in range(100, 160)] + [(i, i + 100) for i in range(100, 160, 7)] + [(3, 500), (500, 7)]
+    got = {r.id: r.component for r in neardup.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {3} and len(got) == len({x for e in edges for x in e}) - 1
+
+
 def test_long_chains_connect(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in neardup.connected(edges).collect()}
@@ -234,6 +290,39 @@ def test_ids_are_those_of_the_unmodified_tokenizer(spark):
         assert [zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in own.itertuples()] == own.ids_crc32.tolist()
 
 
+def test_ids_agree_over_the_whole_vocabulary():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    tokens, rng = packing.load(packing.default_tokenizer()), random.Random(4)
+    words = [tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size())]
+    pairs = ["".join(rng.choices(words, k=rng.randint(2, 12))) for _ in range(20_000)]
+    letters = ["".join(chr(rng.choice([rng.randrange(1, 128), rng.randrange(1, 0x3000), rng.randrange(0x10000, 0x1F700)])) for _ in range(rng.randint(1, 30))) for _ in range(5_000)]
+    texts = [*words, *pairs, *letters]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert tokens.by_rank is not None and tokens.encode(texts) == expected
+
+
+def test_the_search_beats_best_fit():
+    rng = random.Random(7)
+    better = 0
+    for _ in range(10):
+        lengths = sorted((rng.choice([rng.randint(260, 420), rng.randint(300, 500)]) for _ in range(90)), reverse=True)
+        plain = packing.Packing(lengths, 1024)
+        plain.best_fit(list(range(90)))
+        found = packing.Packing(lengths, 1024).decode(packing.evolve(lengths, 1024, [], 0, generations=60)[0])
+        assert sorted(i for b in found.bins for i in b) == list(range(90)) and max(map(found.fill, found.bins)) <= 1024
+        assert len(found.bins) <= len(plain.bins)
+        better += len(found.bins) < len(plain.bins)
+    assert better >= 3
+
+
+def test_uneven_partitions_never_overfill(spark):
+    found = spark.range(0, 2560, 1, 32).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1010).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    rows = packing.pack_pieces(found, shard_pieces=40).toPandas()
+    assert len(rows) == 2560 and rows.sequence_id.nunique() == 2560 and (rows.offset == 0).all()
+
+
 def test_pieces_that_never_fit_together_end(spark):
     found = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(600).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
     assert packing.pack_pieces(found, shard_pieces=40).select("sequence_id").distinct().count() == 300
@@ -403,6 +492,49 @@ def test_families_are_those_of_average_linkage():
     assert langid.group_families(list(map(str, range(23))), x) == [list(map(str, g)) for g in groups]
 
 
+def test_votes_are_those_of_the_machines():
+    rng = np.random.default_rng(5)
+    names = list("abcdefg")
+    centres = rng.random((7, langid.WIDTH)).astype(np.float32)
+    x = np.abs(np.repeat(centres, 12, axis=0) + rng.normal(0, 0.6, (84, langid.WIDTH))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.fit_model(x, [n for n in names for _ in range(12)])
+    langs, scores = model.predict(x)
+    for row, lang, score in zip(x, langs, scores):
+        margins = [w[:-1] @ row + w[-1] for w in model.family_w]
+        family = model.families[int(np.argmax(margins))]
+        p = {m: 1.0 for m in family}
+        votes = dict.fromkeys(family, 0)
+        for i, a in enumerate(family):
+            for b in family[i + 1 :]:
+                w = model.pair_w[a, b]
+                q = 1 / (1 + np.exp(-4 * (w[:-1] @ row + w[-1])))
+                votes[a if q >= 0.5 else b] += 1
+                p[a], p[b] = min(p[a], q), min(p[b], 1 - q)
+        best = max(family, key=lambda m: (votes[m] + p[m] / 2, -family.index(m)))
+        assert lang == best and score == pytest.approx(p[best] / (1 + np.exp(-4 * max(margins))), rel=1e-4)
+
+
+def test_quality_scores_are_those_of_the_densities():
+    rng = np.random.default_rng(2)
+    x = [rng.normal(size=(n, quality.K)) @ rng.normal(size=(quality.K, quality.K)) + rng.normal(size=quality.K) for n in (300, 200)]
+    moments = np.stack([np.concatenate([[len(v)], v.sum(axis=0), (v.T @ v).ravel()]) for v in x])
+    shrink, ridge = 0.4, 0.1
+    own = [np.cov(v.T, bias=True) for v in x]
+    pooled = (300 * own[0] + 200 * own[1]) / 500
+    goal = (1 - ridge) * pooled + ridge * np.diag(np.diag(pooled))
+    floor = np.diag(1e-3 + 1e-3 * np.diag(pooled))
+
+    def density(row, c):
+        cov = (1 - shrink) * own[c] + shrink * goal + floor
+        d = row - x[c].mean(axis=0)
+        return -0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(cov)[1]
+
+    rows = np.concatenate([x[0][:20], x[1][:20]])
+    expected = [1 / (1 + np.exp(density(r, 0) - density(r, 1) + np.log(300 / 200))) for r in rows]
+    assert quality.fit(moments, shrink, ridge).score(rows) == pytest.approx(expected, rel=1e-6, abs=1e-12)
+
+
 def test_quality_of_held_out_texts(spark):
     rng, vocab = random.Random(6), vocabulary()
     good = lambda: " ".join(rng.choice(vocab) for _ in range(60)) + "."
@@ -416,6 +548,38 @@ def test_quality_of_held_out_texts(spark):
     assert {r.score for r in quality.score_quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_kernel_counts_common_subsequences():
+    from itertools import combinations
+
+    def subsequences(word):
+        marked, out = "^" + word, defaultdict(float)
+        for at in combinations(range(len(marked)), 3):
+            if at[1] - at[0] <= toxicity.GAP and at[2] - at[1] <= toxicity.GAP:
+                out["".join(marked[i] for i in at)] += toxicity.DECAY ** (at[2] - at[0])
+        return out
+
+    def kernel(a, b):
+        x, y = subsequences(a), subsequences(b)
+        dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
+        return (dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))) ** toxicity.POWER if x and y else 0.0
+
+    words, marks = ["idiot", "idxiot", "iditos", "banana", "ananas", "at", "a", "moronic"], ["idiot", "banana", "moron"]
+    assert toxicity.Landmarks(marks).kernel(words) == pytest.approx(np.array([[kernel(w, m) for m in marks] for w in words]), abs=1e-9)
+
+
+def test_toxicity_by_language(spark):
+    """Held-out rows of sf0.1: precision in every language, and recall of the documents that hold an insult."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    known = labels.filter("toxic in (0, 1)").select(F.col("doc_id").alias("id"), "toxic")
+    scored = toxicity.score_toxicity(docs.join(known, docs["doc_id"] == known["id"], "left_semi"), toxicity.train(docs, labels))
+    rows = scored.join(known, scored["doc_id"] == known["id"]).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").select("lang", "toxic", "predicted").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [(r.toxic, r.predicted) for r in rows if r.lang == lang]
+        hits, said, true = own.count((1, 1)), sum(p for _, p in own), sum(t for t, _ in own)
+        assert hits > 0.95 * said and hits > 0.85 * true, (lang, hits, said, true)
+
+
 def test_toxicity_learns_from_the_ends_of_long_words():
     rng, vocab, insult = random.Random(12), vocabulary(), "wombatfacesludgeheadnitpick"
     letters = lambda n: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(n // 2))
