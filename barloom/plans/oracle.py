@@ -512,3 +512,23 @@ UNION ALL SELECT account, n, k, refused, CASE WHEN refused IS NULL THEN cash - s
 SELECT o.account, o.n, o.k, o.s, o.v, w.cash, w.position, CASE WHEN o.s < 0 AND w.position + o.s < 0 THEN 'short' WHEN o.v > 300000 THEN 'order value' WHEN o.s > 0 AND o.v > w.cash THEN 'cash'
 WHEN abs(w.position + o.s) > abs(w.position) AND abs(w.position + o.s) * o.v > 900000 THEN 'position value' END AS refused FROM w JOIN o ON o.account = w.account AND o.k = w.k + 1) x)
 SELECT account, n, refused, cash, position FROM w WHERE k > 0"""
+
+# Sessions: the grid laid out, and what it has without a bar
+
+
+def _missing(include_open: bool, least: int) -> str:
+    return f"""days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-24', interval 1 day) t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2024-01-08', DATE '2024-01-17')),
+grid AS (SELECT day, day + interval '555 minutes' + interval 1 hour * h AS ts FROM days, range(7) r(h) WHERE day + interval '555 minutes' + interval 1 hour * h BETWEEN TIMESTAMP '2024-01-02 10:00:00' AND TIMESTAMP '2024-01-24 13:00:00'),
+edges AS (SELECT *, ts = min(ts) OVER (PARTITION BY day) AS is_open, ts = max(ts) OVER (PARTITION BY day) AS is_close FROM grid),
+have AS (SELECT DISTINCT symbol, time_bucket(interval '1 hour', ts, interval '15 minutes') AS ts FROM ({TICKS})), names AS (SELECT DISTINCT event_type AS symbol FROM events UNION ALL SELECT 'none'),
+gone AS (SELECT n.symbol, e.* FROM names n, edges e WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.symbol = n.symbol AND h.ts = e.ts)),
+inner_ones AS (SELECT symbol, day, ts, ts - interval 1 hour * row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS run FROM gone WHERE NOT is_close{"" if include_open else " AND NOT is_open"}),
+runs AS (SELECT symbol, min(ts) AS gap_start, max(ts) AS gap_end, count(*) AS n_missing FROM inner_ones GROUP BY symbol, day, run)"""
+
+
+SESSION_GAPS = f"WITH {_missing(False, 1)} SELECT * FROM runs"
+SESSION_SUMMARY = f"""WITH {_missing(False, 2)}, small AS (SELECT symbol, coalesce(sum(n_missing) FILTER (WHERE n_missing < 2), 0) AS s FROM runs GROUP BY symbol)
+SELECT g.symbol, count(*) FILTER (WHERE is_open) AS open_missing, count(*) FILTER (WHERE is_close) AS close_missing, CAST(coalesce(any_value(s.s), 0) AS BIGINT) AS sub_threshold_stamps, count(*) FILTER (WHERE NOT is_open AND NOT is_close) = 0 AS edge_only
+FROM gone g LEFT JOIN small s ON s.symbol = g.symbol GROUP BY g.symbol"""
+REPAIR_ORDER = f"""WITH {_missing(True, 1)}, k AS (SELECT symbol, CASE WHEN bool_and(gap_start = gap_end AND strftime(gap_start, '%H:%M') = '09:15') THEN 2 WHEN bool_or(gap_end - gap_start >= interval 300 minute) THEN 1 ELSE 0 END AS kind, CAST(sum(n_missing) AS BIGINT) AS n_stamps FROM runs GROUP BY symbol)
+SELECT *, row_number() OVER (ORDER BY kind, n_stamps DESC, symbol) AS place FROM k"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from barloom.functions import bucket, in_session
 from barloom.functions import indicators as windowed
 from barloom.functions.sqlgen import nested
 from barloom.operators import scans, transforms
-from barloom.plans import backtest, breadth, execution, guard, market_profile, oracle, research, scanner, screens, signals, trades
+from barloom.plans import backtest, breadth, execution, gaps, guard, market_profile, oracle, research, scanner, screens, signals, trades
 from barloom.plans.shared import SHARED
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +314,37 @@ def breadth_bounded(spark, sf_dir):
     return screens.breadth_of_days(_tick_bars(spark, sf_dir), "2024-01-26 09:45:00", 10)
 
 
+# Sessions
+
+
+def _session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screens.resample(_tick_bars(spark, sf_dir), "1h", "session").withColumnRenamed("bucket", "ts")
+
+
+def _sessions() -> gaps.Sessions:
+    return gaps.Sessions(dt.datetime(2024, 1, 2, 10, 20), dt.datetime(2024, 1, 24, 13, 0), 3600, frozenset({dt.date(2024, 1, 8), dt.date(2024, 1, 17)}))
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.ticks(spark, sf_dir).select("symbol").distinct().unionByName(spark.createDataFrame([("none",)], "symbol string"))
+
+
+@query("session_gaps", oracle.SESSION_GAPS)
+def session_gaps(spark, sf_dir):
+    return gaps.scan(_session_bars(spark, sf_dir), _symbols(spark, sf_dir), _sessions())[0]
+
+
+@query("session_gap_summary", oracle.SESSION_SUMMARY)
+def session_gap_summary(spark, sf_dir):
+    return gaps.scan(_session_bars(spark, sf_dir), _symbols(spark, sf_dir), _sessions(), min_gap_stamps=2)[1]
+
+
+@query("repair_order", oracle.REPAIR_ORDER)
+def repair_order(spark, sf_dir):
+    found = gaps.scan(_session_bars(spark, sf_dir), _symbols(spark, sf_dir), _sessions(), include_open=True)[0]
+    return gaps.repair_order(found, 3600)
+
+
 @query("deflated_sharpe")
 def deflated_sharpe(spark, sf_dir):
     return research.deflated_sharpe(QUERIES["grid_search_sma"](spark, sf_dir))
