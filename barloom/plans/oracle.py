@@ -532,3 +532,10 @@ SELECT g.symbol, count(*) FILTER (WHERE is_open) AS open_missing, count(*) FILTE
 FROM gone g LEFT JOIN small s ON s.symbol = g.symbol GROUP BY g.symbol"""
 REPAIR_ORDER = f"""WITH {_missing(True, 1)}, k AS (SELECT symbol, CASE WHEN bool_and(gap_start = gap_end AND strftime(gap_start, '%H:%M') = '09:15') THEN 2 WHEN bool_or(gap_end - gap_start >= interval 300 minute) THEN 1 ELSE 0 END AS kind, CAST(sum(n_missing) AS BIGINT) AS n_stamps FROM runs GROUP BY symbol)
 SELECT *, row_number() OVER (ORDER BY kind, n_stamps DESC, symbol) AS place FROM k"""
+
+# Order flow against the middle of the quote
+
+_QUOTES = f"""q AS (SELECT symbol, ts, event_id AS n, price AS ltp, round(price / 5) * 5 AS c, CASE WHEN event_id % 7 > 0 THEN volume END AS volume, event_id FROM ({TICKS})),
+m AS (SELECT *, CASE WHEN event_id % 11 > 0 THEN c - 1 ELSE ltp END + CASE WHEN event_id % 13 > 0 THEN c + 1 ELSE ltp END AS two FROM q), s AS (SELECT *, sign(2 * ltp - two) AS side FROM m)"""
+FOOTPRINT = f"""WITH {_QUOTES} SELECT symbol, ltp AS price, coalesce(sum(volume) FILTER (WHERE side = 1), 0) AS bought, coalesce(sum(volume) FILTER (WHERE side = -1), 0) AS sold, sum(side * volume) AS delta FROM s WHERE volume IS NOT NULL AND side <> 0 GROUP BY symbol, ltp"""
+CVD = f"WITH {_QUOTES} SELECT symbol, n, CAST(sum(side * coalesce(volume, 0)) OVER (PARTITION BY symbol ORDER BY ts, n) AS BIGINT) AS cvd FROM s"

@@ -372,6 +372,30 @@ def profile_sessions(spark, sf_dir):
     return rounded(found, "ib_high", "ib_low", "extension_up", "extension_down")
 
 
+@query("profile_market")
+def profile_market(spark, sf_dir):
+    return market_profile.profiles(_tick_bars(spark, sf_dir), 5.0, 2, "day", 120, tail_edges=1).drop("developing", "levels", "single_prints", "buying_tail", "selling_tail")
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as quotes, with a bid and an ask around the price rounded to fives."""
+    middle = F.round(F.col("price") / 5) * 5
+    return sources.ticks(spark, sf_dir).select(
+        "symbol", "ts", F.col("event_id").alias("n"), F.col("price").alias("ltp"), F.when(F.col("event_id") % 11 > 0, middle - 1).alias("bid"), F.when(F.col("event_id") % 13 > 0, middle + 1).alias("ask"),
+        F.when(F.col("event_id") % 7 > 0, F.col("volume")).alias("volume"),
+    )
+
+
+@query("footprint_quotes", oracle.FOOTPRINT)
+def footprint_quotes(spark, sf_dir):
+    return market_profile.quote_footprint(_quotes(spark, sf_dir), "symbol")
+
+
+@query("cvd_quotes", oracle.CVD)
+def cvd_quotes(spark, sf_dir):
+    return market_profile.cumulative_delta(_quotes(spark, sf_dir), "symbol").select("symbol", "n", "cvd")
+
+
 @query(
     "synthetic_ticks",
     f"""WITH b AS ({oracle.HOUR_BARS}), p AS (SELECT *, unnest([0, 1, 2, 3]) AS n FROM b)
