@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -109,10 +110,10 @@ def _text(body: str | Callable[[str], str], dialect: str) -> str:
 
 def _shared(body: str | Callable[[str], str]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = _text(body, "spark")
-        for name in TABLES:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        # tables are arguments of the statement, so no view of the caller's is touched
+        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", _text(body, "spark"))
         makers = {"bars": sources.hour_bars, "daily": sources.daily_bars, "ticks": sources.ticks}
+        makers |= {name: lambda s, d, name=name: s.read.parquet(f"{d}/{name}.parquet") for name in TABLES}
         return spark.sql(text, **{k: make(spark, sf_dir) for k, make in makers.items() if f"{{{k}}}" in text})
 
     return run
@@ -489,10 +490,9 @@ def dataset_fingerprint(spark, sf_dir):
     return sources.dataset_fingerprint(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@query("schema_of", "SELECT column_name AS name, 1 AS present FROM (VALUES ('event_id'), ('ts'), ('user_id'), ('event_type'), ('value'), ('props')) t(column_name)")
+@query("schema_of", "SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS kind FROM information_schema.columns WHERE table_name = 'events'")
 def schema_of(spark, sf_dir):
-    names = spark.read.parquet(f"{sf_dir}/events.parquet").columns
-    return spark.createDataFrame([(n,) for n in names], "name string").withColumn("present", F.lit(1))
+    return sources.schema_of({"events": spark.read.parquet(f"{sf_dir}/events.parquet")}, "events")
 
 
 @query("active_symbols", "SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 490)")

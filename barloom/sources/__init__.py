@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,10 +30,13 @@ def write_lake(rows: DataFrame, root: str) -> None:
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year", "month").parquet(root)
 
 
-def read_lake(spark: SparkSession, root: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, timeframe: str | None = None, session_only: bool = True) -> DataFrame:
-    """Bars between inclusive bounds; partitions are pruned by symbol and month. An empty symbol list gives no rows."""
+def read_lake(spark: SparkSession, root: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None, timeframe: str | None = None, session_only: bool = True, skip_corrupt: bool = False) -> DataFrame:
+    """Bars between inclusive bounds; partitions are pruned by symbol and month. An empty symbol list gives no rows.
+
+    A corrupt file is an error, unless ``skip_corrupt``; see ``quarantine``, which says which files it takes away.
+    """
     schema = T.StructType([*BARS.fields, T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(root)
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_corrupt).lower()).parquet(root)
     if symbols is not None:
         rows = rows.filter(F.col("symbol").isin(symbols) if symbols else F.lit(False))
     for bound, after in ((start, True), (end, False)):
@@ -53,6 +58,41 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def upsert_lake(spark: SparkSession, root: str, incoming: DataFrame) -> int:
+    """Merge rows into the lake by key and give the number of new and replaced rows.
+
+    Only the symbol-months that ``incoming`` touches are read and rewritten. They
+    are staged beside the lake first, as a table can't be overwritten while it is read.
+    """
+    fresh = prepare(incoming).withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")})
+    touched = fresh.select("symbol", "year", "month").distinct()
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stage = f"{root.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    try:
+        if files.exists(path) and not spark.read.parquet(root).isEmpty():
+            # a broadcast of the touched partitions lets the scan skip all others
+            old = read_lake(spark, root, session_only=False).join(F.broadcast(touched), ["symbol", "year", "month"], "left_semi").drop("year", "month")
+            whole = upsert(old, incoming)
+        else:
+            whole = upsert(fresh.drop("year", "month").limit(0), incoming)
+        whole.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")}).write.parquet(stage)
+        staged = spark.read.parquet(stage)
+        write_lake(staged.drop("year", "month"), root)
+        return fresh.select(*KEY).distinct().count()
+    finally:
+        files.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+
+
+def schema_of(views: dict[str, DataFrame], name: str) -> DataFrame:
+    """name and kind of each column of a view; an unknown view is an error."""
+    if name not in views:
+        raise ValueError(f"unknown view {name}; known are {', '.join(sorted(views))}")
+    df = views[name]
+    return df.sparkSession.createDataFrame(df.dtypes, "name string, kind string")
+
+
 def read_universe(spark: SparkSession, path: str) -> DataFrame:
     """Constituents of a universe file, of the cash series only."""
     return spark.read.csv(path, header=True).filter(F.col("Series").isin("EQ", "BE"))
@@ -105,13 +145,13 @@ def write_json_bars(rows: DataFrame, path: str) -> None:
 
 
 def read_json_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Bars of a JSON store between inclusive bounds; of equal stamps the largest volume stays."""
-    rows = spark.read.schema(BARS).json(path)
+    """Bars of a JSON store between inclusive bounds; of equal stamps the one written last stays, by its file's time and then its line's."""
+    rows = spark.read.schema(BARS).json(path).withColumns({"_t": F.col("_metadata.file_modification_time"), "_f": F.col("_metadata.file_path"), "_n": F.monotonically_increasing_id()})
     for bound, keep in ((start, ">="), (end, "<=")):
         if bound is not None:
             rows = rows.filter(f"timestamp {keep} TIMESTAMP_NTZ '{bound}'")
-    one = Window.partitionBy(*KEY).orderBy(F.desc_nulls_last("volume"))
-    return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r")
+    one = Window.partitionBy(*KEY).orderBy(F.desc("_t"), F.desc("_f"), F.desc("_n"))
+    return rows.withColumn("_r", F.row_number().over(one)).filter("_r = 1").drop("_r", "_t", "_f", "_n")
 
 
 def active(symbols: DataFrame, delisted: DataFrame) -> DataFrame:
@@ -128,7 +168,39 @@ def strikes(chain: DataFrame, reference: Column, right: str, k: int, side: str =
 
 
 def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of the lake's files whose footers aren't Parquet's; they are reported, not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
-    tail = F.substring("content", -4, 4)
-    return files.filter((F.col("length") < 12) | (tail != F.lit("PAR1").cast("binary"))).select("path", "length")
+    """path and length of the lake's files whose footers aren't Parquet's; of each file only the last bytes are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path", "length")
+
+    def tails(frames):
+        from pyarrow import fs
+
+        for pdf in frames:
+            bad = []
+            for path, length in zip(pdf["path"], pdf["length"]):
+                uri = path if "://" in path else path.replace("file:/", "file:///", 1)
+                system, inner = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(inner) as f:
+                    bad.append(length < 12 or f.read_at(4, length - 4) != b"PAR1")
+            yield pdf[bad]
+
+    return files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(tails, "path string, length long")
+
+
+def quarantine(spark: SparkSession, root: str, aside: str) -> list[str]:
+    """Move unreadable files under ``aside`` and name them; what they held has to be fetched again."""
+    found = [r["path"] for r in unreadable_files(spark, root).collect()]  # broken files are few, and each is reported
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in found:
+        old = hadoop.Path(path)
+        files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        new = hadoop.Path(f"{aside.rstrip('/')}/{path.split(':', 1)[-1].lstrip('/')}")
+        files.mkdirs(new.getParent())
+        if not files.rename(old, new):
+            raise OSError(f"can't move {path}")
+    return found
+
+
+def read_universes(spark: SparkSession, folder: str) -> DataFrame:
+    """name and number of constituents of every universe file in a folder."""
+    rows = spark.read.csv(f"{folder.rstrip('/')}/*.csv", header=True).withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    return rows.filter(F.col("Series").isin("EQ", "BE")).groupBy("name").agg(F.count(F.lit(1)).alias("n_symbols"))

@@ -91,3 +91,24 @@ def test_transforms_keep_times_increasing(spark):
 def test_renko_bricks_have_the_box(spark):
     df, _ = bars(spark, 120)
     assert all(abs(r["close"] - r["open"]) == 2.0 for r in transforms.run(df, "renko").collect())
+
+
+def test_indicators_can_be_registered(spark):
+    df, rows = bars(spark, 20, symbols=("A",))
+    operators.register_indicator("doubled", lambda b, factor: {"value": factor * b.c}, ("value",), factor=2.0)
+    try:
+        got = [r["value"] for r in operators.indicator(df, "doubled", factor=3.0).orderBy("ts").collect()]
+        assert np.allclose(got, [3 * r[5] for r in rows]) and {"id": "doubled", "parameters": {"factor": 2.0}, "plots": ["value"]} in operators.catalogue()
+    finally:
+        del scans.SCANS["doubled"]
+
+
+def test_options_that_ask_for_recurrences_are_scans(spark):
+    df, _ = bars(spark, 60, symbols=("A",))
+    for name, params in (("obv", {"maType": "EMA"}), ("cci", {"maType": "SMMA (RMA)"}), ("ma-ribbon", {"ma1Type": "EMA"}), ("hull-suite", {"mode": "Ehma", "length": 9}), ("standard-error-bands", {"method": "Exponential"})):
+        plain, other = operators.indicator(df, name), operators.indicator(df, name, **params)
+        assert plain.columns == other.columns and other.filter(f"`{other.columns[-1 if name == 'hull-suite' else 2]}` is not null").count(), name
+    bands = operators.indicator(df, "vwap", showBand2=True, bandMult2=3.0, offset=1).orderBy("ts").collect()
+    assert bands[0]["value"] is None and bands[5]["upper2"] - bands[5]["value"] == pytest.approx(3 * (bands[5]["upper1"] - bands[5]["value"]))
+    shown = operators.indicator(df, "cpr", pivotMode="manual", showWeekly=True, displayS1R1=True)
+    assert len(shown.columns) == 29

@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import os
 
+import pytest
+
 from barloom import sources
 from barloom.streaming import quiet_symbols
 
@@ -30,3 +32,41 @@ def test_quiet_symbols_are_reported(spark, tmp_path):
     q = quiet_symbols(stream).writeStream.format("memory").queryName("quiet_out").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert "A" in {r.symbol for r in spark.table("quiet_out").collect()}
+
+
+def test_the_last_write_of_a_stamp_wins(spark, tmp_path):
+    t, path = dt.datetime(2026, 8, 5, 9, 15), str(tmp_path / "j")
+    one = lambda v: spark.createDataFrame([("A", "NSE", "equity", "1m", t, 1.0, 2.0, 1.0, 2.0, v)], sources.BARS)
+    sources.write_json_bars(one(9), path)
+    for f in (tmp_path / "j").rglob("*.json"):
+        os.utime(f, (1000, 1000))
+    sources.write_json_bars(one(5), path)
+    assert [r.volume for r in sources.read_json_bars(spark, path).collect()] == [5]
+
+
+def test_upsert_rewrites_the_months_it_touches(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    row = lambda s, month, v: (s, "NSE", "equity", "1m", dt.datetime(2026, month, 5, 9, 15), 1.0, 2.0, 1.0, 2.0, v)
+    frame = lambda *rows: spark.createDataFrame(list(rows), sources.BARS)
+    assert sources.upsert_lake(spark, root, frame(row("A", 8, 1), row("A", 6, 2), row("B", 8, 3))) == 3
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "lake").rglob("*.parquet")}
+    assert sources.upsert_lake(spark, root, frame(row("A", 8, 7))) == 1
+    rows = sources.read_lake(spark, root).orderBy("symbol", "timestamp").collect()
+    assert [(r.symbol, r.timestamp.month, r.volume) for r in rows] == [("A", 6, 2), ("A", 8, 7), ("B", 8, 3)]
+    assert sum(f.exists() for f in before) == 2 and not list(tmp_path.glob("lake-staged*"))
+
+
+def test_quarantine_moves_and_names_broken_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    (tmp_path / "x" / "bad.parquet").write_bytes(b"nothing at all, truly")
+    moved = sources.quarantine(spark, str(tmp_path / "x"), str(tmp_path / "aside"))
+    assert [os.path.basename(p) for p in moved] == ["bad.parquet"] and spark.read.parquet(str(tmp_path / "x")).count() == 3
+    assert len(list((tmp_path / "aside").rglob("bad.parquet"))) == 1
+
+
+def test_universes_and_schemas(spark, tmp_path):
+    (tmp_path / "few.csv").write_text("Symbol,Series\nA,EQ\nB,BE\nC,XX\n")
+    assert [tuple(r) for r in sources.read_universes(spark, str(tmp_path)).collect()] == [("few", 2)]
+    assert [tuple(r) for r in sources.schema_of({"v": spark.range(1)}, "v").collect()] == [("id", "bigint")]
+    with pytest.raises(ValueError):
+        sources.schema_of({}, "w")
