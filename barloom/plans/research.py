@@ -38,22 +38,41 @@ def dtw(a: np.ndarray, b: np.ndarray, band: int) -> float:
     return float(dtw_all(np.asarray(a, float)[None, :], b, band)[0])
 
 
-def find_similar(daily: DataFrame, symbol: str, window: int = 20, horizon: int = 5, top_k: int = 10, band: float = 0.2) -> DataFrame:
-    """The windows of closes, of all symbols, closest to the last window of ``symbol``.
-
-    Windows are arrays over an ordered frame. The query is one window, so it is
-    sent to the tasks; its own window is left out.
+def _windows(daily: DataFrame, window: int, horizon: int, end: str | None) -> DataFrame:
+    """symbol, ts, d (the number of its date among all dates), w (closes of the last ``window`` dates, none of them missing), days and fwd_pct."""
+    rows = daily.select("symbol", "ts", "close")
+    if end is not None:
+        rows = rows.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    dates = rows.select("ts").distinct().withColumn("d", F.row_number().over(Window.orderBy("ts")))  # one row a date
+    rows = rows.join(F.broadcast(dates), "ts")
+    order = Window.partitionBy("symbol").orderBy("d")
+    later = rows.select("symbol", (F.col("d") - horizon).alias("d"), F.col("close").alias("later"))
+    rows = rows.withColumns({
+        "w": F.collect_list("close").over(order.rowsBetween(1 - window, 0)), "days": F.count(F.lit(1)).over(Window.partitionBy("symbol")),
+        "whole": F.col("d") - F.lag("d", window - 1).over(order) == window - 1,
+    })
+    rows = rows.join(later, ["symbol", "d"], "left")
+    return rows.withColumn("fwd_pct", F.when(F.col("close") > 0, 100 * (F.col("later") / F.col("close") - 1))).drop("later")
+
+
+def find_similar(daily: DataFrame, symbol: str, window: int = 20, horizon: int = 5, top_k: int = 10, band: float = 0.2, end: str | None = None, exclude_overlap_days: int = 0) -> DataFrame:
+    """The windows of closes, of all symbols, closest to the last window of ``symbol``, with what followed and the median of what followed any window.
+
+    Windows are arrays over an ordered frame; a date that a symbol misses breaks
+    its windows, and symbols with less than a window, a horizon and a day are left
+    out. The query is one window, so it is sent to the tasks; its own window is no
+    match. With ``exclude_overlap_days``, of a symbol's matches whose dates are
+    that close only the nearest stays: a match shuts out twice as many others at
+    most, so a list longer by that factor holds all that stay.
     """
-    order = Window.partitionBy("symbol").orderBy("ts")
-    rows = daily.select(
-        "symbol", "ts", "close", F.collect_list("close").over(order.rowsBetween(1 - window, 0)).alias("w"),
-        F.lead("close", horizon).over(order).alias("later"),
-    )
-    rows = rows.filter(F.size("w") == window).withColumn("fwd_pct", 100 * (F.try_divide("later", "close") - 1))
-    query = rows.filter(F.col("symbol") == symbol).orderBy(F.desc("ts")).limit(1).select("w", "ts").collect()
-    if not query:
-        return rows.select("symbol", "ts", F.lit(0.0).alias("dist"), "fwd_pct").limit(0)
-    goal, width = z_normal(np.array(query[0]["w"])), max(1, int(band * window))
+    rows = _windows(daily, window, horizon, end)
+    query = daily.filter(F.col("symbol") == symbol)
+    if end is not None:
+        query = query.filter(F.col("ts") <= F.lit(end).cast("timestamp_ntz"))
+    last = [r for r in query.orderBy(F.desc("ts")).limit(window).select("ts", "close").collect()]
+    if len(last) < window:
+        raise ValueError(f"{symbol} has {len(last)} days, a window needs {window}")
+    goal, width = z_normal(np.array([r["close"] for r in reversed(last)])), max(1, int(band * window))
 
     @F.pandas_udf("double")
     def distance(w: pd.Series) -> pd.Series:
@@ -64,8 +83,18 @@ def find_similar(daily: DataFrame, symbol: str, window: int = 20, horizon: int =
         flat = spread < 1e-12
         return pd.Series(dtw_all(np.where(flat, 0.0, (rows - rows.mean(axis=1, keepdims=True)) / np.where(flat, 1.0, spread)), goal, width))
 
-    others = rows.filter(~((F.col("symbol") == symbol) & (F.col("ts") == F.lit(query[0]["ts"]))))
-    return others.select("symbol", "ts", distance("w").alias("dist"), "fwd_pct").orderBy("dist", "symbol", "ts").limit(top_k)
+    known = rows.filter("whole").filter((F.col("days") >= window + horizon + 1) | (F.col("symbol") == symbol))
+    baseline = known.agg(F.median("fwd_pct").alias("baseline_median_fwd"))  # one row
+    others = known.filter(~((F.col("symbol") == symbol) & (F.col("ts") == F.lit(last[0]["ts"])))).select("symbol", "ts", "d", F.round(distance("w"), 5).alias("dist"), F.round("fwd_pct", 3).alias("fwd_pct"))
+    near = others.orderBy("dist", "symbol", "ts").limit(top_k * (2 * exclude_overlap_days + 1))
+    if exclude_overlap_days:
+        kept, used = [], {}
+        for r in near.collect():  # bounded by the limit above
+            if len(kept) < top_k and all(abs(r["d"] - u) > exclude_overlap_days for u in used.get(r["symbol"], ())):
+                kept.append((r["symbol"], r["ts"], r["dist"], r["fwd_pct"]))
+                used.setdefault(r["symbol"], []).append(r["d"])
+        near = daily.sparkSession.createDataFrame(kept, "symbol string, ts timestamp_ntz, dist double, fwd_pct double")
+    return near.select("symbol", "ts", "dist", "fwd_pct").crossJoin(F.broadcast(baseline))
 
 
 def cents(x: Decimal) -> Decimal:

@@ -171,4 +171,3 @@ u AS (SELECT symbol, ts, event_id, price AS mark, CAST(NULL AS BIGINT) AS o_orde
 SHARED["mtm_asof"] = lambda d: _ASOF + f""",
 f AS (SELECT symbol, o_orderkey, ts, {'last_value(mark) IGNORE NULLS' if d == 'spark' else 'last_value(mark IGNORE NULLS)'} OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM u)
 SELECT symbol, o_orderkey, ts, mark FROM f WHERE o_orderkey IS NOT NULL"""
-SHARED["atm_strike"] = "SELECT c_custkey, min(p_retailprice) AS strike FROM (SELECT c.c_custkey, p.p_retailprice, rank() OVER (PARTITION BY c.c_custkey ORDER BY abs(p.p_retailprice - c.c_acctbal)) AS k FROM customer c JOIN part p ON p.p_size = c.c_nationkey) x WHERE k = 1 GROUP BY c_custkey"

@@ -147,7 +147,14 @@ for _name in transforms.TRANSFORMS:
 
 @query("dtw_similar")
 def dtw_similar(spark, sf_dir):
-    return rounded(research.find_similar(sources.daily_bars(spark, sf_dir), "A"), "dist", "fwd_pct")
+    return research.find_similar(sources.daily_bars(spark, sf_dir), "A", exclude_overlap_days=5)
+
+
+@query("walked_ticks")
+def walked_ticks(spark, sf_dir):
+    bars = sources.hour_bars(spark, sf_dir)
+    both = [execution.walked_ticks(bars, method=m).withColumn("method", F.lit(m)) for m in ("anchored", "bridge")]
+    return rounded(both[0].unionByName(both[1]), "price", "volume")
 
 
 def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -501,6 +508,14 @@ def active_symbols(spark, sf_dir):
     return sources.active(rows.select("symbol").distinct(), rows.filter("price > 490").select("symbol").distinct())
 
 
+@query("atm_strike", "SELECT c_custkey, min(p_retailprice) AS strike FROM (SELECT c.c_custkey, p.p_retailprice, rank() OVER (PARTITION BY c.c_custkey ORDER BY abs(p.p_retailprice - c.c_acctbal)) AS k FROM customer c JOIN part p ON p.p_size = c.c_nationkey) x WHERE k = 1 GROUP BY c_custkey")
+def atm_strike(spark, sf_dir):
+    part, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "customer"))
+    chain = part.select(F.col("p_size").cast("long").alias("underlying"), F.col("p_retailprice").alias("strike"))
+    refs = customer.select(F.col("c_nationkey").cast("long").alias("underlying"), F.col("c_custkey").alias("n"), F.col("c_acctbal").alias("reference"))
+    return sources.nearest_strikes(chain, refs).select(F.col("n").alias("c_custkey"), "strike")
+
+
 @query(
     "otm_strikes",
     "SELECT underlying, strike, CAST(place AS INTEGER) AS place FROM (SELECT p_brand AS underlying, p_retailprice AS strike, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS place "

@@ -167,6 +167,22 @@ def strikes(chain: DataFrame, reference: Column, right: str, k: int, side: str =
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def nearest_strikes(chain: DataFrame, references: DataFrame) -> DataFrame:
+    """``references`` (underlying, n, reference) with the nearest strike of their underlying, the lower one of two as near; those of no strike are left out.
+
+    Strikes and references are one ordered list, in which the nearest strike is
+    the last one before or the first one after; nothing is joined.
+    """
+    both = chain.select("underlying", F.col("strike").cast("double").alias("x"), F.col("strike").cast("double").alias("strike"), F.lit(None).cast("long").alias("n"))
+    both = both.unionByName(references.select("underlying", F.col("reference").cast("double").alias("x"), F.lit(None).cast("double").alias("strike"), F.col("n").cast("long").alias("n")))
+    order = Window.partitionBy("underlying").orderBy("x")
+    below = F.last("strike", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first("strike", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = both.withColumns({"below": below, "above": above}).filter("n is not null")
+    nearest = F.when(F.col("above").isNull() | (F.col("x") - F.col("below") <= F.col("above") - F.col("x")), F.col("below")).otherwise(F.col("above"))
+    return rows.select("underlying", "n", nearest.alias("strike")).filter("strike is not null")
+
+
 def unreadable_files(spark: SparkSession, root: str) -> DataFrame:
     """path and length of the lake's files whose footers aren't Parquet's; of each file only the last bytes are read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path", "length")

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from barloom import sources
-from barloom.streaming import quiet_symbols
+from barloom.streaming import quiet_symbols, revised_bars, tail_pusher
 
 
 def test_json_store_keeps_one_row_a_stamp(spark, tmp_path):
@@ -70,3 +70,41 @@ def test_universes_and_schemas(spark, tmp_path):
     assert [tuple(r) for r in sources.schema_of({"v": spark.range(1)}, "v").collect()] == [("id", "bigint")]
     with pytest.raises(ValueError):
         sources.schema_of({}, "w")
+
+
+def test_nearest_strikes(spark):
+    chain = spark.createDataFrame([("A", float(x)) for x in (90, 100, 110)] + [("B", 5.0)], "underlying string, strike double")
+    refs = spark.createDataFrame([("A", 1, 104.0), ("A", 2, 105.0), ("A", 3, 111.0), ("A", 4, 1.0), ("A", 5, 100.0), ("C", 6, 1.0)], "underlying string, n int, reference double")
+    assert {r.n: r.strike for r in sources.nearest_strikes(chain, refs).collect()} == {1: 100.0, 2: 100.0, 3: 110.0, 4: 90.0, 5: 100.0}
+
+
+def _streamed(spark, tmp_path, batches, build, name):
+    day = dt.datetime(2026, 8, 5, 10)
+    for k, rows in enumerate(batches):
+        (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({"event_id": 100 * k + i, "symbol": "A", "ts": (day + dt.timedelta(seconds=x)).isoformat() + "Z", "price": p, "volume": v, "event": e}) for i, (x, p, v, e) in enumerate(rows)))
+        os.utime(tmp_path / f"{k}.json", (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("event_id long, symbol string, ts timestamp, price double, volume double, event string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_booked_bars_are_not_revised_and_sessions_are_flushed(spark, tmp_path):
+    batches = [
+        [(0, 10.0, 5.0, "seed"), (30, 11.0, 1.0, "tick")], [(61, 12.0, 1.0, "tick"), (59, 13.0, 2.0, "tick")], [(10, 0.0, 0.0, "fill"), (58, 14.0, 1.0, "tick")], [(90, 0.0, 0.0, "flush"), (70, 15.0, 4.0, "tick")],
+    ]
+    rows = _streamed(spark, tmp_path, batches, lambda s: revised_bars(s, 60, 60), "booked_out")
+    got = [(r.ts.minute, r.revision, r.close, r.volume, r.dropped) for r in rows]
+    # the seeded bar closes with 6, is revised once, and is booked before the third batch's late tick
+    assert got == [(0, 0, 11.0, 6.0, None), (0, 1, 13.0, 8.0, None), (0, 0, 14.0, 1.0, "booked_fill"), (1, 0, 12.0, 1.0, None), (1, 1, 15.0, 5.0, None)]
+
+
+def test_tails_are_pushed_for_the_symbols_of_a_batch(spark, tmp_path):
+    seen = []
+    push = tail_pusher(str(tmp_path / "history"), {"ema": {"length": 3}}, lambda df, n: seen.append((n, [(r.symbol, r.value) for r in df.orderBy("symbol", "ts").collect()])))
+    bar = lambda s, i, c: (s, dt.datetime(2026, 8, 5, 10, i), c, c, c, c, 1.0)
+    schema = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+    push(spark.createDataFrame([bar("A", i, float(i)) for i in range(3)] + [bar("B", 0, 9.0)], schema), 0)
+    push(spark.createDataFrame([bar("A", 3, 5.0)], schema), 1)
+    push(spark.createDataFrame([bar("A", 3, 5.0)], schema), 1)
+    assert seen[1] == seen[2] == (1, [("A", 3.0)]) and seen[0][1][2] == ("A", 1.0)

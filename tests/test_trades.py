@@ -170,3 +170,41 @@ def test_paths_and_their_summary(spark):
 def test_money_is_rounded_away_from_zero(spark):
     row = spark.range(1).select(*(trades.cents(F.lit(Decimal(x))).alias(f"c{i}") for i, x in enumerate(("0.005", "-0.005", "2.675")))).first()
     assert [str(x) for x in row] == ["0.01", "-0.01", "2.68"]
+
+
+def test_similar_windows_do_not_overlap(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in "ABC":
+        c = 100 + rng.normal(size=90).cumsum()
+        rows += [(s, T0 + dt.timedelta(days=i), float(x)) for i, x in enumerate(c) if not (s == "B" and i == 40)]
+    rows += [("NEW", T0 + dt.timedelta(days=i), 5.0) for i in range(80, 90)]
+    daily = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    got = research.find_similar(daily, "A", window=10, horizon=3, top_k=8, exclude_overlap_days=4).collect()
+    ends = {}
+    for r in got:
+        assert all(abs((r.ts - t).days) > 4 for t in ends.get(r.symbol, ()))
+        ends.setdefault(r.symbol, []).append(r.ts)
+    assert len(got) == 8 and "NEW" not in ends and len({r.baseline_median_fwd for r in got}) == 1
+    assert not [r for r in got if r.symbol == "B" and 40 <= (r.ts - T0).days < 50]  # a date is missing in those windows
+    plain = research.find_similar(daily, "A", window=10, horizon=3, top_k=5).collect()
+    assert [r.dist for r in plain] == sorted(r.dist for r in plain) and plain[0].dist <= got[0].dist
+    with pytest.raises(ValueError):
+        research.find_similar(daily, "NEW", window=20)
+
+
+def test_walked_ticks_stay_within_their_bar(spark):
+    from barloom.plans import execution
+
+    bars = spark.createDataFrame([("A", T0 + dt.timedelta(hours=i), 100.0, 106.0, 97.0, 103.0, 1000.0) for i in range(200)], BARS)
+    for method in ("anchored", "bridge"):
+        rows = execution.walked_ticks(bars, 10, method).collect()
+        by_bar = {}
+        for r in rows:
+            by_bar.setdefault(r.ts, []).append(r)
+        for own in by_bar.values():
+            own.sort(key=lambda r: r.n)
+            assert len(own) == 10 and own[0].price == 100.0 and own[-1].price == pytest.approx(103.0) and all(97 <= r.price <= 106 for r in own)
+            assert sum(r.volume for r in own) == pytest.approx(1000.0, abs=1e-9) and own[0].volume == pytest.approx(2 * own[1].volume, abs=1e-5)
+        assert len({r.price for r in rows if r.n == 5}) > 100
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, execution.walked_ticks(bars.repartition(7), 10, method).collect()))
