@@ -46,7 +46,11 @@ WIDE = {
 }
 # Which characters a text must hold before a pattern is tried.
 NEEDS = {"email": r"@|\(at\)|\[at\]|\x20at\x20", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"\+[0-9]|[0-9]{3}\)?[\x20.-][0-9]{3}"}
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "uk", "de", "fr", "es", "it", "nl", "pl", "eu", "us", "ca", "au", "in", "br", "mx", "ch", "at", "be")
+#: Common top-level domains.
+DOMAINS = tuple(
+    "com org net edu gov mil int info biz name io co ai app dev me tv xyz online site uk ie de at ch fr be lu nl es pt it gr pl cz sk hu ro bg hr rs si ua ru tr "
+    "se no dk fi is ee lv lt eu us ca mx br ar cl pe ve au nz in pk bd lk cn jp kr hk tw sg my th vn id ph il ae sa eg za ng ke ma".split()
+)
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|correo|courriel)\W{1,4}\w{0,8}\W{0,3}$",
     "ip": r"(?i)(?:\bip|address|server|host|client|from|login)\W{1,4}\w{0,8}\W{0,3}$",

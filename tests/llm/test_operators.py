@@ -379,6 +379,29 @@ def test_spans_match_brute_force(spark):
     assert pii.train(found.limit(0)).weights == {}
 
 
+def test_added_spans_of_held_out_texts(spark):
+    """Wider candidates in texts that the models didn't learn from: real ones are added, look-alikes aren't."""
+    rng, vocab = random.Random(21), vocabulary()
+    words = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phone = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{number(4)}"
+    mail = lambda: f"{rng.choice(vocab)}{rng.choice([' (at) ', ' [at] '])}{rng.choice(vocab)} (dot) {rng.choice(['com', 'org', 'de'])}"
+    order = lambda: f"{rng.randint(0, 99):03d}-{rng.randint(0, 99):03d}-{number(4)}"
+    rows = []
+    for i in range(600):
+        kind = i % 3
+        value, cue = (phone(), rng.choice(["phone: ", "call ", ""])) if kind == 0 else (mail(), rng.choice(["mail ", "contact: ", ""])) if kind == 1 else (order(), "order ")
+        before = f"{words(6)} {cue}"
+        rows.append((i, f"{before}{value} {words(4)}", len(before), len(before) + len(value), ("phone", "email", None)[kind]))
+    texts = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    model = pii.train(pii.annotate(texts.filter("doc_id < 400")))
+    found = {r.doc_id: r.s for r in pii.annotate(texts.filter("doc_id >= 400")).select("doc_id", pii.spans_text(pii.all_spans(model)).alias("s")).collect()}
+    hits = sum(f"{k}:{a}:{b}" in found[i].split(",") for i, _, a, b, k in rows[400:] if k)
+    said = sum(len([x for x in found[i].split(",") if x]) for i in found)
+    true = sum(k is not None for *_, k in rows[400:])
+    assert hits > 0.9 * true and hits > 0.9 * said, (hits, said, true)
+
+
 def test_reliabilities_favour_labelers_that_agree():
     counts = {(1, 1, -1, 1): 90, (0, 0, -1, 0): 90, (1, 0, -1, 1): 10, (0, 1, -1, 0): 10}
     quality_of, belief = pii.estimate_reliabilities(counts)
@@ -448,6 +471,46 @@ def test_both_forms_of_the_pattern_agree():
         assert split(text) == general(text), repr(text)
 
 
+# odd tables, for every operator
+
+
+def test_empty_tables_and_queries(spark, tmp_path):
+    """Each registered query on tables without rows, with columns whose names clash with an operator's own."""
+    from barloom.llm import registry
+
+    columns = {c: F.lit(1) for c in ("score", "_row", "_base", "id", "token", "shard", "grams", "found")}
+    frames = {
+        "documents": spark.createDataFrame([], DOCS), "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "embeddings": spark.createDataFrame([], "vec_id long, embedding array<float>"),
+    }
+    for name, df in frames.items():
+        df.withColumns(columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in registry.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+
+
+def test_queries_give_their_columns_for_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, long texts and clashing names: a row for each row, or for each piece or distinct id as the operator says."""
+    from barloom.llm import registry
+
+    rows = [(i % 40, t, lang, "s", 1) for i, (t, lang) in enumerate([(None, None), ("", "en"), ("Mail a@b.co now", "en"), ("ein der und " * 40, "de"), (LONG, "en"), ("x", None)] * 12)] + [(None, "no id", None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("score", "_row", "_base", "id", "token")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, (i // 2) % 2) for i in range(40)] + [(None, 1, 1), (3, None, None), (4, 7, 7), (5, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(i % 150, [float(i % 7), 1.0]) for i in range(300)] + [(None, [1.0, 1.0]), (7, None), (8, [float("nan"), 1.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, query in registry.QUERIES.items():
+        found = query(spark, str(tmp_path)).collect()
+        if name == "op6_best_fit_packing":
+            assert len({(r.sequence_id, r.offset) for r in found}) == len(found) >= len(rows)
+        elif name == "op4_exact_top_k":
+            assert {r.query_id for r in found} == {0, 100} and len(found) == 20
+        else:
+            assert len(found) == len(rows), name
+        if name in ("op1_quality", "op2_toxicity"):
+            assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+
+
 # 1, 2, 10: models
 
 
