@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +84,56 @@ def slipped(price: Column, side: Column, percent: float) -> Column:
 def normalized_symbol(symbol: Column) -> Column:
     """Upper case, trimmed, without an exchange prefix or a series suffix."""
     return F.regexp_replace(F.regexp_replace(F.upper(F.trim(symbol)), r"^[A-Z]+:", ""), r"[-.](?:EQ|BE|NS|BO)$", "")
+
+
+def bucket_price(price: Column, step: float) -> Column:
+    """The price of a price's step, without the dust of binary fractions beyond eight places."""
+    return F.floor(price_step(price, step) * step * 1e8 + 0.5) / 1e8
+
+
+INSTRUMENT = "struct<exchange:string,underlying:string,expiry:date,strike:decimal(20,4),right:string,asset_class:string>"
+
+
+def parsed_instrument(key: Column) -> Column:
+    """The parts of EXCHANGE:UNDERLYING[:YYYYMMDD|FUT][:STRIKE|RIGHT][:RIGHT] as a struct; null for a malformed key."""
+    part = F.split(F.trim(key), ":")
+    third, fourth, fifth = (F.nullif(F.get(part, F.lit(i)), F.lit("")) for i in (2, 3, 4))
+    is_future = F.coalesce(F.upper(third) == "FUT", F.lit(False))
+    expiry = F.when(~is_future & third.rlike("^[0-9]{8}$"), F.to_date(F.try_to_timestamp(third, F.lit("yyyyMMdd"))))
+    named = F.upper(fourth).isin("CE", "PE", "FUT")
+    strike = F.when(~F.coalesce(named, F.lit(False)), fourth.try_cast("decimal(20,4)"))
+    right = F.coalesce(F.upper(fifth), F.when(named, F.upper(fourth)), F.when(is_future, F.lit("FUT")), F.when(expiry.isNotNull(), F.lit("FUT")))
+    kind = F.when(right == "FUT", "FUTURE").when(right.isin("CE", "PE"), "OPTION").otherwise("EQUITY")
+    wrong = (F.size(part) < 2) | (third.isNotNull() & ~is_future & expiry.isNull()) | (fourth.isNotNull() & ~F.coalesce(named, F.lit(False)) & strike.isNull())
+    made = F.struct(F.upper(F.get(part, F.lit(0))).alias("exchange"), F.upper(F.get(part, F.lit(1))).alias("underlying"), expiry.alias("expiry"), strike.alias("strike"), right.alias("right"), kind.alias("asset_class"))
+    return F.when(~F.coalesce(wrong, F.lit(True)), made)
+
+
+def instrument_key(parts: Column) -> Column:
+    """The key of a struct as ``parsed_instrument`` gives it; whole strikes have no fraction."""
+    strike = parts["strike"]
+    text = F.when(strike == F.floor(strike), strike.cast("long").cast("string")).otherwise(F.regexp_replace(strike.cast("string"), "0+$", ""))
+    return F.concat_ws(":", parts["exchange"], parts["underlying"], F.date_format(parts["expiry"], "yyyyMMdd"), text, parts["right"])
+
+
+def parameters_digest(parameters: dict) -> str:
+    """A short digest of parameters, whatever their order."""
+    return hashlib.sha256(json.dumps(parameters, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:24]
+
+
+#: The colours of gains and losses, and the alphas of the palest and the strongest.
+GAIN, LOSS, PALE, STRONG = "#089981", "#F23745", 0.1, 0.5
+
+
+def ramp_colour(value: Column, cutoff: float, gain: str = GAIN, loss: str = LOSS) -> Column:
+    """#rrggbbaa of a value: by its sign, and the stronger the nearer it is to ``cutoff``; null for what isn't a number."""
+    share = F.least(F.lit(1.0), F.abs(value) / cutoff) if cutoff > 0 else F.lit(1.0)
+    alpha = F.floor((PALE + (STRONG - PALE) * share) * 255 + 0.5).cast("int")
+    known = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(known, F.concat(F.when(value >= 0, gain).otherwise(loss), F.lpad(F.lower(F.hex(alpha)), 2, "0")))
+
+
+def is_ignored_month(month: Column, listed: str) -> Column:
+    """Whether a month (1 to 12) is in a list like "1, 5,12"; what isn't a month is passed over."""
+    months = [int(x) for x in listed.split(",") if x.strip().isdigit() and 1 <= int(x) <= 12]
+    return month.isin(months) if months else F.lit(False)

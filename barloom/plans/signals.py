@@ -151,3 +151,18 @@ def broken_links(chain: DataFrame) -> DataFrame:
     """The rows of a chain whose digest doesn't follow from the row before."""
     before = F.coalesce(F.lag("digest").over(Window.partitionBy("key").orderBy("n")), F.lit(""))
     return chain.withColumn("_want", F.sha2(F.concat_ws("|", before, "payload"), 256)).filter("_want <> digest").drop("_want")
+
+
+def replay(chain: DataFrame, after: int = -1, until: int | None = None) -> DataFrame:
+    """A verified chain's events from ``after`` on, in order; a broken link is an error that names the first one of each key."""
+    bad = broken_links(chain).groupBy("key").agg(F.min("n").alias("first_bad"))
+    rows = chain.join(F.broadcast(bad), "key", "left")
+    wrong = F.raise_error(F.concat(F.lit("broken link in "), "key", F.lit(" at "), F.col("first_bad").cast("string"))).cast("string")
+    kept = rows.filter(F.col("n") > after) if until is None else rows.filter(F.col("n").between(after + 1, until))
+    return kept.select("key", "n", "payload", F.when(F.col("first_bad").isNotNull(), wrong).otherwise(F.col("digest")).alias("digest"))
+
+
+def snapshots(chain: DataFrame, every: int = 10_000) -> DataFrame:
+    """The last event of every ``every`` events of a key: where a replay may start from."""
+    at = F.row_number().over(Window.partitionBy("key").orderBy("n"))
+    return chain.withColumn("place", at).filter(F.col("place") % every == 0).select("key", "n", "place", "digest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,8 +59,25 @@ def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def load_window(lake: DataFrame, start: str, end: str, symbols: list[str], fallback: Callable[[list[str]], DataFrame] | None = None) -> DataFrame:
+    """Bars between inclusive bounds with their ``origin``: the lake's, or, for symbols that it has none of, those of ``fallback``.
+
+    ``fallback`` is asked once, for the missing symbols alone, and only if there are any.
+    """
+    inside = F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    own = lake.filter(F.col("symbol").isin(symbols) & inside)
+    if fallback is None:
+        return own.withColumn("origin", F.lit("lake"))
+    have = {r["symbol"] for r in own.select("symbol").distinct().collect()}  # of the symbols asked for
+    missing = sorted(set(symbols) - have)
+    if not missing:
+        return own.withColumn("origin", F.lit("lake"))
+    more = fallback(missing).filter(F.col("symbol").isin(missing) & inside)
+    return own.withColumn("origin", F.lit("lake")).unionByName(more.withColumn("origin", F.lit("fallback")), allowMissingColumns=True)
+
+
 def upsert_lake(spark: SparkSession, root: str, incoming: DataFrame) -> int:
-    """Merge rows into the lake by key and give the number of new and replaced rows.
+    """Merge rows into the lake by key and give the number of valid incoming rows.
 
     Only the symbol-months that ``incoming`` touches are read and rewritten. They
     are staged beside the lake first, as a table can't be overwritten while it is read.
@@ -80,7 +98,7 @@ def upsert_lake(spark: SparkSession, root: str, incoming: DataFrame) -> int:
         whole.withColumns({"year": F.year("timestamp"), "month": F.month("timestamp")}).write.parquet(stage)
         staged = spark.read.parquet(stage)
         write_lake(staged.drop("year", "month"), root)
-        return fresh.select(*KEY).distinct().count()
+        return fresh.count()
     finally:
         files.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
 

@@ -3,8 +3,11 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from barloom import functions as fn
 from barloom import sources
+from barloom.plans import signals
 from barloom.streaming import quiet_symbols, revised_bars, tail_pusher
 
 
@@ -108,3 +111,46 @@ def test_tails_are_pushed_for_the_symbols_of_a_batch(spark, tmp_path):
     push(spark.createDataFrame([bar("A", 3, 5.0)], schema), 1)
     push(spark.createDataFrame([bar("A", 3, 5.0)], schema), 1)
     assert seen[1] == seen[2] == (1, [("A", 3.0)]) and seen[0][1][2] == ("A", 1.0)
+
+
+def test_windows_fall_back_for_missing_symbols(spark):
+    t = dt.datetime(2026, 8, 5, 9, 15)
+    row = lambda s, v: (s, "NSE", "equity", "1m", t, 1.0, 2.0, 1.0, 2.0, v)
+    lake, asked = spark.createDataFrame([row("A", 1)], sources.BARS), []
+
+    def broker(symbols):
+        asked.append(symbols)
+        return spark.createDataFrame([row("A", 9), row("B", 2)], sources.BARS)
+
+    bounds = ("2026-08-05 09:00:00", "2026-08-05 10:00:00")
+    got = sources.load_window(lake, *bounds, ["A", "B", "C"], broker).orderBy("symbol").collect()
+    assert [(r.symbol, r.volume, r.origin) for r in got] == [("A", 1, "lake"), ("B", 2, "fallback")] and asked == [["B", "C"]]
+    assert sources.load_window(lake, *bounds, ["A"], broker).count() == 1 and len(asked) == 1
+    assert sources.load_window(lake, *bounds, ["B"]).count() == 0
+
+
+def test_instrument_keys(spark):
+    keys = ["nse:abc", "NFO:XYZ:20260827:1500:CE", "NFO:XYZ:20260827", "NFO:XYZ:FUT", "NFO:XYZ:20260827:1500.5:PE", "bad", "NFO:X:2026", "NFO:X:20260827:?"]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string").select("k", fn.parsed_instrument(F.col("k")).alias("p")).select("k", "p.*", fn.instrument_key(F.col("p")).alias("again")).collect()
+    got = {r.k: (r.asset_class, r.right, r.again) for r in rows if r.exchange}
+    assert got == {
+        "nse:abc": ("EQUITY", None, "NSE:ABC"), "NFO:XYZ:20260827:1500:CE": ("OPTION", "CE", "NFO:XYZ:20260827:1500:CE"), "NFO:XYZ:20260827": ("FUTURE", "FUT", "NFO:XYZ:20260827:FUT"),
+        "NFO:XYZ:FUT": ("FUTURE", "FUT", "NFO:XYZ:FUT"), "NFO:XYZ:20260827:1500.5:PE": ("OPTION", "PE", "NFO:XYZ:20260827:1500.5:PE"),
+    }
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(
+        fn.bucket_price(F.lit(114.05), 0.1).alias("a"), fn.ramp_colour(F.lit(5.0), 10.0).alias("b"), fn.ramp_colour(F.lit(-50.0), 10.0).alias("c"), fn.ramp_colour(F.lit(float("nan")), 10.0).alias("d"),
+        fn.is_ignored_month(F.lit(5), "1, 5,x").alias("e"), fn.is_ignored_month(F.lit(5), "").alias("f"),
+    ).first()
+    assert tuple(row) == (114.1, "#0899814d", "#F2374580", None, True, False)
+    assert fn.parameters_digest({"a": 1, "b": [2]}) == fn.parameters_digest({"b": [2], "a": 1}) != fn.parameters_digest({"a": 2})
+
+
+def test_chains_are_replayed_only_if_whole(spark):
+    chain = signals.event_chain(spark.createDataFrame([("k", i, f"p{i}") for i in range(10)], "key string, n long, payload string")).cache()
+    assert [r.n for r in signals.replay(chain, after=6).orderBy("n").collect()] == [7, 8, 9]
+    assert [(r.n, r.place) for r in signals.snapshots(chain, 4).orderBy("n").collect()] == [(3, 4), (7, 8)]
+    with pytest.raises(Exception, match="broken link in k at 4"):
+        signals.replay(chain.withColumn("payload", F.when(F.col("n") == 4, "x").otherwise(F.col("payload")))).collect()
