@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -30,7 +30,6 @@ MEMO_WORDS = 200_000
 MEMO_PAIRS = 400_000
 MEMO_LENGTH = 48
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
-Coded = tuple[tuple[int, ...], str, bytes]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +50,8 @@ class Bpe:
         self.joined: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
-        self.memo = _Memo(self)
+        self.memo = _Memo(lambda match: self._encode(match.encode("utf-8")))
+        self.decimal = _Memo(self._decimal)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for word, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(word) > 1:
@@ -132,13 +132,26 @@ class Bpe:
                 token = ids.pop()
                 at -= lengths[token]
 
-    def coded(self, matches: list[str]) -> list[Coded]:
-        """(ids, their decimal text, the bytes they decode to) of each match of the splitting pattern."""
-        return list(map(self.memo.__getitem__, matches))
-
     def encode(self, matches: list[str]) -> list[int]:
         """Ids of the matches, in order."""
-        return list(chain.from_iterable([x[0] for x in self.coded(matches)]))
+        return list(chain.from_iterable(map(self.memo.__getitem__, matches)))
+
+    def _decimal(self, match: str) -> str:
+        """The ids of a match as decimal text; they are decoded and have to give the match again."""
+        raw = match.encode("utf-8")
+        ids = self._encode(raw)
+        if self.decode(ids) != raw:
+            raise ValueError(f"the ids of {match!r} decode to something else")
+        return ",".join(map(str, ids))
+
+    def digests(self, matches: list[str]) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids as decimal text, and digest of what they decode to.
+
+        Each match's ids were decoded when the match was met first, and gave the
+        match; so the ids of all matches decode to the matches in order.
+        """
+        decimal = ",".join(map(self.decimal.__getitem__, matches))
+        return decimal.count(",") + (decimal != ""), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256("".join(matches).encode("utf-8")).hexdigest()
 
     def decode(self, ids: tuple[int, ...] | list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
@@ -151,16 +164,15 @@ class _Memo(dict):
     there moves back, so frequent matches stay.
     """
 
-    def __init__(self, bpe: Bpe) -> None:
+    def __init__(self, make: Callable[[str], object]) -> None:
         super().__init__()
-        self.bpe = bpe
-        self.old: dict[str, Coded] = {}
+        self.make = make
+        self.old: dict[str, object] = {}
 
-    def __missing__(self, match: str) -> Coded:
+    def __missing__(self, match: str):
         value = self.old.get(match)
         if value is None:
-            ids = self.bpe._encode(match.encode("utf-8"))
-            value = ids, ",".join(map(str, ids)), self.bpe.decode(ids)
+            value = self.make(match)
             if len(match) > MEMO_LENGTH:
                 return value
         if len(self) >= MEMO_WORDS:
@@ -180,8 +192,10 @@ def load(path: str) -> Bpe:
 def splitter(pattern: str):
     """The function that lists a text's matches of ``pattern``.
 
-    On ASCII texts the default pattern has an equal form without Unicode classes,
-    which the standard library matches in less time.
+    On ASCII texts, and on those whose characters are all in Latin-1, the default
+    pattern has an equal form without Unicode classes, which the standard library
+    matches in less time. The few characters of Latin-1 that the two libraries
+    class differently are found by asking both.
     """
     import re
 
@@ -191,7 +205,21 @@ def splitter(pattern: str):
     if pattern != default_pattern():
         return general
     plain = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
-    return lambda text: plain(text) if text.isascii() else general(text)
+    latin = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    every = "".join(map(chr, range(256)))
+    unlike = {c for wide, narrow in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")) for c in set(regex.findall(wide, every)) ^ set(re.findall(narrow, every))}
+    odd = "".join(unlike).encode("latin-1")
+
+    def matches(text: str) -> list[str]:
+        if text.isascii():
+            return plain(text)
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return general(text)
+        return latin(text) if len(raw.translate(None, odd)) == len(raw) else general(text)
+
+    return matches
 
 
 def default_ranks() -> str:
@@ -214,13 +242,12 @@ def _worker(path: str, pattern: str, digests: bool):
                 part = batch.slice(at, 256)
                 rows = []
                 for text in part.column(1):
-                    coded = bpe.coded(split(text.as_py() or ""))
-                    ids, decoded = [x[0] for x in coded], b"".join([x[2] for x in coded])
+                    matches = split(text.as_py() or "")
                     if digests:
-                        decimal = ",".join([x[1] for x in coded])
-                        rows.append((sum(map(len, ids)), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                        rows.append(bpe.digests(matches))
                     else:
-                        rows.append((list(chain.from_iterable(ids)), decoded))
+                        ids = bpe.encode(matches)
+                        rows.append((ids, bpe.decode(ids)))
                 kinds = (pa.int64(), pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", *names])
