@@ -347,6 +347,82 @@ STRATEGY_LAYERS = {
 }
 
 
+_LAST = {"at_end": "CASE WHEN rn = max(rn) OVER (PARTITION BY symbol) THEN 1 ELSE 0 END", "ep": "epoch(ts)"}
+TRANSFORM_LAYERS = {
+    "renko": (
+        [Walk({"edge": "floor(close / 2) * 2", "bricks": "0"}, {"bricks": "CASE WHEN close >= a_edge + 2 THEN floor((close - a_edge) / 2) WHEN close <= a_edge - 2 THEN -floor((a_edge - close) / 2) ELSE 0 END", "edge": "a_edge + 2 * bricks"})],
+        {"ep": "epoch(ts)", "e0": "edge - 2 * bricks", "k": "bricks"},
+    ),
+    "range-bars": (
+        [
+            _LAST,
+            Walk(
+                {"o": "close", "h": "close", "l": "close", "done": "0"},
+                {"o": "CASE WHEN a_done = 1 THEN close ELSE a_o END", "h": "CASE WHEN a_done = 1 THEN close ELSE greatest(a_h, close) END", "l": "CASE WHEN a_done = 1 THEN close ELSE least(a_l, close) END", "done": "CASE WHEN h - l >= 3 THEN 1 ELSE 0 END"},
+            ),
+        ],
+        {"ep": "ep", "o": "o", "h": "h", "l": "l", "c": "close", "made": "CASE WHEN done = 1 OR at_end = 1 THEN 1 ELSE 0 END"},
+    ),
+    "kagi": (
+        [
+            _LAST,
+            Walk(
+                {"side": "1", "ext": "close", "thick": "0", "sh": "NULL", "wa": "NULL", "turn": "0", "v": "NULL", "vt": "NULL"},
+                {
+                    "ahead": "CASE WHEN a_side * (close - a_ext) > 0 THEN 1 ELSE 0 END", "turn": "CASE WHEN ahead = 0 AND a_side * (a_ext - close) >= 2 THEN 1 ELSE 0 END",
+                    "thick": "CASE WHEN ahead = 1 AND a_side > 0 AND (a_sh IS NULL OR close > a_sh) THEN 1 WHEN ahead = 1 AND a_side < 0 AND (a_wa IS NULL OR close < a_wa) THEN 0 ELSE a_thick END",
+                    "sh": "CASE WHEN turn = 1 AND a_side > 0 THEN a_ext ELSE a_sh END", "wa": "CASE WHEN turn = 1 AND a_side < 0 THEN a_ext ELSE a_wa END", "v": "a_ext", "vt": "a_thick",
+                    "side": "CASE WHEN turn = 1 THEN -a_side ELSE a_side END", "ext": "CASE WHEN ahead + turn > 0 THEN close ELSE a_ext END",
+                },
+            ),
+        ],
+        {"ep": "ep", "turn": "turn", "v": "v", "vt": "vt", "ext": "ext", "thick": "thick", "at_end": "at_end"},
+    ),
+    "point-figure": (
+        [
+            _LAST,
+            Walk(
+                {"side": "0", "top": "floor(close)", "bot": "floor(close)", "since": "ep", "turn": "0", "s0": "0", "t0": "0", "b0": "0", "e0": "0"},
+                {
+                    "up": "floor(high)", "dn": "floor(low)", "begins": "CASE WHEN a_side = 0 AND (up > a_top OR dn < a_bot) THEN CASE WHEN up - a_top >= a_bot - dn THEN 1 ELSE -1 END ELSE 0 END",
+                    "turn": "CASE WHEN a_side > 0 AND up <= a_top AND a_top - dn >= 3 OR a_side < 0 AND dn >= a_bot AND up - a_bot >= 3 THEN 1 ELSE 0 END",
+                    "side": "CASE WHEN begins <> 0 THEN begins WHEN turn = 1 THEN -a_side ELSE a_side END",
+                    "top": "CASE WHEN begins > 0 OR a_side > 0 AND up > a_top OR turn = 1 AND a_side < 0 THEN up WHEN turn = 1 THEN a_top - 1 ELSE a_top END",
+                    "bot": "CASE WHEN begins < 0 OR a_side < 0 AND dn < a_bot OR turn = 1 AND a_side > 0 THEN dn WHEN turn = 1 THEN a_bot + 1 ELSE a_bot END",
+                    "since": "CASE WHEN begins <> 0 OR turn = 1 THEN ep ELSE a_since END", "s0": "a_side", "t0": "a_top", "b0": "a_bot", "e0": "a_since",
+                },
+            ),
+        ],
+        {"ep": "ep", "turn": "turn", "s0": "s0", "t0": "t0", "b0": "b0", "e0": "e0", "side": "side", "top": "top", "bot": "bot", "since": "since", "at_end": "at_end"},
+    ),
+}
+
+
+def transform_sql(name: str) -> str | None:
+    """The bars that a transform makes: symbol, n, epoch (rising by a second at least), prices and volume."""
+    none = "CAST(NULL AS DOUBLE)"
+    if name == "line-break":
+        walk = f"""b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({HOUR_BARS})), w AS (
+SELECT symbol, rn, epoch(ts) AS e, [close] AS o, [close] AS c, false AS made FROM b WHERE rn = 1 UNION ALL
+SELECT symbol, rn, e, CASE WHEN made THEN list_append(o, c[-1])[-3:] ELSE o END, CASE WHEN made THEN list_append(c, x)[-3:] ELSE c END, made FROM (
+SELECT b.symbol, b.rn, epoch(b.ts) AS e, w.o, w.c, b.close AS x, b.close > list_max(list_concat(w.o, w.c)) OR b.close < list_min(list_concat(w.o, w.c)) AS made FROM w JOIN b ON b.symbol = w.symbol AND b.rn = w.rn + 1) z)"""
+        rows = f"SELECT symbol, rn AS i, 0 AS j, e, o[-1] AS o, greatest(o[-1], c[-1]) AS h, least(o[-1], c[-1]) AS l, c[-1] AS c, {none} AS v FROM w WHERE made"
+        head = f"WITH RECURSIVE {walk}, made_rows AS ({rows})"
+    else:
+        inner = scan_sql(name, 9, 0.0)
+        if inner is None:
+            return None
+        rows = {
+            "renko": f"SELECT symbol, ep AS i, j, ep AS e, e0 + sign(k) * 2 * j AS o, greatest(e0 + sign(k) * 2 * j, e0 + sign(k) * 2 * (j + 1)) AS h, least(e0 + sign(k) * 2 * j, e0 + sign(k) * 2 * (j + 1)) AS l, e0 + sign(k) * 2 * (j + 1) AS c, {none} AS v FROM (SELECT *, unnest(range(CAST(abs(k) AS BIGINT))) AS j FROM x) y",
+            "range-bars": f"SELECT symbol, ep AS i, 0 AS j, ep AS e, o, h, l, c, {none} AS v FROM x WHERE made = 1",
+            "kagi": "SELECT symbol, ep AS i, 0 AS j, ep AS e, v AS o, v AS h, v AS l, v AS c, vt AS v FROM x WHERE turn = 1 UNION ALL SELECT symbol, ep AS i, 1 AS j, 0 AS e, ext AS o, ext AS h, ext AS l, ext AS c, thick AS v FROM x WHERE at_end = 1",
+            "point-figure": f"SELECT symbol, i, j, e, CASE WHEN s > 0 THEN b ELSE t + 1 END AS o, t + 1 AS h, b AS l, CASE WHEN s > 0 THEN t + 1 ELSE b END AS c, {none} AS v FROM (SELECT symbol, ep AS i, 0 AS j, e0 AS e, s0 AS s, t0 AS t, b0 AS b FROM x WHERE turn = 1 UNION ALL SELECT symbol, ep AS i, 1 AS j, since AS e, side AS s, top AS t, bot AS b FROM x WHERE at_end = 1 AND side <> 0) y",
+        }[name]
+        head = f"WITH x AS ({inner}), made_rows AS ({rows})"
+    return f"""{head}, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i, j) - 1 AS n FROM made_rows)
+SELECT symbol, n, CAST(max(e - n) OVER (PARTITION BY symbol ORDER BY n) + n AS BIGINT) AS epoch, round(o + 3.7e-10, 6) AS open, round(h + 3.7e-10, 6) AS high, round(l + 3.7e-10, 6) AS low, round(c + 3.7e-10, 6) AS close, round(v + 3.7e-10, 6) AS volume FROM numbered"""
+
+
 def strategy_sql(name: str, places: int, nudge: float) -> str:
     """The signals of a strategy."""
     plots = [c for c in STRATEGY_LAYERS[name][1] if c != "side"]
@@ -355,9 +431,10 @@ def strategy_sql(name: str, places: int, nudge: float) -> str:
 
 def scan_sql(name: str, places: int, nudge: float, bars: str = HOUR_BARS) -> str | None:
     """A recursive query for a scan or a strategy, if there is one."""
-    if name not in SCAN_LAYERS and name not in STRATEGY_LAYERS:
+    known = SCAN_LAYERS | STRATEGY_LAYERS | TRANSFORM_LAYERS
+    if name not in known:
         return None
-    layers, plots = SCAN_LAYERS.get(name) or STRATEGY_LAYERS[name]
+    layers, plots = known[name]
     parts, last = [f"t0 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM ({bars}))"], "t0"
     for i, layer in enumerate(layers, 1):
         if isinstance(layer, Walk):
@@ -539,3 +616,18 @@ _QUOTES = f"""q AS (SELECT symbol, ts, event_id AS n, price AS ltp, round(price
 m AS (SELECT *, CASE WHEN event_id % 11 > 0 THEN c - 1 ELSE ltp END + CASE WHEN event_id % 13 > 0 THEN c + 1 ELSE ltp END AS two FROM q), s AS (SELECT *, sign(2 * ltp - two) AS side FROM m)"""
 FOOTPRINT = f"""WITH {_QUOTES} SELECT symbol, ltp AS price, coalesce(sum(volume) FILTER (WHERE side = 1), 0) AS bought, coalesce(sum(volume) FILTER (WHERE side = -1), 0) AS sold, sum(side * volume) AS delta FROM s WHERE volume IS NOT NULL AND side <> 0 GROUP BY symbol, ltp"""
 CVD = f"WITH {_QUOTES} SELECT symbol, n, CAST(sum(side * coalesce(volume, 0)) OVER (PARTITION BY symbol ORDER BY ts, n) AS BIGINT) AS cvd FROM s"
+
+# Ledgers in whole cents, chains and shares
+
+_LEDGER = """f AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, ((l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS n, CAST(l_quantity AS BIGINT) * CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE -1 END AS q, CAST(round(l_extendedprice * 100) AS BIGINT) AS p,
+row_number() OVER (PARTITION BY l_suppkey ORDER BY ((l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) AS k FROM lineitem),
+w AS (SELECT symbol, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS average, CAST(0 AS BIGINT) AS realised FROM (SELECT DISTINCT symbol FROM f) UNION ALL
+SELECT f.symbol, f.n, f.k, w.pos + f.q, CAST(CASE WHEN w.pos + f.q = 0 THEN 0 WHEN w.pos * f.q >= 0 THEN (2 * (w.average * abs(w.pos) + f.p * abs(f.q)) + abs(w.pos) + abs(f.q)) // (2 * (abs(w.pos) + abs(f.q))) WHEN abs(f.q) > abs(w.pos) THEN f.p ELSE w.average END AS BIGINT),
+CAST(w.realised + CASE WHEN w.pos * f.q < 0 THEN (f.p - w.average) * least(abs(f.q), abs(w.pos)) * sign(w.pos) ELSE 0 END AS BIGINT) FROM w JOIN f ON f.symbol = w.symbol AND f.k = w.k + 1)"""
+LEDGER = f"WITH RECURSIVE {_LEDGER} SELECT symbol, n, CAST(pos AS DOUBLE) AS position, average / 100 AS average, realised / 100 AS realised FROM w WHERE k > 0"
+FLAT_TRIPS = f"""WITH RECURSIVE {_LEDGER}, t AS (SELECT *, (SELECT count(*) FROM w v WHERE v.symbol = w.symbol AND v.k > 0 AND v.k < w.k AND v.pos = 0) AS trip FROM w WHERE k > 0),
+g AS (SELECT symbol, trip, min(n) AS first_n, max(n) AS last_n, arg_max(realised, n) AS upto, arg_max(pos, n) AS held FROM t GROUP BY symbol, trip)
+SELECT symbol, trip, first_n, last_n, (upto - coalesce(lag(upto) OVER (PARTITION BY symbol ORDER BY trip), 0)) / 100 AS pnl FROM g QUALIFY held = 0"""
+CHAIN = """WITH RECURSIVE e AS (SELECT event_type AS key, event_id AS n, props AS payload, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
+w AS (SELECT key, n, k, payload, sha256('|' || payload) AS digest FROM e WHERE k = 1 UNION ALL SELECT e.key, e.n, e.k, e.payload, sha256(w.digest || '|' || e.payload) FROM w JOIN e ON e.key = w.key AND e.k = w.k + 1)
+SELECT key, n, payload, digest FROM w"""

@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom import operators, sources
@@ -142,7 +142,7 @@ h AS (SELECT symbol, n, (open + close) / 2 AS o, (open + high + low + close) / 4
 UNION ALL SELECT b.symbol, b.n, (h.o + h.c) / 2 AS o, (b.open + b.high + b.low + b.close) / 4 AS c FROM h JOIN b ON b.symbol = h.symbol AND b.n = h.n + 1)
 SELECT b.symbol, b.n, CAST(epoch(b.ts) AS BIGINT) AS epoch, {', '.join(f"round({e} + {NUDGE!r}, 6) AS {c}" for c, e in (('open', 'h.o'), ('high', 'greatest(b.high, h.o, h.c)'), ('low', 'least(b.low, h.o, h.c)'), ('close', 'h.c'), ('volume', 'b.volume')))} FROM b JOIN h ON b.symbol = h.symbol AND b.n = h.n"""
 for _name in transforms.TRANSFORMS:
-    query("tf_" + _name.replace("-", "_"), _HA if _name == "heikin-ashi" else None)(_transform(_name))
+    query("tf_" + _name.replace("-", "_"), _HA if _name == "heikin-ashi" else oracle.transform_sql(_name))(_transform(_name))
 
 
 @query("dtw_similar")
@@ -157,23 +157,29 @@ def walked_ticks(spark, sf_dir):
     return rounded(both[0].unionByName(both[1]), "price", "volume")
 
 
+def _line_order() -> Column:
+    """A number that orders lines; keys of lines repeat in these tables, so quantity and price break ties."""
+    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")
+    return key * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
+
+
 def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     sign = F.when(F.col("l_linenumber") % 2 == 1, 1).otherwise(-1)
     return lines.select(
-        F.col("l_suppkey").cast("string").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"),
-        (F.col("l_quantity") * sign).cast("decimal(20,4)").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(20,4)").alias("price"),
+        F.col("l_suppkey").cast("string").alias("symbol"), _line_order().alias("n"),
+        (F.col("l_quantity") * sign).cast("decimal(20,4)").alias("quantity"), F.col("l_extendedprice").cast("decimal(20,4)").alias("price"),
     )
 
 
-@query("position_ledger")
+@query("position_ledger", oracle.LEDGER)
 def position_ledger(spark, sf_dir):
-    return research.position_ledger(_fills(spark, sf_dir))
+    return _plain(research.position_ledger(_fills(spark, sf_dir)))
 
 
-@query("round_trips_flat")
+@query("round_trips_flat", oracle.FLAT_TRIPS)
 def round_trips_flat(spark, sf_dir):
-    return research.flat_to_flat(research.position_ledger(_fills(spark, sf_dir)))
+    return _plain(research.flat_to_flat(research.position_ledger(_fills(spark, sf_dir))))
 
 
 @query("monte_carlo")
@@ -358,7 +364,7 @@ def deflated_sharpe(spark, sf_dir):
     return research.deflated_sharpe(QUERIES["grid_search_sma"](spark, sf_dir))
 
 
-@query("param_stability")
+@query("param_stability", f"WITH g AS ({ORACLE_SQL['grid_search_sma']}) SELECT avg(CASE WHEN score >= (SELECT max(score) FROM g) - 1 THEN 1.0 ELSE 0.0 END) AS share FROM g")
 def param_stability(spark, sf_dir):
     return research.parameter_stability(QUERIES["grid_search_sma"](spark, sf_dir))
 
@@ -483,7 +489,7 @@ for _name, _figures in (("ema-ribbon-pullback", ()), ("bracket-breakout", ("stop
     query("signals_" + _name.replace("-", "_"), oracle.strategy_sql(_name, PLACES, NUDGE))(_strategy(_name, *_figures))
 
 
-@query("event_log_chain")
+@query("event_log_chain", oracle.CHAIN)
 def event_log_chain(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return signals.event_chain(events.select(F.col("event_type").alias("key"), F.col("event_id").alias("n"), F.col("props").alias("payload")))
