@@ -20,6 +20,7 @@ repeated.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -162,12 +163,14 @@ def training_sample(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    rows = sorted((r["lang"], bytes(r["grams"])) for r in training_sample(docs, train_docs).collect())
-    langs, x = [lang for lang, _ in rows], np.empty((len(rows), WIDTH), np.float32)
-    while rows:  # each row goes as it is unpacked
-        at = len(rows) - 1
-        x[at] = np.frombuffer(rows.pop()[1], "<f2")
-    return fit_model(x, langs)
+    sample = training_sample(docs, train_docs).toArrow()
+    langs, grams = sample.column("lang").to_pylist(), sample.column("grams")
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], zlib.crc32(grams[i].as_buffer())))  # whatever order they came in
+    x = np.empty((len(order), WIDTH), np.float32)
+    for row, i in enumerate(order):
+        x[row] = np.frombuffer(grams[i].as_buffer(), "<f2")
+    del sample, grams
+    return fit_model(x, [langs[i] for i in order])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, with_text: bool) -> Iterator[pa.RecordBatch]:
