@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 MONEY = "decimal(28,2)"
 EXACT = "decimal(28,4)"
 DAYS, MINUTES = 252, 375
+#: The most turns of one fill among fills of equal ts and n; larger ones take turns of more units.
+TURNS = 100_000
 #: Periods of a year by the name of a bar's frequency; unknown names count as daily.
 PERIODS = (
     dict.fromkeys(("daily", "1d", "d1"), DAYS)
@@ -37,12 +39,16 @@ def round_trips(fills: DataFrame, *keys: str) -> DataFrame:
     ordered list of boundaries, and the units between two boundaries belong to the
     next opening and the next closing fill. That is windows over one key, and no
     join of lots with lots.
+
+    Fills of equal ts and n should not occur. Where they do, their units take turns,
+    one by one, and fills of equal price and cost of a unit count as one.
     """
-    order = Window.partitionBy(*keys).orderBy("ts", "n")
+    order = Window.partitionBy(*keys).orderBy("ts", "n", "price", "q", "cost")  # ties fall alike in every run
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     q = F.col("quantity").cast(EXACT)
     rows = fills.select(*keys, "ts", "n", q.alias("q"), F.col("price").cast(EXACT).alias("price"), F.coalesce("cost", F.lit(0)).cast(EXACT).alias("cost")).filter("q <> 0")
     rows = rows.withColumn("held", F.sum("q").over(so_far) - F.col("q")).withColumn("unit_cost", cents(F.col("cost") / F.abs("q")))
+    rows = rows.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("ts", "n").rangeBetween(Window.currentRow, Window.currentRow)) > 1)
     against = F.signum("held") * F.signum("q") < 0
     rows = rows.withColumn("closing", F.when(against, F.least(F.abs("q"), F.abs("held"))).otherwise(F.lit(0)).cast(EXACT))
     rows = rows.withColumn("opening", (F.abs("q") - F.col("closing")).cast(EXACT))
@@ -53,17 +59,22 @@ def round_trips(fills: DataFrame, *keys: str) -> DataFrame:
         F.struct(F.lit(0).alias("closes"), F.col("run").alias("run"), F.col("opening").alias("units")),
         F.struct(F.lit(1).alias("closes"), (F.col("run") - F.col("starts")).alias("run"), F.col("closing").alias("units")),
     )
-    each = rows.select(*keys, leg.alias("leg"), F.explode(legs).alias("l")).select(*keys, "leg", "l.*").filter("units > 0")
-    own = Window.partitionBy(*keys, "run", "closes").orderBy("leg.ts", "leg.n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.select(*keys, "tied", leg.alias("leg"), F.explode(legs).alias("l")).select(*keys, "tied", "leg", "l.*").filter("units > 0")
+    share = F.when(F.col("tied"), F.greatest(F.ceil(F.col("units") / TURNS), F.lit(1))).otherwise(F.col("units"))
+    each = each.withColumn("share", share.cast(EXACT))
+    each = each.withColumn("turn", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("units") / F.col("share")) - 1).cast("int"))))
+    each = each.withColumn("units", F.least("share", F.col("units") - F.col("turn") * F.col("share")))
+    own = Window.partitionBy(*keys, "run", "closes").orderBy("leg.ts", "leg.n", "turn", "leg").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("upto", F.sum("units").over(own).cast(EXACT))
     # each boundary once, with the opening or closing fill that ends there
     ends = each.groupBy(*keys, "run", "upto").agg(*(F.max(F.when(F.col("closes") == c, F.col("leg"))).alias(name) for c, name in ((0, "entry"), (1, "exit"))))
-    line = Window.partitionBy(*keys, "run").orderBy("upto")
-    after = line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    line = Window.partitionBy(*keys, "run").orderBy(F.desc("upto"))  # from the end, as a frame to the end is read anew for each row
+    after = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = ends.select(
-        *keys, (F.col("upto") - F.coalesce(F.lag("upto").over(line), F.lit(0))).cast(EXACT).alias("quantity"),
-        F.first("entry", ignorenulls=True).over(after).alias("entry"), F.first("exit", ignorenulls=True).over(after).alias("exit"),
+        *keys, "run", (F.col("upto") - F.coalesce(F.lead("upto").over(line), F.lit(0))).cast(EXACT).alias("quantity"),
+        F.last("entry", ignorenulls=True).over(after).alias("entry"), F.last("exit", ignorenulls=True).over(after).alias("exit"),
     ).filter("exit is not null")
+    pieces = pieces.groupBy(*keys, "run", "entry", "exit").agg(F.sum("quantity").cast(EXACT).alias("quantity"))  # more than one only after turns
     gross = cents((F.col("exit.price") - F.col("entry.price")) * F.col("entry.side").cast("int") * F.col("quantity"))
     costs = cents((F.col("entry.unit_cost") + F.col("exit.unit_cost")) * F.col("quantity"))
     return pieces.select(
@@ -134,7 +145,8 @@ def statistics(trips: DataFrame, *keys: str, equity: DataFrame | None = None, fr
     """
     net, gross = F.col("net_pnl"), F.col("gross_pnl")
     wins, losses = net > 0, net < 0
-    held = F.unix_micros(F.col("exit_ts").cast("timestamp")) - F.unix_micros(F.col("entry_ts").cast("timestamp"))
+    # as decimals: the sum of a few million long trades leaves 63 bits
+    held = (F.unix_micros(F.col("exit_ts").cast("timestamp")) - F.unix_micros(F.col("entry_ts").cast("timestamp"))).cast("decimal(20,0)")
     span = F.unix_micros(F.max("exit_ts").cast("timestamp")) - F.unix_micros(F.min("entry_ts").cast("timestamp"))
 
     def total(x: Column, where: Column | None = None) -> Column:

@@ -69,6 +69,26 @@ def test_statistics_of_trades(spark):
     assert trades.periods_per_year("15m") == 6300 and trades.periods_per_year("1w") == 52 and trades.periods_per_year("?") == 252
 
 
+def test_time_held_may_leave_63_bits(spark):
+    first, last = dt.datetime(1, 1, 2), dt.datetime(9999, 12, 30)
+    rows = [("x", str(k), ts, n, q, 10.0, 0.0) for k in range(40) for n, (ts, q) in enumerate(((first, 1.0), (last, -1.0)))]
+    r = trades.statistics(trades.round_trips(spark.createDataFrame(rows, FILLS), "strategy", "symbol"), "strategy").first()
+    assert (r.total_trades, r.exposure) == (40, 40.0)
+
+
+def test_units_of_tied_fills_take_turns(spark):
+    # two fills of equal time and number, 3 at 100 and 2 at 200: A B A B A; two more are alike and count as one
+    rows = [("x", "A", T0 + dt.timedelta(hours=h), h, q, p, 0.0) for h, q, p in ((0, 3.0, 100.0), (0, 2.0, 200.0), (1, -3.0, 300.0), (2, -2.0, 300.0), (3, 4.0, 10.0), (3, 4.0, 10.0), (4, -8.0, 11.0))]
+    got = sorted((r.entry_n, float(r.entry_price), r.exit_n, float(r.quantity), float(r.gross_pnl)) for r in trades.round_trips(spark.createDataFrame(rows, FILLS), "symbol").collect())
+    assert got == [(0, 100.0, 1, 2.0, 400.0), (0, 100.0, 2, 1.0, 200.0), (0, 200.0, 1, 1.0, 100.0), (0, 200.0, 2, 1.0, 100.0), (3, 10.0, 4, 8.0, 8.0)]
+
+
+def test_tied_fills_of_many_or_broken_units_are_matched_whole(spark):
+    rows = [("x", "A", T0 + dt.timedelta(hours=h), h, q, p, 0.0) for h, q, p in ((0, 2.5, 100.0), (0, 1.25, 200.0), (1, -3.75, 300.0), (2, 3e9, 10.0), (2, 1e9, 20.0), (3, -4e9, 30.0))]
+    got = sorted((r.entry_n, float(r.entry_price), r.exit_n, float(r.quantity)) for r in trades.round_trips(spark.createDataFrame(rows, FILLS), "symbol").collect())
+    assert got == [(0, 100.0, 1, 2.5), (0, 200.0, 1, 1.25), (2, 10.0, 3, 3e9), (2, 20.0, 3, 1e9)]
+
+
 def test_excursions_between_entry_and_exit(spark):
     rows = [("A", T0 + dt.timedelta(days=d, hours=h), 100.0, 100.0 + 3 * d + h, 100.0 - 2 * d, 100.0, 1.0) for d in range(4) for h in range(3)]
     trip = trades.round_trips(fills(spark, [("x", 1.0, 100.0, 0.0)]).unionByName(fills(spark, [("x", -1.0, 101.0, 0.0)]).withColumns({"ts": F.lit(T0 + dt.timedelta(days=2, hours=1)), "n": F.lit(1).cast("long")})), "symbol")
