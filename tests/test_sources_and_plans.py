@@ -134,6 +134,25 @@ def test_late_ticks_revise_then_expire(spark, tmp_path):
     assert got == [(0, 2.0, ""), (0, 6.0, "window_expired"), (1, 4.0, "")]
 
 
+def test_interval_merge_joins_equal_spans(spark, tmp_path):
+    from barloom import registry
+
+    rng, day, span = np.random.default_rng(5), dt.datetime(1999, 1, 1), dt.timedelta(days=20)
+    orders = [(None if k == 0 else k, day + dt.timedelta(days=int(d))) for k in range(300) for d in rng.integers(0, 300, 8) for _ in range(int(rng.integers(1, 4)))]
+    orders += [(400, day), (400, day + span), (400, day + span), (401, None), (401, None), (401, day)]  # ends that touch are one span, a missing date is one of its own
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp_ntz").repartition(7).write.parquet(str(tmp_path / "orders.parquet"))
+    want = []
+    for k, lo in sorted(orders, key=lambda o: (o[0] or 0, o[1] or dt.datetime.min)):
+        if lo is None:
+            want.append([k, None, None, 1])
+        elif want and want[-1][0] == k and want[-1][2] and want[-1][2] >= lo:
+            want[-1][2:] = [lo + span, want[-1][3] + 1]
+        else:
+            want.append([k, lo, lo + span, 1])
+    got = registry.QUERIES["interval_merge"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(list, got))) == sorted(map(str, want))
+
+
 def test_monte_carlo_has_all_its_paths(spark):
     from barloom import registry
 
